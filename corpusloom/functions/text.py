@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode whitespace and word characters, spelled as explicit classes so
-# that the JVM and the SQL check read the same set.
-WS = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
-NON_WS = WS.replace("[", "[^", 1)
+# Unicode whitespace and word characters. With the Unicode flag \s covers
+# every White_Space character; the four separators x1c-x1f count as whitespace too.
+UNICODE = "(?U)"
+WS = r"[\s\x1c-\x1f]"
+NON_WS = r"[^\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
-EDGE_WS = f"^{WS}+|{WS}+$"
+SPACES = f"{UNICODE}{WS}+"
+EDGE_WS = f"{UNICODE}^{WS}+|{WS}+$"
+START_WS = f"{UNICODE}^{WS}+"
+NOT_LETTER = rf"{UNICODE}[^a-z\s\x1c-\x1f]+"
 SENTENCE = r"[^.!?]+[.!?]+"
+NEXT_SENTENCE = rf"{UNICODE}(?<=[.!?])(?=[^.!?]){WS}*"
+TERMINATORS = (".", "!", "?")
 
 
 def strip(col: Column) -> Column:
@@ -25,27 +28,43 @@ def strip(col: Column) -> Column:
 
 def has_text(col: Column) -> Column:
     """True when the string holds anything but whitespace; NULL counts as blank."""
-    return F.coalesce(col.rlike(NON_WS), F.lit(False))
+    return F.coalesce(col.rlike(UNICODE + NON_WS), F.lit(False))
 
 
 def words(col: Column) -> Column:
-    return F.filter(F.split(col, WS + "+"), lambda w: w != "")
+    return F.filter(F.split(col, SPACES), lambda w: w != "")
 
 
 def word_count(col: Column) -> Column:
-    return F.size(words(col))
+    """Number of words without building them: parts minus the empty first and last."""
+    def blank(c: Column) -> Column:
+        return c.rlike(UNICODE + WS).cast("int")
+
+    parts = F.size(F.split(col, SPACES))
+    return F.when(col == "", 0).otherwise(
+        parts - blank(F.left(col, F.lit(1))) - blank(F.right(col, F.lit(1)))
+    )
 
 
 def sentences(col: Column) -> Column:
-    """Runs that end in a terminator; a text without any terminator is one sentence."""
-    found = F.regexp_extract_all(col, F.lit(SENTENCE), F.lit(0))
-    return F.when(F.size(found) == 0, F.array(col)).otherwise(F.transform(found, strip))
+    """Runs that end in a terminator; a text without any terminator is one sentence.
+
+    The text is cut behind each run of terminators, together with the space that
+    follows. Terminators that open the text and a fragment that closes it are no
+    sentences. Searching for the runs directly takes quadratic time in a long text
+    without terminators.
+    """
+    opens_with_text = ~F.left(col, F.lit(1)).isin(*TERMINATORS)
+    found = F.filter(
+        F.split(F.regexp_replace(col, START_WS, ""), NEXT_SENTENCE),
+        lambda part, i: F.right(part, F.lit(1)).isin(*TERMINATORS) & ((i > 0) | opens_with_text),
+    )
+    return F.coalesce(F.nullif(found, F.array().cast("array<string>")), F.array(col))
 
 
 def letters_only_words(col: Column) -> Column:
     """Lower-case words reduced to a-z; words with no such letter disappear."""
-    cleaned = F.regexp_replace(F.lower(col), NON_WS.replace("[^", "[^a-z", 1), "")
-    return words(cleaned)
+    return words(F.regexp_replace(F.lower(col), NOT_LETTER, ""))
 
 
 def basename(col: Column) -> Column:

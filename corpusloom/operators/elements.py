@@ -304,7 +304,10 @@ def sectionize_documents(
 ) -> DataFrame:
     """The blocks of ``sections_of_documents`` as rows."""
     nested = sections_of_documents(docs, text_col, lines_per_page, first_line_font)
-    return nested.select("source_file", F.inline("sections"))
+    # Outer: a plain inline adds a filter on the array, which evaluates it twice.
+    return nested.select("source_file", F.inline_outer("sections")).where(
+        F.col("content").isNotNull()
+    )
 
 
 def page_count(lines: DataFrame) -> DataFrame:

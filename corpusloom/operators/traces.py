@@ -30,15 +30,15 @@ def parse_react(df: DataFrame, raw: str = "raw") -> DataFrame:
     before = F.regexp_extract(raw, r"(?is)^(.*?)\n?action:", 1)
     step = (
         df.withColumn("thought", tx.strip(F.when(has_action, before).otherwise(F.col(raw))))
-        .withColumn("action", F.regexp_extract(raw, rf"(?i)action:{tx.WS}*({tx.WORD}+)", 1))
+        .withColumn("action", F.regexp_extract(raw, rf"(?iU)action:{tx.WS}*({tx.WORD}+)", 1))
         .withColumn(
             "_braces",
-            F.nullif(F.regexp_extract(raw, rf"(?is)action input:{tx.WS}*(\{{.*?\}})", 1), F.lit("")),
+            F.nullif(F.regexp_extract(raw, rf"(?isU)action input:{tx.WS}*(\{{.*?\}})", 1), F.lit("")),
         )
     )
     parsed = F.from_json("_braces", "map<string,string>", {"allowSingleQuotes": "false"})
     answer = F.nullif(
-        F.regexp_extract("_braces", rf'(?s)"answer"{tx.WS}*:{tx.WS}*"(.*?)"', 1), F.lit("")
+        F.regexp_extract("_braces", rf'(?sU)"answer"{tx.WS}*:{tx.WS}*"(.*?)"', 1), F.lit("")
     )
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return step.withColumn(

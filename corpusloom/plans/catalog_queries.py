@@ -218,14 +218,14 @@ def any_processing(spark, d):
 
 @query("comparable_pairs", """
 SELECT a.id AS first, b.id AS second, a.filename AS first_file, b.filename AS second_file
-FROM (SELECT doc_id, doc_id + 1 + quality AS other FROM labels) r
+FROM (SELECT doc_id, doc_id + 1 + 4 * quality AS other FROM labels) r
 JOIN catalog a ON a.id = 'd' || r.doc_id JOIN catalog b ON b.id = 'd' || r.other
 WHERE a.status = 'completed' AND b.status = 'completed' AND a.filename <> b.filename
 """, ("catalog",))
 def comparable_pairs(spark, d):
     requests = readers.read_table(spark, d, "labels").select(
         F.concat(F.lit("d"), "doc_id").alias("first"),
-        F.concat(F.lit("d"), F.col("doc_id") + 1 + F.col("quality")).alias("second"),
+        F.concat(F.lit("d"), F.col("doc_id") + 1 + 4 * F.col("quality")).alias("second"),
     )
     return cat.comparable_pairs(views.catalog(spark, d), requests)
 

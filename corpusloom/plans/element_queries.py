@@ -144,7 +144,7 @@ def ocr_boxes_to_element(spark, d):
 @query("split_latex_response", f"""
 SELECT doc_id, {sx.strip("replace(replace(split_part(raw, chr(10), 1), '```latex', ''), '```', '')")} AS latex,
   {sx.strip("CASE WHEN contains(raw, chr(10)) THEN substr(raw, instr(raw, chr(10)) + 1) ELSE '' END")} AS explanation
-FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '```latex x_{' || doc_id || '}```' || chr(10) || text
+FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '```latex x_{{' || doc_id || '}}```' || chr(10) || text
         WHEN 1 THEN text ELSE '```latex' || chr(10) || text END AS raw FROM documents)
 """)
 def split_latex_response(spark, d):

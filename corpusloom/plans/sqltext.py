@@ -8,21 +8,27 @@ from corpusloom.operators import elements, tasks
 from corpusloom.plans.registry import cte
 
 
+# Whitespace spelled out, because \\s is ASCII only in this engine.
+SPACE = (
+    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '{tx.EDGE_WS}', '', 'g')"
+    return f"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 
 
 def has_text(x: str) -> str:
-    return f"coalesce(regexp_matches({x}, '{tx.NON_WS}'), false)"
+    return f"coalesce(regexp_matches({x}, '[^{SPACE}]'), false)"
 
 
 def words(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({x}, '{tx.WS}+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({x}, '[{SPACE}]+'), lambda w: w <> '')"
 
 
 def letters_only(x: str) -> str:
-    keep = tx.NON_WS.replace("[^", "[^a-z", 1)
-    return words(f"regexp_replace(lower({x}), '{keep}', '', 'g')")
+    return words(f"regexp_replace(lower({x}), '[^a-z{SPACE}]', '', 'g')")
 
 
 def fixed2(x: str) -> str:

@@ -43,7 +43,7 @@ FROM (SELECT doc_id, {_sents} AS s FROM documents)
 """)
 def split_sentences(spark, d):
     return readers.read_table(spark, d, "documents").select(
-        "doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sentence_no", "sentence")
+        "doc_id", F.posexplode_outer(tx.sentences(F.col("text"))).alias("sentence_no", "sentence")
     ).withColumn("sentence_no", F.col("sentence_no").cast("long"))
 
 
@@ -187,14 +187,13 @@ FROM (
     max(v.human_markers) FILTER (v.pass = best_pass) AS h1, any_value(c.changes) AS changes
   FROM best b JOIN versions v ON v.text_id = b.text_id AND v.pass <= b.passes_used
   LEFT JOIN (
-    SELECT text_id, list(change ORDER BY at) AS changes FROM (
-      SELECT text_id, change, min(pass * 10 + i) AS at FROM (
+    SELECT text_id, list(change ORDER BY place) AS changes FROM (
+      SELECT text_id, change, min(pass * 10 + i) AS place FROM (
         SELECT text_id, pass, unnest(changes) AS change, generate_subscripts(changes, 1) AS i
         FROM used_versions WHERE pass >= 1) GROUP BY text_id, change) GROUP BY text_id) c
     ON c.text_id = b.text_id
-  GROUP BY ALL)
-""".replace("GROUP BY ALL", "GROUP BY b.text_id, b.best_pass, b.best_score, b.original_score, "
-            "b.passes_used, b.target_reached"), ("best", "versions", "used_versions"))
+  GROUP BY b.text_id, b.best_pass, b.best_score, b.original_score, b.passes_used, b.target_reached)
+""", ("best", "versions", "used_versions"))
 def change_summary(spark, d):
     versions = views.rewrite_versions(spark, d)
     return tm.change_summary(tm.best_of_passes(versions), versions)

@@ -401,6 +401,7 @@ def rewrite_versions(spark: SparkSession, d: str) -> DataFrame:
         o.alias("text_id"), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("pass"),
         "o_totalprice", "o_custkey", "o_orderpriority",
     )
+    o = F.col("text_id")
     score = F.floor(F.floor(F.col("o_totalprice") * 100 + o * 13) % 97 / (F.col("pass") + 1))
     return orders.select(
         "text_id",

@@ -36,7 +36,7 @@ def norm(v):
             return "nan"
         return repr(round(v, 6) + 0.0)
     if isinstance(v, int):
-        return repr(float(v)) if False else str(v)
+        return str(v)
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     return str(v)
@@ -49,11 +49,13 @@ def rows_of(columns, rows):
 
 def compare(spark, con, sf_dir, fn, sql):
     """(ok, message) for one query."""
+    start = time.time()
     df = fn(spark, sf_dir)
     table = df.toArrow()
+    took = time.time() - start
     got = list(zip(*[c.to_pylist() for c in table.columns])) if table.num_rows else []
     if sql is None:
-        return table.num_rows > 0, f"rows only: {table.num_rows}"
+        return table.num_rows > 0, f"spark {took:.2f}s, rows only: {table.num_rows}"
     result = con.execute(sql)
     want_cols = [c[0] for c in result.description]
     want = result.fetchall()
@@ -64,7 +66,7 @@ def compare(spark, con, sf_dir, fn, sql):
         sa, sb = set(a), set(b)
         return False, (f"{len(a)} vs {len(b)} rows; only spark {list(sa - sb)[:2]}; "
                        f"only sql {list(sb - sa)[:2]}")
-    return len(a) > 0, f"{len(a)} rows"
+    return len(a) > 0, f"spark {took:.2f}s, {len(a)} rows"
 
 
 def main():
