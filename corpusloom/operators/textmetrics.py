@@ -30,12 +30,18 @@ def text_metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
     once per row; there is no shuffle.
     """
     body = F.when(tx.has_text(F.col(text_col)), F.col(text_col))
+    words = F.split(F.trim("_flat"), " ")
+    letters = F.regexp_replace(F.lower("_flat"), "[^a-z ]+", "")
     step = (
         df.withColumn("_body", body)
-        .withColumn("_sents", tx.sentences(F.col("_body")))
-        .withColumn("_lens", F.transform("_sents", lambda s: tx.word_count(s).cast("double")))
-        .withColumn("_terms", tx.letters_only_words(F.col("_body")))
-        .withColumn("word_count", F.when(F.col("_body").isNotNull(), tx.word_count(F.col("_body"))))
+        # One space for every run of whitespace: from here on words split at " ".
+        .withColumn("_flat", F.regexp_replace("_body", tx.SPACES, " "))
+        .withColumn("_sents", tx.sentences(F.col("_flat")))
+        .withColumn(
+            "_lens", F.transform("_sents", lambda s: F.size(F.split(F.trim(s), " ")).cast("double"))
+        )
+        .withColumn("_terms", F.filter(F.split(letters, " "), lambda w: w != ""))
+        .withColumn("word_count", F.when(F.col("_body").isNotNull(), F.size(words)))
         .withColumn(
             "sentence_count", F.when(F.col("_body").isNotNull(), F.size("_sents"))
         )
@@ -70,12 +76,16 @@ def text_metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
         )
         .withColumn("ttr", F.when(~blank, round_exact(F.col("_ttr"), 2)))
         .withColumn("has_em_dash", F.col("_body").contains(EM_DASH))
-        .withColumn("has_parenthetical", F.col("_body").rlike(PARENTHETICAL))
+        .withColumn(
+            "has_parenthetical", F.col("_body").contains("(") & F.col("_body").rlike(PARENTHETICAL)
+        )
         .withColumn(
             "starts_with_but_and",
             F.when(~blank, F.size(F.filter("_sents", lambda s: s.rlike(OPENING_WORD)))),
         )
-        .withColumn("has_contractions", F.col("_body").rlike(CONTRACTION))
+        .withColumn(
+            "has_contractions", F.col("_body").contains("'") & F.col("_body").rlike(CONTRACTION)
+        )
         .withColumn(
             "human_markers",
             F.col("has_em_dash").cast("int")
@@ -84,7 +94,7 @@ def text_metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
             + F.col("has_contractions").cast("int"),
         )
     )
-    return step.drop("_body", "_sents", "_lens", "_terms", "_mean", "_std", "_ttr")
+    return step.drop("_body", "_flat", "_sents", "_lens", "_terms", "_mean", "_std", "_ttr")
 
 
 def heuristic_score() -> Column:

@@ -12,9 +12,13 @@ from corpusloom.sources import readers, views
 
 def per_query(spark, d):
     """Quality per question at k = 10; a chunk is relevant when it has the question's label."""
-    asked = views.questions(spark, d).select("query_id", "label", "filter_type")
-    chunks = views.chunk_vectors(spark, d).select("chunk_id", F.col("label").alias("chunk_label"))
-    hits = rq.retrieval.attach_chunks(rq.thresholded_hits(spark, d), chunks, rq.QUESTION_BOUND * 10)
+    questions = rq.asked(spark, d)
+    asked = questions.select("query_id", "label", "filter_type")
+    vectors = views.chunk_vectors(spark, d)
+    labels = vectors.select("chunk_id", F.col("label").alias("chunk_label"))
+    hits = rq.retrieval.attach_chunks(
+        rq.retrieval.retrieve(questions, vectors, 10), labels, rq.QUESTION_BOUND * 10
+    )
     judged = hits.join(asked, "query_id").withColumn(
         "relevant", F.col("label") == F.col("chunk_label")
     )

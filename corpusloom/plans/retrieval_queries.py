@@ -8,12 +8,25 @@ from corpusloom.functions import vectors
 from corpusloom.operators import embedding, retrieval, tasks
 from corpusloom.plans import sqltext as sx
 from corpusloom.plans.registry import query
+from corpusloom.session import materialize
 from corpusloom.sources import readers, views
 
 QUESTION_BOUND = 10 * views.N_SOURCES  # questions(): labels x sources
 TASK_HIT_BOUND = 9 * views.N_SOURCES * 45
 
 
+def asked(spark, d):
+    """The question table, computed once: making its vectors reads the whole chunk table."""
+    return materialize(views.questions(spark, d), "questions")
+
+
+def asked_tasks(spark, d, task=None):
+    planned = views.task_queries(spark, d)
+    if task:
+        planned = planned.where(F.col("task") == task)
+    return materialize(planned, "task-queries")
+
+
 @query("similarity", """
 SELECT c.chunk_id, round((1 + list_cosine_similarity(l.vector, c.embedding)) / 2, 6) AS score
 FROM cv c JOIN label_q l USING (label)
@@ -69,11 +82,11 @@ def knn_exact(spark, d):
 @query("knn_filtered", "SELECT query_id, chunk_id, score, rank FROM hits_filtered",
        ("hits_filtered",))
 def knn_filtered(spark, d):
-    return retrieval.knn_exact(views.questions(spark, d), views.chunk_vectors(spark, d), 10)
+    return retrieval.knn_exact(asked(spark, d), views.chunk_vectors(spark, d), 10)
 
 
 def thresholded_hits(spark, d):
-    return retrieval.retrieve(views.questions(spark, d), views.chunk_vectors(spark, d), 10)
+    return retrieval.retrieve(asked(spark, d), views.chunk_vectors(spark, d), 10)
 
 
 def full_hits(spark, d):
@@ -95,7 +108,7 @@ SELECT query_id, chunk_id, score, rank FROM (
 ) WHERE {sx.FLOOR}
 """, ("q", "cv"))
 def typed_search(spark, d):
-    return retrieval.typed_search(views.questions(spark, d), views.chunk_vectors(spark, d), "table")
+    return retrieval.typed_search(asked(spark, d), views.chunk_vectors(spark, d), "table")
 
 
 _wanted = "CASE WHEN label % 2 = 0 THEN 'handwritten' ELSE 'equation' END"
@@ -111,17 +124,15 @@ SELECT query_id, chunk_id, score, rank, false AS fallback FROM typed
 UNION ALL SELECT query_id, chunk_id, score, rank, true AS fallback FROM again
 """, ("q", "cv"))
 def typed_search_with_fallback(spark, d):
-    asked = views.questions(spark, d).withColumn(
+    questions = asked(spark, d).withColumn(
         "filter_type", F.when(F.col("label") % 2 == 0, "handwritten").otherwise("equation")
     )
-    return retrieval.typed_search_with_fallback(asked, views.chunk_vectors(spark, d))
+    return retrieval.typed_search_with_fallback(questions, views.chunk_vectors(spark, d))
 
 
 def task_hits(spark, d, task=None):
     """Hits of the task requests (one task or all), merged per request."""
-    planned = views.task_queries(spark, d)
-    if task:
-        planned = planned.where(F.col("task") == task)
+    planned = asked_tasks(spark, d, task)
     ranked = retrieval.apply_threshold(
         retrieval.knn_exact(planned, views.chunk_vectors(spark, d))
     )
@@ -151,9 +162,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY task_id, chunk_id ORDER BY query
 WHERE seen = 1 AND task IN ('research_gaps', 'trend_analysis')
 """, ("task_hits_raw",))
 def multi_query_dedup(spark, d):
-    planned = views.task_queries(spark, d).where(
-        F.col("task").isin("research_gaps", "trend_analysis")
-    )
+    planned = asked_tasks(spark, d).where(F.col("task").isin("research_gaps", "trend_analysis"))
     hits = retrieval.apply_threshold(
         retrieval.knn_exact(planned, views.chunk_vectors(spark, d))
     ).join(planned.select("query_id", "task_id", "query_no"), "query_id").drop("query_id")
@@ -165,7 +174,7 @@ SELECT task_id, query_no + 1 AS side, source_file, chunk_id, score, rank
 FROM task_full WHERE task = 'comparison'
 """, ("task_full",))
 def compare_sources(spark, d):
-    planned = views.task_queries(spark, d).where(F.col("task") == "comparison")
+    planned = asked_tasks(spark, d, "comparison")
     hits = retrieval.apply_threshold(
         retrieval.knn_exact(planned, views.chunk_vectors(spark, d))
     ).join(planned.select("query_id", "task_id", "query_no", "filter_source"), "query_id")

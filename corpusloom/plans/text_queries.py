@@ -12,9 +12,13 @@ from corpusloom.functions.numbers import round_exact_sql
 from corpusloom.sources import readers, views
 
 
+def plain(spark, d):
+    return readers.spread(readers.read_table(spark, d, "documents").select("doc_id", "text"))
+
+
 def texts(spark, d):
     """Documents with a detector probability column that is sometimes missing."""
-    return readers.read_table(spark, d, "documents").select(
+    return readers.spread(readers.read_table(spark, d, "documents")).select(
         "doc_id", "text",
         F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") % 101).cast("double").alias("detector"),
     )
@@ -26,7 +30,7 @@ FROM (SELECT doc_id, {sx.words('text')} AS w FROM documents)
 """)
 def tokenize_words(spark, d):
     return (
-        readers.read_table(spark, d, "documents")
+        plain(spark, d)
         .select("doc_id", tx.words(F.col("text")).alias("w"))
         .select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_join("w", "|").alias("words"))
     )
@@ -42,7 +46,7 @@ SELECT doc_id, generate_subscripts(s, 1) - 1 AS sentence_no, unnest(s) AS senten
 FROM (SELECT doc_id, {_sents} AS s FROM documents)
 """)
 def split_sentences(spark, d):
-    return readers.read_table(spark, d, "documents").select(
+    return plain(spark, d).select(
         "doc_id", F.posexplode_outer(tx.sentences(F.col("text"))).alias("sentence_no", "sentence")
     ).withColumn("sentence_no", F.col("sentence_no").cast("long"))
 
@@ -95,13 +99,13 @@ SELECT d.doc_id, {', '.join('tm.' + c for c in tm.METRIC_COLUMNS)}
 FROM documents d LEFT JOIN tm USING (doc_id)
 """, ("tm",))
 def text_metrics(spark, d):
-    return tm.text_metrics(readers.read_table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    return tm.text_metrics(plain(spark, d)).drop("text")
 
 
 @query("heuristic_score", "SELECT doc_id, heuristic_score FROM scored", ("scored",))
 def heuristic_score(spark, d):
     return tm.text_metrics(
-        readers.read_table(spark, d, "documents").select("doc_id", "text")
+        plain(spark, d)
     ).select("doc_id", tm.heuristic_score().alias("heuristic_score"))
 
 

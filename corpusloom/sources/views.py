@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import tasks
-from corpusloom.sources.readers import read_table
+from corpusloom.sources.readers import read_table, spread
 
 N_SOURCES = 20
 N_PAGES = 12
@@ -177,7 +177,7 @@ def image_meta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select(
+    return spread(read_table(spark, d, "documents")).select(
         F.concat(F.lit("doc_"), "doc_id").alias("source_file"), "doc_id", "text", "lang", "source",
         "n_chars",
     )
