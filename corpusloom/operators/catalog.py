@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.session import small_side
 
 # Texts shown to readers.
 NO_PAPERS = "No papers have been uploaded and processed yet."
@@ -48,7 +49,7 @@ def catalog_apply_status(catalog: DataFrame, updates: DataFrame, version: str =
 
 
 def catalog_lookup(catalog: DataFrame, ids: DataFrame) -> DataFrame:
-    return catalog.join(ids.select("id"), "id", "left_semi")
+    return catalog.join(small_side(ids.select("id")), "id", "left_semi")
 
 
 def catalog_list(catalog: DataFrame) -> DataFrame:
@@ -63,9 +64,10 @@ def catalog_delete_cascade(
 
     Chunks go by filename: a second catalog row of the same file loses its chunks too.
     """
-    doomed = catalog.join(ids.select("id"), "id", "left_semi").select("id", "filename")
-    files = doomed.select(F.col("filename").alias("source_file")).distinct()
-    kept_catalog = catalog.join(ids.select("id"), "id", "left_anti")
+    wanted = small_side(ids.select("id"))
+    doomed = catalog.join(wanted, "id", "left_semi").select("id", "filename")
+    files = small_side(doomed.select(F.col("filename").alias("source_file")).distinct())
+    kept_catalog = catalog.join(wanted, "id", "left_anti")
     kept_chunks = chunks.join(files, "source_file", "left_anti")
     per_file = (
         chunks.select("source_file")
@@ -111,12 +113,14 @@ def chunk_count(chunks: DataFrame) -> DataFrame:
 
 
 def chunks_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
-    return chunks.drop("embedding").join(ids.select("chunk_id"), "chunk_id", "left_semi")
+    return chunks.drop("embedding").join(
+        small_side(ids.select("chunk_id")), "chunk_id", "left_semi"
+    )
 
 
 def chunks_by_source(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     return chunks.drop("embedding").join(
-        sources.select("source_file"), "source_file", "left_semi"
+        small_side(sources.select("source_file")), "source_file", "left_semi"
     )
 
 

@@ -20,10 +20,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import text, vectors
 from corpusloom.session import materialize
 
 # Fixed values.
@@ -33,7 +35,9 @@ TYPED_TOP_K = 5
 
 SHIPPED_QUERY_ROWS = 8192
 SHIPPED_QUERY_BYTES = 64 << 20
-GRID_CHUNK_ROWS = 200_000
+GRID_CHUNK_ROWS = 100_000
+SCORE_CELLS = 16_000_000  # scores held at once in one task
+PUSHED_VALUES = 1000
 GRID_QUERY_ROWS = 8192
 BROADCAST_HIT_ROWS = 500_000
 
@@ -53,10 +57,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
         raise ValueError(f"vectors of mixed dimension: {lengths.tolist()}")
     dim = int(lengths[0]) if len(lengths) else 0
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    vectors = flat.reshape(len(column), dim)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    matrix = flat.reshape(len(column), dim)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return vectors / norms
+        return matrix / norms
 
 
 def _texts(table: pa.Table, name: str) -> np.ndarray:
@@ -86,10 +90,15 @@ class _Questions:
         chunks = chunks.filter(pa.compute.is_valid(chunks.column("embedding")))
         if chunks.num_rows == 0 or len(self.ids) == 0:
             return
-        vectors = _matrix(chunks.column("embedding").combine_chunks())
-        if vectors.shape[1] != self.vectors.shape[1]:
+        rows = max(1, SCORE_CELLS // len(self.ids))
+        for at in range(0, chunks.num_rows, rows):
+            self._offer_part(chunks.slice(at, rows))
+
+    def _offer_part(self, chunks: pa.Table) -> None:
+        matrix = _matrix(chunks.column("embedding").combine_chunks())
+        if matrix.shape[1] != self.vectors.shape[1]:
             raise ValueError("question and chunk vectors differ in dimension")
-        scores = np.round((1.0 + vectors @ self.vectors.T) / 2.0, 6)
+        scores = np.round((1.0 + matrix @ self.vectors.T) / 2.0, 6)
         scores[np.isnan(scores)] = -np.inf
         for column, wanted in self.filters.items():
             if (wanted != "").any():
@@ -189,7 +198,9 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> Da
 
 def _scan_with_shipped_questions(table: pa.Table, chunks: DataFrame) -> DataFrame:
     spark = chunks.sparkSession
-    limits = {int(v) for v in table.column("k").to_pylist()} or {DEFAULT_TOP_K}
+    if table.num_rows == 0:
+        return spark.createDataFrame([], f"{_HIT_SCHEMA}, rank int")
+    limits = {int(v) for v in table.column("k").to_pylist()}
     top = max(limits)
     shipped = spark.sparkContext.broadcast(table)
 
@@ -199,13 +210,22 @@ def _scan_with_shipped_questions(table: pa.Table, chunks: DataFrame) -> DataFram
             questions.offer(pa.Table.from_batches([batch]))
         yield from questions.hits().to_batches()
 
-    hits = _chunk_columns(chunks).mapInArrow(scan, _HIT_SCHEMA)
+    hits = _chunk_columns(_narrow(chunks, table)).mapInArrow(scan, _HIT_SCHEMA)
     if len(limits) == 1:
         return _rank(hits, None, top)
     per_query = spark.createDataFrame(table.select(["query_id", "k"]))
     return _rank(hits, F.broadcast(per_query), top)
 
 
+def _narrow(chunks: DataFrame, table: pa.Table) -> DataFrame:
+    """Push a filter into the chunk scan where every question has one."""
+    for column, wanted in (("source_file", "filter_source"), ("content_type", "filter_type")):
+        values = set(table.column(wanted).fill_null("").to_pylist())
+        if "" not in values and len(values) <= PUSHED_VALUES:
+            chunks = chunks.where(F.col(column).isin(sorted(values)))
+    return chunks
+
+
 def _grid(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Block-nested search: every chunk block meets every question block once."""
     row = questions.agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
@@ -241,30 +261,31 @@ def _cogroup_top_k(left: DataFrame, right: DataFrame, keys: list[str], k: int) -
 # ---------------------------------------------------------------------- approximate
 
 
-def train_cells(chunks: DataFrame, n_cells: int, seed: int = 7, iterations: int = 5):
-    """Spherical cell centres learned with ``pyspark.ml`` over the whole chunk table."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def train_cells(chunks: DataFrame, n_cells: int, seed: int = 7, iterations: int = 5) -> np.ndarray:
+    """Cell centres learned with ``pyspark.ml`` over the unit vectors of the whole table.
 
-    vectors = chunks.where(F.col("embedding").isNotNull()).select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    On unit vectors the Euclidean and the cosine order agree; zero vectors have no
+    direction and take no part.
+    """
+    unit = chunks.select(vectors.l2_normalize(F.col("embedding")).alias("unit")).where(
+        F.col("unit").isNotNull()
+    )
+    model = KMeans(k=n_cells, seed=seed, maxIter=iterations, initMode="random").fit(
+        unit.select(array_to_vector("unit").alias("features"))
     )
-    model = KMeans(
-        k=n_cells, seed=seed, maxIter=iterations, distanceMeasure="cosine", initMode="random"
-    ).fit(vectors)
     return np.array(model.clusterCenters())
 
 
-def _nearest_cells(vectors: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+def _nearest_cells(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         unit = np.nan_to_num(centres / np.linalg.norm(centres, axis=1, keepdims=True))
-    return np.argsort(-(vectors @ unit.T), axis=1, kind="stable")[:, :n]
+    return np.argsort(-(points @ unit.T), axis=1, kind="stable")[:, :n]
 
 
 def _assign_cells(df: DataFrame, column: str, centres: np.ndarray, n: int) -> DataFrame:
     @F.pandas_udf("array<int>")
-    def cells(vectors: pd.Series) -> pd.Series:
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    def cells(column_values: pd.Series) -> pd.Series:
+        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in column_values])
         return pd.Series(list(_nearest_cells(matrix, centres, n).astype(np.int32)))
 
     return df.where(F.col(column).isNotNull()).withColumn("cell", F.explode(cells(column)))
