@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import ordering
+from corpusloom.session import materialize
 
 # Default sizes and the separators in order of preference.
 CHUNK_SIZE = 512
@@ -171,8 +172,14 @@ def chunk_identity(source_file: Column, index: Column, content: Column) -> Colum
 
 
 def chunk_elements(elements: DataFrame, size: int | None = None, overlap: int | None = None) -> DataFrame:
-    """Elements (with ``type_order``) to indexed, identified chunks."""
-    parts = chunk_text(elements, size, overlap).unionByName(chunk_atomic(elements))
+    """Elements (with ``type_order``) to indexed, identified chunks.
+
+    The pieces are written once before they are numbered: numbering reads them twice,
+    and splitting them is the expensive part.
+    """
+    parts = materialize(
+        chunk_text(elements, size, overlap).unionByName(chunk_atomic(elements)), "pieces"
+    )
     return (
         chunk_index(parts)
         .withColumn(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.operators import ordering
 from corpusloom.schemas import ELEMENTS
+from corpusloom.session import materialize
 
 # Heading keywords and sizes.
 HEADING_KEYWORDS = [
@@ -158,50 +159,44 @@ def sectionize(lines: DataFrame) -> DataFrame:
     """Text elements from a table of lines ``(source_file, page_number, line_no, ...)``.
 
     A heading closes the block before it and names what follows, also on later pages of
-    the document; a page end closes a block too. Blocks live inside one page, so rows
-    are windowed by page only. What crosses pages is the last heading of each page, one
-    small row per page, carried forward in two levels.
+    the document; a page end closes a block too. Blocks live inside one page, so lines
+    are windowed by page only, and the headed blocks are written once. What crosses
+    pages is the last heading of each page: one small row per page, read back without
+    the texts and carried forward in two levels.
     """
-    marked = detect_headings(lines)
     page = ["source_file", "page_number"]
     in_page = Window.partitionBy(*page).orderBy("line_no").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    named = marked.withColumn(
-        "_heading", F.last(F.when(F.col("is_heading"), F.col("text")), True).over(in_page)
-    ).withColumn("_block", F.sum(F.col("is_heading").cast("int")).over(in_page))
-    blocks = (
-        named.where(~F.col("is_heading"))
-        .groupBy(*page, "_block")
+    body = F.array_sort(
+        F.collect_list(F.when(~F.col("is_heading"), F.struct("line_no", "text")))
+    )
+    blocks = materialize(
+        detect_headings(lines)
+        .withColumn("block_no", F.sum(F.col("is_heading").cast("int")).over(in_page))
+        .groupBy(*page, "block_no")
         .agg(
-            F.first("_heading").alias("_heading"),
-            F.min("line_no").alias("line_no"),
-            tx.strip(
-                F.array_join(
-                    F.transform(
-                        F.array_sort(F.collect_list(F.struct("line_no", "text"))),
-                        lambda r: r["text"],
-                    ),
-                    "\n",
-                )
-            ).alias("content"),
-        )
-        .where(tx.has_text(F.col("content")))
+            F.max(F.when(F.col("is_heading"), F.col("text"))).alias("heading"),
+            F.min(F.when(~F.col("is_heading"), F.col("line_no"))).alias("line_no"),
+            tx.strip(F.array_join(F.transform(body, lambda r: r["text"]), "\n")).alias("content"),
+        ),
+        "blocks",
     )
-    per_page = marked.groupBy(*page).agg(
-        F.max_by(
-            F.when(F.col("is_heading"), F.col("text")),
-            F.when(F.col("is_heading"), F.col("line_no")),
-        ).alias("_last")
+    per_page = blocks.groupBy(*page).agg(
+        F.max_by("heading", F.when(F.col("heading").isNotNull(), F.col("block_no"))).alias("_last")
     )
     carried = ordering.carry_last(
         per_page, ["source_file"], "page_number", F.col("_last"), "_from_before"
     ).select(*page, "_from_before")
-    return blocks.join(carried, page).select(
-        *page,
-        "line_no",
-        F.coalesce("_heading", "_from_before", F.lit("")).alias("section_heading"),
-        "content",
+    return (
+        blocks.where(tx.has_text(F.col("content")))
+        .join(carried, page)
+        .select(
+            *page,
+            "line_no",
+            F.coalesce("heading", "_from_before", F.lit("")).alias("section_heading"),
+            "content",
+        )
     )
 
 

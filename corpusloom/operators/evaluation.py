@@ -102,19 +102,22 @@ def answer_relevancy(pairs: DataFrame) -> DataFrame:
 def answer_f1(answers: DataFrame) -> DataFrame:
     """F1 of the token multisets of ``predicted`` and ``truth``, per ``id``.
 
-    Both sides go through one aggregation by (id, token), so no join is needed.
+    Both sides go through one aggregation by (id, token), so no join is needed, and
+    equal tokens of an answer are counted before the shuffle.
     """
-    def tagged(col: str, side: int) -> Column:
-        return F.transform(
-            tx.words(F.lower(F.coalesce(col, F.lit("")))),
-            lambda t: F.struct(t.alias("token"), F.lit(side).alias("side")),
+    def side(col: str, predicted: bool) -> DataFrame:
+        tokens = F.split(F.lower(F.coalesce(col, F.lit(""))), tx.SPACES)
+        return answers.select(
+            "id",
+            F.explode_outer(tokens).alias("token"),
+            F.lit(int(predicted)).alias("in_p"),
+            F.lit(int(not predicted)).alias("in_g"),
         )
 
-    both = answers.select(
-        "id", F.explode_outer(F.concat(tagged("predicted", 0), tagged("truth", 1))).alias("t")
-    )
-    per_token = both.groupBy("id", "t.token").agg(
-        F.count_if(F.col("t.side") == 0).alias("p"), F.count_if(F.col("t.side") == 1).alias("g")
+    filled = F.col("token") != ""
+    per_token = side("predicted", True).union(side("truth", False)).groupBy("id", "token").agg(
+        F.coalesce(F.sum(F.when(filled, F.col("in_p"))), F.lit(0)).alias("p"),
+        F.coalesce(F.sum(F.when(filled, F.col("in_g"))), F.lit(0)).alias("g"),
     )
     sums = per_token.groupBy("id").agg(
         F.sum(F.least("p", "g")).alias("common"),

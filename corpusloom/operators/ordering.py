@@ -79,15 +79,10 @@ def carry_last(
     whole = (
         Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    per_block = (
-        keyed.where(F.col("_value").isNotNull())
-        .groupBy(*keys, "_block")
-        .agg(F.max_by("_value", position).alias("_block_last"))
-    )
+    has_value = F.when(F.col("_value").isNotNull(), F.col(position))
     blocks = (
-        keyed.select(*keys, "_block")
-        .distinct()
-        .join(per_block, [*keys, "_block"], "left")
+        keyed.groupBy(*keys, "_block")
+        .agg(F.max_by("_value", has_value).alias("_block_last"))
         .withColumn("_carried", F.last("_block_last", ignorenulls=True).over(whole))
         .drop("_block_last")
     )

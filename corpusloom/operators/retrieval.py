@@ -282,7 +282,7 @@ def _nearest_cells(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarra
     return np.argsort(-(points @ unit.T), axis=1, kind="stable")[:, :n]
 
 
-def _assign_cells(df: DataFrame, column: str, centres: np.ndarray, n: int) -> DataFrame:
+def _with_cells(df: DataFrame, column: str, centres: np.ndarray, n: int) -> DataFrame:
     @F.pandas_udf("array<int>")
     def cells(column_values: pd.Series) -> pd.Series:
         matrix = np.stack([np.asarray(v, dtype=np.float64) for v in column_values])
@@ -291,9 +291,17 @@ def _assign_cells(df: DataFrame, column: str, centres: np.ndarray, n: int) -> Da
     return df.where(F.col(column).isNotNull()).withColumn("cell", F.explode(cells(column)))
 
 
+def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """The approximate index: chunk vectors with the number of their nearest cell.
+
+    Write it once, best partitioned by ``cell``, and search it many times.
+    """
+    return _with_cells(_chunk_columns(chunks), "embedding", centres, 1)
+
+
 def knn_ann(
     queries: DataFrame,
-    chunks: DataFrame,
+    index: DataFrame,
     centres: np.ndarray,
     probes: int = 4,
     k: int | None = None,
@@ -301,23 +309,23 @@ def knn_ann(
 ) -> DataFrame:
     """Approximate top-k: each question looks into its ``probes`` nearest cells only.
 
-    A crowded cell is split into parts of about ``cell_rows`` chunks by a hash of the
-    chunk id; a question visits all parts, so a crowded cell costs tasks, not memory.
+    ``index`` is the (stored) result of ``assign_cells``. A crowded cell is split into
+    parts of about ``cell_rows`` chunks by a hash of the chunk id; a question visits all
+    parts, so a crowded cell costs tasks, not memory.
     """
     k = k or DEFAULT_TOP_K
     questions = _as_questions(queries, k)
     top = int(questions.agg(F.max("k")).first()[0] or k)
-    celled = _assign_cells(_chunk_columns(chunks), "embedding", centres, 1)
     parts = (
-        celled.groupBy("cell")
+        index.groupBy("cell")
         .count()
         .select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
     )  # one row per cell: bounded by the number of centres
-    left = celled.join(F.broadcast(parts), "cell").withColumn(
+    left = index.join(F.broadcast(parts), "cell").withColumn(
         "part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int")
     )
     right = (
-        _assign_cells(questions, "vector", centres, min(probes, len(centres)))
+        _with_cells(questions, "vector", centres, min(probes, len(centres)))
         .join(F.broadcast(parts), "cell")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )

@@ -153,7 +153,7 @@ SELECT qa.id, round(CASE WHEN coalesce(pn.n, 0) + coalesce(gn.n, 0) = 0 THEN 0.0
 FROM qa LEFT JOIN c USING (id) LEFT JOIN pn USING (id) LEFT JOIN gn USING (id)
 """.replace(", qa AS", "WITH qa AS", 1))
 def answer_f1(spark, d):
-    answers = readers.read_table(spark, d, "documents").select(
+    answers = readers.spread(readers.read_table(spark, d, "documents")).select(
         F.col("doc_id").alias("id"), F.col("text").alias("predicted"),
         F.regexp_replace("text", "[aA]", "e").alias("truth"),
     )

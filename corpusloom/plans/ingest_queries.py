@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
-from corpusloom.operators import chunking, elements, embedding, evaluation, retrieval
+from corpusloom.operators import embedding, evaluation, retrieval
 from corpusloom.plans import ingest
+from corpusloom.plans import retrieval_queries as rq
 from corpusloom.plans import sqltext as sx
 from corpusloom.plans.registry import query
 from corpusloom.session import new_table_path
@@ -76,11 +77,9 @@ def text_search(spark, d):
 
 @query("ann_recall")
 def ann_recall(spark, d):
-    chunks = views.chunk_vectors(spark, d)
-    asked = views.plain_questions(spark, d)
-    exact = retrieval.knn_exact(asked, chunks, 10)
-    near = retrieval.knn_ann(asked, chunks, retrieval.train_cells(chunks, 16), 6, 10)
-    return evaluation.ann_recall(exact, near)
+    questions = rq.plain_asked(spark, d)
+    exact = retrieval.knn_exact(questions, views.chunk_vectors(spark, d), 10)
+    return evaluation.ann_recall(exact, rq.ann_hits(spark, d, questions))
 
 
 # ------------------------------------------------------------------------- streaming

@@ -20,6 +20,11 @@ def asked(spark, d):
     return materialize(views.questions(spark, d), "questions")
 
 
+def plain_asked(spark, d):
+    """The same without filters and thresholds."""
+    return asked(spark, d).select("query_id", "label", "vector")
+
+
 def asked_tasks(spark, d, task=None):
     planned = views.task_queries(spark, d)
     if task:
@@ -76,7 +81,7 @@ def embedding_profile(spark, d):
 
 @query("knn_exact", "SELECT query_id, chunk_id, score, rank FROM hits_plain", ("hits_plain",))
 def knn_exact(spark, d):
-    return retrieval.knn_exact(views.plain_questions(spark, d), views.chunk_vectors(spark, d), 10)
+    return retrieval.knn_exact(plain_asked(spark, d), views.chunk_vectors(spark, d), 10)
 
 
 @query("knn_filtered", "SELECT query_id, chunk_id, score, rank FROM hits_filtered",
@@ -247,11 +252,14 @@ def paper_preview(spark, d):
     return retrieval.paper_preview(views.doc_chunks(spark, d), wanted)
 
 
-def _centres(spark, d):
-    return retrieval.train_cells(views.chunk_vectors(spark, d), n_cells=16)
+def ann_hits(spark, d, questions):
+    """Approximate search over an index of 16 cells, six of them probed."""
+    chunks = views.chunk_vectors(spark, d)
+    centres = retrieval.train_cells(chunks, n_cells=16)
+    index = materialize(retrieval.assign_cells(chunks, centres), "cells")
+    return retrieval.knn_ann(questions, index, centres, 6, 10)
 
 
 @query("knn_ann")
 def knn_ann(spark, d):
-    chunks = views.chunk_vectors(spark, d)
-    return retrieval.knn_ann(views.plain_questions(spark, d), chunks, _centres(spark, d), 6, 10)
+    return ann_hits(spark, d, plain_asked(spark, d))

@@ -123,10 +123,6 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def plain_questions(spark: SparkSession, d: str) -> DataFrame:
-    return questions(spark, d).select("query_id", "label", "vector")
-
-
 def task_requests(spark: SparkSession, d: str) -> DataFrame:
     """Every task once per source file."""
     sources = chunk_vectors(spark, d).select("source_file").distinct()

@@ -94,14 +94,15 @@ def test_small_score_buffer(spark):
 def test_all_probes_make_ann_exact(spark):
     chunks, questions, c, q = frames(spark)
     centres = retrieval.train_cells(c, 6)
-    got = retrieval.knn_ann(q, c, centres, probes=6, cell_rows=20)
+    got = retrieval.knn_ann(q, retrieval.assign_cells(c, centres), centres, probes=6, cell_rows=20)
     assert rows(got) == brute(chunks, questions)
 
 
 def test_few_probes_keep_most(spark):
     chunks, questions, c, q = frames(spark)
     exact = brute(chunks, questions)
-    got = rows(retrieval.knn_ann(q, c, retrieval.train_cells(c, 6), probes=4))
+    centres = retrieval.train_cells(c, 6)
+    got = rows(retrieval.knn_ann(q, retrieval.assign_cells(c, centres), centres, probes=4))
     found = {(a, b) for a, b, _, _ in got} & {(a, b) for a, b, _, _ in exact}
     assert len(found) >= 0.6 * len(exact)
 
