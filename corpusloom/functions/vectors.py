@@ -34,6 +34,12 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """v / |v|; NULL for a zero vector."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(as_double(v), lambda x: x / n))
+    """v / |v|; NULL for a zero vector.
+
+    The norm enters as the variable of an outer lambda: a plain column expression would
+    be evaluated again for every element.
+    """
+    scaled = F.transform(
+        F.array(norm(v)), lambda n: F.when(n > 0, F.transform(as_double(v), lambda x: x / n))
+    )
+    return F.get(scaled, F.lit(0))
