@@ -107,9 +107,13 @@ def list_visuals(chunks: DataFrame, image_meta: DataFrame) -> DataFrame:
     """Figures, tables and equations to show, with small images left out.
 
     A figure needs a known image; any item whose known image has a side under 50 goes.
+    Most tables and formulas have no image: they get a join key of their own each, so
+    that the empty path is not one hot key.
     """
-    size = image_meta.select("image_path", F.col("width").alias("image_width"),
+    size = image_meta.select(F.col("image_path").alias("_key"), F.col("width").alias("image_width"),
                              F.col("height").alias("image_height"))
+    path = F.coalesce("image_path", F.lit(""))
+    key = F.when(path == "", F.concat(F.lit("no image:"), "chunk_id")).otherwise(path)
     known = F.col("image_width").isNotNull()
     big = (F.col("image_width") >= MIN_IMAGE_SIDE) & (F.col("image_height") >= MIN_IMAGE_SIDE)
     type_order = (
@@ -119,7 +123,8 @@ def list_visuals(chunks: DataFrame, image_meta: DataFrame) -> DataFrame:
     )
     return (
         chunks.where(F.col("element_type").isin(VISUAL_TYPES))
-        .join(size, "image_path", "left")
+        .withColumn("_key", key)
+        .join(size, "_key", "left")
         .where(F.when(known, big).otherwise(F.col("element_type") != "figure"))
         .select(
             "chunk_id", "source_file", "element_type", "page_number", "section_heading",

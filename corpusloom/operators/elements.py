@@ -59,7 +59,7 @@ def text_lines(docs: DataFrame, text_col: str = "text", lines_per_page: int = LI
     """
     return (
         docs.select(
-            "source_file", F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw")
+            "source_file", F.posexplode_outer(F.split(text_col, "\n")).alias("line_no", "raw")
         )
         .where(tx.has_text(F.col("raw")))
         .select(

@@ -102,8 +102,10 @@ class _Questions:
         scores[np.isnan(scores)] = -np.inf
         for column, wanted in self.filters.items():
             if (wanted != "").any():
-                have = _texts(chunks, column)
-                scores[(wanted != "")[None, :] & (have[:, None] != wanted[None, :])] = -np.inf
+                have = chunks.column(column).fill_null("").combine_chunks()
+                for value in np.unique(wanted[wanted != ""]):
+                    other = pa.compute.not_equal(have, str(value)).to_numpy(zero_copy_only=False)
+                    scores[np.ix_(other, wanted == value)] = -np.inf
         cut = self.cut
         if len(scores) > self.k:
             kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
@@ -111,11 +113,11 @@ class _Questions:
         row, question = np.nonzero((scores >= cut[None, :]) & (scores > -np.inf))
         if len(row) == 0:
             return
-        ids = _texts(chunks, "chunk_id")
+        ids = chunks.column("chunk_id").take(pa.array(row))
         self._keep(
             np.concatenate([self.best[0], question]),
             np.concatenate([self.best[1], scores[row, question]]),
-            np.concatenate([self.best[2], ids[row]]),
+            np.concatenate([self.best[2], np.array(ids.to_pylist(), dtype=str)]),
         )
 
     def _keep(self, question, score, chunk_id) -> None:
@@ -387,6 +389,12 @@ def typed_search_with_fallback(
     return typed.unionByName(again)
 
 
+def hit_bound(queries: DataFrame, k: int) -> int | None:
+    """Proven bound on the hits of ``queries`` for ``attach_chunks``, None if too many."""
+    n = queries.limit(SHIPPED_QUERY_ROWS + 1).count()
+    return n * k if n <= SHIPPED_QUERY_ROWS else None
+
+
 def attach_chunks(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Join chunk columns to ranked hits.
 

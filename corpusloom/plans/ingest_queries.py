@@ -10,7 +10,7 @@ from corpusloom.plans import ingest
 from corpusloom.plans import retrieval_queries as rq
 from corpusloom.plans import sqltext as sx
 from corpusloom.plans.registry import query
-from corpusloom.session import new_table_path
+from corpusloom.session import materialize, new_table_path
 from corpusloom.sources import readers, views
 from corpusloom.streaming import ingest as stream
 from corpusloom.streaming import status
@@ -41,7 +41,14 @@ def embed_texts(spark, d):
     return embedded.select("chunk_id", "source_file", "chunk_index", "embedding")
 
 
-@query("embed_with_function")
+_counts = ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in "etaoinsr")
+
+
+@query("embed_with_function", f"""
+SELECT doc_id, 8 AS dim, round(v[1] / n, 4) AS first_value, round(v[8] / n, 4) AS last_value
+FROM (SELECT *, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-9) AS n
+      FROM (SELECT doc_id, [{_counts}]::DOUBLE[] AS v FROM documents))
+""")
 def embed_with_function(spark, d):
     """A user's batch function in place of the default model."""
 
@@ -53,24 +60,25 @@ def embed_with_function(spark, d):
             out.append([c / size for c in counts])
         return out
 
-    docs = readers.read_table(spark, d, "documents").select("doc_id", "text")
-    return embedding.embed_with(docs, letter_shares, "text").drop("text")
-
-
-def _text_search(spark, d):
-    chunks, _, model = ingest.ingest_batch(views.documents(spark, d))
-    asked = readers.read_table(spark, d, "benchmark").select(
-        F.concat(F.lit("item_"), "item_id").alias("query_id"), "text"
+    docs = readers.spread(readers.read_table(spark, d, "documents").select("doc_id", "text"))
+    return embedding.embed_with(docs, letter_shares, "text").select(
+        "doc_id",
+        F.size("embedding").alias("dim"),
+        F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_value"),
+        F.round(F.get("embedding", F.lit(7)).cast("double"), 4).alias("last_value"),
     )
-    asked = model.embed(asked, "text", "vector").drop("text")
-    return retrieval.retrieve(asked, chunks, 10), chunks, asked
 
 
 @query("text_search")
 def text_search(spark, d):
     """Benchmark passages as questions against all document chunks."""
-    hits, chunks, _ = _text_search(spark, d)
-    return retrieval.attach_chunks(hits, chunks).select(
+    chunks, _, model = ingest.ingest_batch(views.documents(spark, d))
+    texts = readers.read_table(spark, d, "benchmark").select(
+        F.concat(F.lit("item_"), "item_id").alias("query_id"), "text"
+    )
+    questions = materialize(model.embed(texts, "text", "vector").drop("text"), "questions")
+    hits = retrieval.retrieve(questions, chunks, 10)
+    return retrieval.attach_chunks(hits, chunks, retrieval.hit_bound(questions, 10)).select(
         "query_id", "rank", "score", "chunk_id", "source_file", "page_number", "content"
     )
 

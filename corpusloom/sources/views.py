@@ -6,6 +6,8 @@ catalog rows, traces, judgements). Every view covers its whole base table.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,15 +86,9 @@ def chunks_with_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mean_vectors(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean vector per key: partial sums per (key, position) before the shuffle."""
-    return (
-        vectors.select(*keys, F.posexplode("embedding").alias("i", "x"))
-        .groupBy(*keys, "i")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"])
-             .alias("vector"))
-    )
+    """Mean vector per key; every task sends one partial mean per key."""
+    mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
+    return vectors.groupBy(*keys).agg(vector_to_array(mean).alias("vector"))
 
 
 def label_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +178,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the documents with a first-line title and headings at fixed line numbers."""
     raw = documents(spark, d).select(
-        "source_file", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
+        "source_file", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw")
     )
     turn = F.col("line_no") % 12
     line = (
@@ -205,7 +201,7 @@ def doc_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
     """Words of the document lines as spans, with gaps: no size, blanks, image blocks."""
-    line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    line = F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
     lines = documents(spark, d).select("source_file", line)
     return lines.select(
         "source_file",
@@ -226,7 +222,7 @@ def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Document lines as text chunks; two documents share one file name."""
     return (
         read_table(spark, d, "documents")
-        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
+        .select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("chunk_index", "content"))
         .where(tx.has_text(F.col("content")))
         .select(
             F.concat(F.lit("d"), "doc_id", F.lit("_"), "chunk_index").alias("chunk_id"),
