@@ -264,21 +264,24 @@ def default_answer(task: Column, question: Column) -> Column:
     )
 
 
-def answer_shell(requests: DataFrame, packed: DataFrame, n_citations: DataFrame,
+def answer_shell(requests: DataFrame, packed: DataFrame, cited: DataFrame,
                  key: str = "task_id") -> DataFrame:
     """One row per request, also without hits.
 
-    ``requests`` has ``task, question``; ``packed`` is the output of ``pack_context``.
+    ``requests`` has ``task, question``; ``packed`` is the output of ``pack_context`` and
+    ``cited`` has ``n_citations`` and whatever else is known of the citations.
     ``chunks_used`` counts the hits before packing.
     """
+    extra = [c for c in cited.columns if c not in (key, "n_citations")]
     return (
         requests.join(packed, key, "left")
-        .join(n_citations, key, "left")
+        .join(cited, key, "left")
         .select(
             *requests.columns,
             F.coalesce("context", F.lit("")).alias("context"),
             F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"),
             F.coalesce("n_citations", F.lit(0)).alias("n_citations"),
+            *extra,
             F.when(F.col("chunks_used").isNull(), default_answer(F.col("task"), F.col("question")))
             .alias("default_answer"),
         )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import context as ctx
 from corpusloom.operators import traces
+from corpusloom.plans import answer
 from corpusloom.plans import retrieval_queries as rq
 from corpusloom.plans import sqltext as sx
 from corpusloom.plans.registry import cte, query
@@ -165,24 +166,6 @@ FROM (""" + packed_sql("task_budgets", "task_id, part, budget", "position", "bud
 """, ("task_budgets",))
 
 
-def task_contexts(spark, d):
-    """Packed context per request; a comparison packs its two sides on their own."""
-    side = F.when(F.col("task") == "comparison", F.col("query_no")).otherwise(0)
-    hits = rq.full_task_hits(spark, d).withColumn(
-        "part", F.concat_ws("/", "task_id", side.cast("string"))
-    )
-    packed = ctx.pack_context(hits, F.col("budget"), "part", "position")
-    return packed.groupBy(F.substring_index("part", "/", 1).alias("task_id")).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("part", "context"))), lambda p: p["context"]
-            ),
-            "\n======\n",
-        ).alias("context"),
-        F.sum("chunks_used").alias("chunks_used"),
-    ), hits
-
-
 def _default_sql() -> str:
     cases = " ".join(
         "WHEN '{}' THEN '{}'".format(k, v.replace("'", "''"))
@@ -203,13 +186,12 @@ SELECT a.task_id, a.task, a.question, coalesce(p.context, '') AS context,
 FROM asked a LEFT JOIN task_packed p ON p.task_id = a.found_id LEFT JOIN cites c ON c.task_id = a.found_id
 """, ("requests", "task_full", "task_packed"))
 def answer_shell(spark, d):
-    packed, hits = task_contexts(spark, d)
-    cited = ctx.citations(hits, "task_id", "position").groupBy("task_id").agg(
-        F.count("*").alias("n_citations")
-    )
+    hits = rq.full_task_hits(spark, d)
     requests = views.task_requests(spark, d).select("task_id", "task", "question")
     unmatched = requests.withColumn("task_id", F.concat(F.lit("none_"), "task_id"))
-    return ctx.answer_shell(requests.unionByName(unmatched), packed, cited)
+    return ctx.answer_shell(
+        requests.unionByName(unmatched), answer.contexts(hits), answer.cited(hits)
+    ).drop("citations")
 
 
 def _template_sql() -> str:
@@ -224,7 +206,7 @@ def _template_sql() -> str:
 SELECT task_id, {_template_sql()} AS prompt FROM requests JOIN task_packed USING (task_id)
 """, ("requests", "task_packed"))
 def assemble_prompt(spark, d):
-    packed, _ = task_contexts(spark, d)
+    packed = answer.contexts(rq.full_task_hits(spark, d))
     return ctx.assemble_prompt(views.task_requests(spark, d).join(packed, "task_id")).select(
         "task_id", "prompt"
     )

@@ -36,6 +36,15 @@ def html_lines(spark, d):
     return elements.detect_headings(elements.html_lines(pages))
 
 
+@query("html_sections")
+def html_sections(spark, d):
+    """Web pages cut into headed sections, each page one document."""
+    pages = readers.read_table(spark, d, "pages").select(
+        F.concat(F.lit("page_"), "page_id").alias("source_file"), F.lit(1).alias("page_number"), "html"
+    )
+    return elements.sectionize(elements.html_lines(pages))
+
+
 @query("detect_headings", f"""
 SELECT source_file, page_number, line_no, text, font_size,
   {sx.is_heading('text', 'font_size')} AS is_heading FROM doc_lines

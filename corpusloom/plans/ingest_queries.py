@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
-from corpusloom.operators import embedding, evaluation, retrieval
-from corpusloom.plans import ingest
+from corpusloom.operators import embedding, evaluation, retrieval, tasks
+from corpusloom.plans import answer, ingest
 from corpusloom.plans import retrieval_queries as rq
 from corpusloom.plans import sqltext as sx
 from corpusloom.plans.registry import query
@@ -83,6 +83,27 @@ def text_search(spark, d):
     )
 
 
+@query("answer_requests")
+def answer_requests(spark, d):
+    """Every task for every benchmark passage as the question, over all document chunks."""
+    chunks, _, model = ingest.ingest_batch(views.documents(spark, d))
+    chunks = chunks.select(
+        "*", F.lit("").alias("image_path"), F.lit("").alias("image_description"),
+        F.lit("").alias("latex_source"), F.lit(None).cast(schemas.TABLE_DATA).alias("table_data"),
+    )
+    item = F.col("item_id").cast("string")
+    requests = readers.read_table(spark, d, "benchmark").select(
+        F.explode(F.array(*[F.lit(t) for t in tasks.TASKS])).alias("task"),
+        item.alias("item"),
+        F.col("text").alias("question"),
+        F.concat(F.lit("doc_"), item).alias("source"),
+        F.concat(F.lit("doc_"), F.col("item_id") + 1).alias("second_source"),
+    ).withColumn("task_id", F.concat("task", F.lit(":"), "item"))
+    return answer.answer_requests(
+        requests, chunks, lambda queries: model.embed(queries, "query_text", "vector")
+    )
+
+
 @query("ann_recall")
 def ann_recall(spark, d):
     questions = rq.plain_asked(spark, d)

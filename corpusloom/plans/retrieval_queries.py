@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
-from corpusloom.operators import embedding, retrieval, tasks
+from corpusloom.operators import embedding, retrieval
+from corpusloom.plans import answer
 from corpusloom.plans import sqltext as sx
 from corpusloom.plans.registry import query
 from corpusloom.session import materialize
 from corpusloom.sources import readers, views
 
 QUESTION_BOUND = 10 * views.N_SOURCES  # questions(): labels x sources
-TASK_HIT_BOUND = 9 * views.N_SOURCES * 45
 
 
 def asked(spark, d):
@@ -135,28 +135,20 @@ def typed_search_with_fallback(spark, d):
     return retrieval.typed_search_with_fallback(questions, views.chunk_vectors(spark, d))
 
 
-def task_hits(spark, d, task=None):
-    """Hits of the task requests (one task or all), merged per request."""
+def full_task_hits(spark, d, task=None):
+    """Merged hits of the task requests (one task or all) with chunk metadata and text."""
     planned = asked_tasks(spark, d, task)
-    ranked = retrieval.apply_threshold(
-        retrieval.knn_exact(planned, views.chunk_vectors(spark, d))
+    chunks = views.chunk_vectors(spark, d)
+    return answer.attach(
+        answer.search(planned, chunks), planned, chunks, views.chunk_texts(spark, d)
     )
-    keys = planned.select("query_id", "task_id", "task", "query_no", "budget")
-    return tasks.merge_task_hits(ranked.join(keys, "query_id").drop("query_id"))
-
-
-def full_task_hits(spark, d, task=None):
-    """The same with chunk metadata and text."""
-    hits = task_hits(spark, d, task)
-    meta = retrieval.attach_chunks(hits, views.chunk_vectors(spark, d), TASK_HIT_BOUND)
-    return retrieval.attach_chunks(meta, views.chunk_texts(spark, d), TASK_HIT_BOUND)
 
 
 @query("task_retrieval", """
 SELECT task_id, task, query_no, chunk_id, score, rank, position FROM task_hits
 """, ("task_hits",))
 def task_retrieval(spark, d):
-    return task_hits(spark, d).drop("budget")
+    return answer.search(asked_tasks(spark, d), views.chunk_vectors(spark, d)).drop("budget")
 
 
 @query("multi_query_dedup", f"""

@@ -54,6 +54,10 @@ def compare(spark, con, sf_dir, fn, sql):
     table = df.toArrow()
     took = time.time() - start
     got = list(zip(*[c.to_pylist() for c in table.columns])) if table.num_rows else []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        if bad in plan:
+            return False, f"plan has a {bad}"
     if sql is None:
         return table.num_rows > 0, f"spark {took:.2f}s, rows only: {table.num_rows}"
     result = con.execute(sql)
