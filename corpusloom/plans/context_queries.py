@@ -42,7 +42,7 @@ def citation_sql(source: str, group: str, order: str) -> str:
       FROM {source}) WHERE n = 1"""
 
 
-cte("cited", citation_sql("hits_full", "query_id", "rank"), ("hits_full",))
+cte("cited", citation_sql("hits_meta", "query_id", "rank"), ("hits_meta",))
 _citation_columns = f"""query_id, citation_no, source_file, page_number, section_heading AS section,
   {sx.round_exact_sql('score', 3)} AS relevance_score, element_type, content_type,
   CASE WHEN image_path <> '' THEN '/images/' || regexp_extract(image_path, '([^/]*)$', 1) END AS image_url,

@@ -168,8 +168,8 @@ def multi_query_dedup(spark, d):
 
 @query("compare_sources", """
 SELECT task_id, query_no + 1 AS side, source_file, chunk_id, score, rank
-FROM task_full WHERE task = 'comparison'
-""", ("task_full",))
+FROM task_meta WHERE task = 'comparison'
+""", ("task_meta",))
 def compare_sources(spark, d):
     planned = asked_tasks(spark, d, "comparison")
     hits = retrieval.apply_threshold(

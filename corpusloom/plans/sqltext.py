@@ -107,6 +107,9 @@ cte("hits", f"""
 SELECT h.* EXCLUDE (k), q.label AS query_label FROM hits_filtered h JOIN q USING (query_id)
 WHERE score >= greatest(0.3, coalesce(similarity_threshold, 0))
 """, ("hits_filtered", "q"))
+cte("hits_meta", """
+SELECT h.query_id, h.score, h.rank, c.* EXCLUDE (embedding) FROM hits h JOIN cv c USING (chunk_id)
+""", ("hits", "cv"))
 cte("hits_full", """
 SELECT h.query_id, h.score, h.rank, c.* EXCLUDE (embedding) FROM hits h JOIN cvt c USING (chunk_id)
 """, ("hits", "cvt"))
@@ -149,6 +152,10 @@ cte("task_full", """
 SELECT h.task_id, h.task, h.query_no, h.budget, h.score, h.rank, h.position, c.* EXCLUDE (embedding)
 FROM task_hits h JOIN cvt c USING (chunk_id)
 """, ("task_hits", "cvt"))
+cte("task_meta", """
+SELECT h.task_id, h.task, h.query_no, h.score, h.rank, c.* EXCLUDE (embedding)
+FROM task_hits h JOIN cv c USING (chunk_id)
+""", ("task_hits", "cv"))
 cte("image_meta", """
 SELECT image_path, CASE WHEN vec_id % 9 > 0 THEN CAST(vec_id % 100 + 40 AS INTEGER) END AS width,
   CASE WHEN vec_id % 9 > 0 THEN CAST(vec_id * 7 % 100 + 40 AS INTEGER) END AS height
