@@ -155,21 +155,25 @@ def neighbor_context(visuals: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Which paragraphs surround a page depends on the page alone, so the answer is made
     once per (source, page) and then joined: visuals never meet all paragraphs of their
-    page. The row limit runs before the shuffle as well as after it.
+    page. A page's own first five are taken before pages are spread to their neighbours,
+    and each row limit runs before its shuffle as well as after it.
     """
     page = ["source_file", "page_number"]
     order = Window.partitionBy(*page).orderBy("chunk_index", "chunk_id")
+
+    def first_rows(df: DataFrame) -> DataFrame:
+        return df.withColumn("_n", F.row_number().over(order)).where(
+            F.col("_n") <= NEIGHBOUR_COUNT
+        )
+
+    paragraphs = chunks.where(F.col("element_type") == "paragraph").select(
+        *page, "chunk_index", "chunk_id", F.left("content", F.lit(NEIGHBOUR_CUT)).alias("content")
+    )
+    around = F.array(F.col("page_number") - 1, F.col("page_number"), F.col("page_number") + 1)
     near = (
-        chunks.where(F.col("element_type") == "paragraph")
-        .select(
-            "source_file", "chunk_index", "chunk_id",
-            F.left("content", F.lit(NEIGHBOUR_CUT)).alias("content"),
-            F.explode(
-                F.array(F.col("page_number") - 1, F.col("page_number"), F.col("page_number") + 1)
-            ).alias("page_number"),
+        first_rows(
+            first_rows(paragraphs).withColumn("page_number", F.explode(around)).drop("_n")
         )
-        .withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= NEIGHBOUR_COUNT)
         .groupBy(*page)
         .agg(
             F.array_join(

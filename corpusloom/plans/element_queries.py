@@ -15,7 +15,7 @@ TABLE_COLUMNS = ["source_file", "page_number", "section_heading", "content"]
 
 @query("spans_to_lines", f"""
 SELECT source_file, page_number, 0 AS block_no, line_no,
-  string_agg({sx.strip('text')}, ' ' ORDER BY span_no) AS text, max(coalesce(size, 12.0)) AS font_size
+  string_agg({sx.strip('text')}, ' ' ORDER BY span_no) AS text, max(coalesce(size, 12::DOUBLE)) AS font_size
 FROM spans WHERE block_type = 0 AND {sx.has_text('text')}
 GROUP BY source_file, page_number, line_no
 """, ("spans",))

@@ -201,7 +201,7 @@ def sections(lines: str) -> str:
 
 cte("spans", """
 SELECT source_file, page_number, line_no, block_type, s.i - 1 AS span_no, s.w AS text,
-  CASE WHEN (s.i - 1) % 4 = 1 THEN NULL ELSE 9.0 + (s.i - 1) % 6 END AS size
+  CASE WHEN (s.i - 1) % 4 = 1 THEN NULL ELSE (9 + (s.i - 1) % 6)::DOUBLE END AS size
 FROM (
   SELECT source_file, CAST(line_no // 40 + 1 AS INTEGER) AS page_number, line_no,
     CASE WHEN line_no % 9 = 8 THEN 1 ELSE 0 END AS block_type,

@@ -302,7 +302,12 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
         F.lit("pdf").alias("file_type"),
         F.when(~failed, F.ceil(F.col("n_chars") / 2000)).cast("int").alias("total_pages"),
         F.when(~failed, F.ceil(F.col("n_chars") / 462)).cast("int").alias("total_chunks"),
-        F.timestamp_seconds(F.lit(1704067200) + div(doc, 3) * 60).alias("ingested_at"),
+        (
+            F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+            + F.make_dt_interval(mins=div(doc, 3).cast("int"))
+        )
+        .cast("timestamp")
+        .alias("ingested_at"),
         pick(doc % 4, "completed", "completed", "processing", "failed").alias("status"),
     )
 

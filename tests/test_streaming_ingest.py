@@ -40,6 +40,7 @@ def test_redelivery_does_not_duplicate(spark, tmp_path):
     rows = run(spark, folder, store, state).collect()
     assert len(rows) == len({r["chunk_id"] for r in rows})
     assert {r["source_file"] for r in rows} == {"a", "b", "c"}
+    assert len(run(spark, folder, store, tmp_path / "state3").collect()) == len(rows)  # new checkpoint
     again = run(spark, folder, tmp_path / "store2", tmp_path / "state2")  # from scratch: same ids
     assert {r["chunk_id"] for r in again.collect()} == {r["chunk_id"] for r in rows}
 
