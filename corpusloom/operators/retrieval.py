@@ -398,13 +398,16 @@ def hit_bound(queries: DataFrame, k: int) -> int | None:
 def attach_chunks(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Join chunk columns to ranked hits.
 
-    ``max_hits`` is a proven bound on the hits (questions x k). Within the broadcast
-    limit the chunk table is only scanned; otherwise the planner chooses.
+    ``max_hits`` is a proven bound on the hits (see ``hit_bound``). Within the limit only
+    their chunk ids are broadcast, so the chunk table is scanned and filtered without a
+    shuffle and what remains of it is as small as the hits; otherwise the planner
+    chooses. ``hits`` is used twice: store it first where it is expensive.
     """
-    side = hits
+    chunks = chunks.drop("embedding")
     if max_hits is not None and max_hits <= BROADCAST_HIT_ROWS:
-        side = F.broadcast(hits)
-    return chunks.drop("embedding").join(side, "chunk_id")
+        ids = hits.select("chunk_id").distinct()
+        chunks = chunks.join(F.broadcast(ids), "chunk_id", "left_semi")
+    return chunks.join(hits, "chunk_id")
 
 
 # ------------------------------------------------------------------- multi-query merges

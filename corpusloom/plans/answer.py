@@ -28,9 +28,9 @@ def attach(hits: DataFrame, planned: DataFrame, *tables: DataFrame) -> DataFrame
     """Hits with the columns of the chunk tables, written once.
 
     Contexts, citations and reports all read the result, so the search and the chunk
-    tables are gone through a single time. It has at most ``LONGEST_TASK`` rows per
-    request.
+    tables are gone through a single time. A request has at most ``LONGEST_TASK`` hits.
     """
+    hits = materialize(hits, "merged-hits")
     bound = retrieval.hit_bound(planned, LONGEST_TASK)
     for table in tables:
         hits = retrieval.attach_chunks(hits, table, bound)

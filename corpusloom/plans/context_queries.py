@@ -50,10 +50,7 @@ _citation_columns = f"""query_id, citation_no, source_file, page_number, section
 
 
 def _cited(spark, d):
-    hits = rq.thresholded_hits(spark, d)
-    return ctx.citations(
-        rq.retrieval.attach_chunks(hits, views.chunk_vectors(spark, d), rq.QUESTION_BOUND * 10)
-    )
+    return ctx.citations(rq.hits_with(spark, d, views.chunk_vectors(spark, d)))
 
 
 @query("citations", f"SELECT {_citation_columns} FROM cited", ("cited",))

@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 from corpusloom.operators import evaluation as ev
 from corpusloom.plans import retrieval_queries as rq
 from corpusloom.plans.registry import cte, query
+from corpusloom.session import materialize, small_side
 from corpusloom.sources import readers, views
 
 
 def per_query(spark, d):
     """Quality per question at k = 10; a chunk is relevant when it has the question's label."""
-    questions = rq.asked(spark, d)
-    asked = questions.select("query_id", "label", "filter_type")
-    vectors = views.chunk_vectors(spark, d)
-    labels = vectors.select("chunk_id", F.col("label").alias("chunk_label"))
-    hits = rq.retrieval.attach_chunks(
-        rq.retrieval.retrieve(questions, vectors, 10), labels, rq.QUESTION_BOUND * 10
+    asked = rq.asked(spark, d).select("query_id", "label", "filter_type")
+    labels = views.chunk_vectors(spark, d).select(
+        "chunk_id", F.col("label").alias("chunk_label")
     )
+    hits = rq.hits_with(spark, d, labels)
     judged = hits.join(asked, "query_id").withColumn(
         "relevant", F.col("label") == F.col("chunk_label")
     )
@@ -129,11 +128,11 @@ FROM cv c JOIN label_q l USING (label) GROUP BY label
 """, ("cv", "label_q"))
 def answer_relevancy(spark, d):
     """Each label's mean vector as the question, its members as generated questions."""
-    asked = views.label_questions(spark, d).select(
+    asked = materialize(views.label_questions(spark, d), "labels").select(
         F.col("query_id").alias("question_id"), "label", F.col("vector").alias("question_vector")
     )
     generated = views.chunk_vectors(spark, d).select("label", F.col("embedding").alias("generated_vector"))
-    pairs = generated.join(F.broadcast(asked), "label")  # ten rows
+    pairs = generated.join(small_side(asked, 10_000), "label")
     return ev.answer_relevancy(pairs).withColumn("answer_relevancy", F.round("answer_relevancy", 6))
 
 

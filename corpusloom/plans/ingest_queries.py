@@ -77,7 +77,7 @@ def text_search(spark, d):
         F.concat(F.lit("item_"), "item_id").alias("query_id"), "text"
     )
     questions = materialize(model.embed(texts, "text", "vector").drop("text"), "questions")
-    hits = retrieval.retrieve(questions, chunks, 10)
+    hits = materialize(retrieval.retrieve(questions, chunks, 10), "hits")
     return retrieval.attach_chunks(hits, chunks, retrieval.hit_bound(questions, 10)).select(
         "query_id", "rank", "score", "chunk_id", "source_file", "page_number", "content"
     )

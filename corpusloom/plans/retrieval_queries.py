@@ -9,11 +9,9 @@ from corpusloom.operators import embedding, retrieval
 from corpusloom.plans import answer
 from corpusloom.plans import sqltext as sx
 from corpusloom.plans.registry import query
-from corpusloom.session import materialize
+from corpusloom.session import materialize, small_side
 from corpusloom.sources import readers, views
 
-QUESTION_BOUND = 10 * views.N_SOURCES  # questions(): labels x sources
-
 
 def asked(spark, d):
     """The question table, computed once: making its vectors reads the whole chunk table."""
@@ -37,7 +35,8 @@ SELECT c.chunk_id, round((1 + list_cosine_similarity(l.vector, c.embedding)) / 2
 FROM cv c JOIN label_q l USING (label)
 """, ("cv", "label_q"))
 def similarity(spark, d):
-    centre = F.broadcast(views.label_questions(spark, d).select("label", "vector"))  # ten rows
+    centre = small_side(materialize(views.label_questions(spark, d), "labels"), 10_000)
+    centre = centre.select("label", "vector")
     return views.chunk_vectors(spark, d).join(centre, "label").select(
         "chunk_id",
         F.round(vectors.similarity(F.col("vector"), F.col("embedding")), 6).alias("score"),
@@ -90,21 +89,25 @@ def knn_filtered(spark, d):
     return retrieval.knn_exact(asked(spark, d), views.chunk_vectors(spark, d), 10)
 
 
-def thresholded_hits(spark, d):
-    return retrieval.retrieve(asked(spark, d), views.chunk_vectors(spark, d), 10)
+def hits_with(spark, d, *tables):
+    """Filtered, thresholded hits of all questions with the columns of chunk tables."""
+    questions = asked(spark, d)
+    hits = retrieval.retrieve(questions, views.chunk_vectors(spark, d), 10)
+    if tables:
+        hits = materialize(hits, "hits")
+    bound = retrieval.hit_bound(questions, 10)
+    for table in tables:
+        hits = retrieval.attach_chunks(hits, table, bound)
+    return hits
 
 
 def full_hits(spark, d):
-    """Filtered, thresholded hits with chunk metadata and text."""
-    hits = thresholded_hits(spark, d)
-    bound = QUESTION_BOUND * 10
-    meta = retrieval.attach_chunks(hits, views.chunk_vectors(spark, d), bound)
-    return retrieval.attach_chunks(meta, views.chunk_texts(spark, d), bound)
+    return hits_with(spark, d, views.chunk_vectors(spark, d), views.chunk_texts(spark, d))
 
 
 @query("knn_threshold", "SELECT query_id, chunk_id, score, rank FROM hits", ("hits",))
 def knn_threshold(spark, d):
-    return thresholded_hits(spark, d)
+    return hits_with(spark, d)
 
 
 @query("typed_search", f"""
