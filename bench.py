@@ -17,7 +17,7 @@ HEADLINE = [
     "text_metrics", "blend_score", "split_sentences", "sectionize", "sectionize_documents",
     "chunk_text", "chunk_elements", "table_elements", "knn_exact", "knn_filtered", "knn_ann",
     "task_retrieval", "pack_context", "citations", "answer_shell", "neighbor_context",
-    "text_search", "ingest_batch", "answer_f1", "best_of_passes", "catalog_upsert",
+    "text_search", "answer_requests", "ingest_batch", "answer_f1", "best_of_passes", "catalog_upsert",
     "catalog_delete_cascade", "chunk_upsert", "history_window", "agent_run_stats",
     "hit_rate_at_k", "latency_percentiles", "stream_status", "stream_ingest",
 ]

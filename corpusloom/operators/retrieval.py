@@ -195,7 +195,7 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> Da
     small = checked_table(questions, SHIPPED_QUERY_ROWS, SHIPPED_QUERY_BYTES)
     if small is not None:
         return _scan_with_shipped_questions(small, chunks)
-    return _grid(questions, chunks)
+    return knn_grid(queries, chunks, k)
 
 
 def _scan_with_shipped_questions(table: pa.Table, chunks: DataFrame) -> DataFrame:
@@ -228,10 +228,15 @@ def _narrow(chunks: DataFrame, table: pa.Table) -> DataFrame:
     return chunks
 
 
-def _grid(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Block-nested search: every chunk block meets every question block once."""
+def knn_grid(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+    """``knn_exact`` for question tables too large to ship.
+
+    Every chunk block meets every question block once, in a task of its own; blocks are
+    hashes of the ids and hold a bounded number of rows.
+    """
+    questions = _as_questions(queries, k or DEFAULT_TOP_K)
     row = questions.agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
-    top = int(row["k"])
+    top = int(row["k"] or DEFAULT_TOP_K)
     q_blocks = max(1, math.ceil(row["n"] / GRID_QUERY_ROWS))
     c_blocks = max(1, math.ceil(chunks.count() / GRID_CHUNK_ROWS))
 

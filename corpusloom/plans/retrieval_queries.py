@@ -83,6 +83,12 @@ def knn_exact(spark, d):
     return retrieval.knn_exact(plain_asked(spark, d), views.chunk_vectors(spark, d), 10)
 
 
+@query("knn_grid", "SELECT query_id, chunk_id, score, rank FROM hits_filtered", ("hits_filtered",))
+def knn_grid(spark, d):
+    """Filtered search on the path for large question tables."""
+    return retrieval.knn_grid(asked(spark, d), views.chunk_vectors(spark, d), 10)
+
+
 @query("knn_filtered", "SELECT query_id, chunk_id, score, rank FROM hits_filtered",
        ("hits_filtered",))
 def knn_filtered(spark, d):
@@ -247,14 +253,20 @@ def paper_preview(spark, d):
     return retrieval.paper_preview(views.doc_chunks(spark, d), wanted)
 
 
-def ann_hits(spark, d, questions):
-    """Approximate search over an index of 16 cells, six of them probed."""
+def ann_hits(spark, d, questions, probes=6):
+    """Approximate search over an index of 16 cells."""
     chunks = views.chunk_vectors(spark, d)
     centres = retrieval.train_cells(chunks, n_cells=16)
     index = materialize(retrieval.assign_cells(chunks, centres), "cells")
-    return retrieval.knn_ann(questions, index, centres, 6, 10)
+    return retrieval.knn_ann(questions, index, centres, probes, 10)
 
 
 @query("knn_ann")
 def knn_ann(spark, d):
     return ann_hits(spark, d, plain_asked(spark, d))
+
+
+@query("knn_ann_all_cells", "SELECT query_id, chunk_id, score, rank FROM hits_plain", ("hits_plain",))
+def knn_ann_all_cells(spark, d):
+    """With every cell probed the index gives the exact answer."""
+    return ann_hits(spark, d, plain_asked(spark, d), probes=16)
