@@ -45,7 +45,8 @@ _counts = ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in
 
 
 @query("embed_with_function", f"""
-SELECT doc_id, 8 AS dim, round(v[1] / n, 4) AS first_value, round(v[8] / n, 4) AS last_value
+SELECT doc_id, 8 AS dim, round((v[1] / n)::FLOAT::DOUBLE, 4) AS first_value,
+  round((v[8] / n)::FLOAT::DOUBLE, 4) AS last_value
 FROM (SELECT *, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-9) AS n
       FROM (SELECT doc_id, [{_counts}]::DOUBLE[] AS v FROM documents))
 """)

@@ -171,6 +171,16 @@ def test_percentiles_are_exact(spark):
     assert got["one"]["p99"] == 3.5
 
 
+def test_percentile_sketch_is_within_its_error(spark):
+    import numpy as np
+    values = np.sort(np.random.default_rng(1).exponential(20, 5000))
+    df = spark.createDataFrame([("e", float(v)) for v in values], "endpoint string, latency_s double")
+    got = ev.latency_percentiles_approx(df, accuracy=100).first()
+    for share in (0.5, 0.9, 0.99):
+        rank = np.searchsorted(values, got[f"p{round(share * 100)}"], side="right") / len(values)
+        assert abs(rank - share) <= 1 / 100 + 1 / len(values)
+
+
 def test_answer_f1(spark):
     df = spark.createDataFrame([(1, "a a b", "a b c"), (2, "", ""), (3, "x", "y"), (4, None, "y")],
                                "id int, predicted string, truth string")
