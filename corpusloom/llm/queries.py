@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, packing, sharding, tokens
+from corpusloom.llm import ann, langid, lm, maxscore, mixing, packing, sharding, tokens
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +21,14 @@ def pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.neighbours(_table(spark, folder, "embeddings"))
+
+
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_id(_table(spark, folder, "documents"))
+
+
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(
         _table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
@@ -31,14 +39,26 @@ def shard(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(docs, ["doc_id"], SHARDS).select("doc_id", "slot", "shard")
 
 
+def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return maxscore.top_k(_table(spark, folder, "embeddings"))
+
+
+def model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_documents(_table(spark, folder, "documents"))
+
+
 def mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": pack,
+    "op4_adaptive_scan": nearest,
+    "op5_language_id": languages,
     "op6_token_counts": token_counts,
     "op7_sharding": shard,
+    "op8_maxscore": exact_top_k,
+    "op9_recurrent_scores": model_scores,
     "op10_mixing": mix,
 }
 
@@ -54,7 +74,26 @@ def all_sql() -> dict[str, str]:
         "(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT"
         f" % {size})::INTEGER"
     )
+    part = "WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL"
     return {
+        "op8_maxscore": f"""
+WITH parts AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d
+  FROM embeddings {part}),
+good AS (
+  SELECT vec_id FROM parts GROUP BY vec_id
+  HAVING count(x) = count(*) AND bool_and(isfinite(x))),
+terms AS (
+  SELECT p.vec_id, d, floor(1024 * p.x::DOUBLE)::BIGINT AS v
+  FROM parts p JOIN good USING (vec_id)),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.v * c.v)::BIGINT AS score
+  FROM terms q JOIN terms c ON q.d = c.d AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM scores) WHERE rank <= 10""",
         "op7_sharding": f"SELECT doc_id, slot, ({owners})[slot + 1]::INTEGER AS shard "
         f"FROM (SELECT doc_id, {slot} AS slot FROM documents)",
     }

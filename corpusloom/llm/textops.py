@@ -7,11 +7,13 @@ bytes, or one document if that is longer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 
 SLICE = 1 << 19
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -145,6 +147,12 @@ def longs(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def ship(spark, value) -> Callable:
+    """Broadcast ``value``, classes by value too; the result gives it inside a task."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 def word_counts(docs, keep: list[str], text_col: str = "text", out: str = "size"):
     """``keep`` columns of ``docs`` and the number of words of each whole text (null: 0)."""
     rows = docs.select(*keep, docs[text_col].alias("_text"))

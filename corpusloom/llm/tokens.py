@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.textops import FULL, U64, mix, sums, text_slices
+from corpusloom.llm.textops import FULL, U64, mix, ship, sums, text_slices
 
 CHUNK = 64
 #: Pieces whose counts a task keeps; beyond it the table starts anew (a cache, no limit).
@@ -302,11 +302,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, text_col: str = "
     ``path``: a tokenizer file that the driver reads; its compiled tables are broadcast
     (a vocabulary's size, whatever the corpus). The table is scanned once, without a shuffle.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    spec = ship(docs.sparkSession, read_spec(path))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(spec.value)
+        counter = Counter(spec())
         for batch in batches:
             sizes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for _, _, data, offsets in text_slices(batch.column("text")):
