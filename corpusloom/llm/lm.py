@@ -239,7 +239,7 @@ class Network:
         d_states = np.zeros_like(states)
         d_states[live] = back
         d = np.zeros_like(h)
-        n = HIDDEN
+        d_inputs = []
         for t in reversed(range(inputs.shape[1])):
             tokens, before, z, r, s_new, new = keep[t]
             d = d + d_states[:, t]
@@ -248,13 +248,17 @@ class Network:
             d_r = d_new * s_new * r * (1 - r)
             d_x = np.concatenate([d_z, d_r, d_new], axis=1)
             d_s = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            np.add.at(grads["inputs"], tokens, d_x)
+            d_inputs.append(d_x)
             grads["state"] += before.T @ d_s
             d = d * z + d_s @ self.p["state"].T
+        read = inputs.T[::-1].ravel()
+        order = np.argsort(read, kind="stable")
+        first = np.flatnonzero(np.diff(read[order], prepend=-1))
+        grads["inputs"][read[order][first]] = np.add.reduceat(
+            np.concatenate(d_inputs)[order], first, axis=0)
         count = max(1, int(live.sum()))
         for value in grads.values():
             value /= count
-        del n
         return grads, h, float(out.sum()) / count
 
     def train(self, stretches: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.02,

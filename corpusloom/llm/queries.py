@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ann, langid, lm, maxscore, mixing, packing, sharding, tokens
+from corpusloom.llm import (
+    ann,
+    langid,
+    lines,
+    lm,
+    maxscore,
+    mixing,
+    near,
+    packing,
+    sharding,
+    tokens,
+)
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +32,15 @@ def pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", "text")
+
+
+def near_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, folder, "documents"), words=2)
+
+
 def nearest(spark: SparkSession, folder: str) -> DataFrame:
     return ann.neighbours(_table(spark, folder, "embeddings"))
 
@@ -53,6 +73,8 @@ def mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": pack,
+    "op2_line_dedup": fuzzy_lines,
+    "op3_near_duplicates": near_documents,
     "op4_adaptive_scan": nearest,
     "op5_language_id": languages,
     "op6_token_counts": token_counts,
