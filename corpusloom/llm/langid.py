@@ -190,22 +190,9 @@ def mixtures(model: Model, scanner: Scanner, data, offsets) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text",
-             keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns, lang_pred, score (share of that language), languages and shares.
-
-    ``languages``: the selected set, largest share first (ties by name), with ``shares``.
-    ``und`` with score 0 and empty arrays: null or empty text, no letter in it, or no
-    language learned. Rows are independent: repeated rows get equal results, an empty table
-    an empty one; null ids pass through, and other columns are not looked at.
-    """
-    keep = docs.columns if keep is None else keep
-    names = [f"_k{i}" for i in range(len(keep))]
-    rows = docs.select(
-        *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)),
-        F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("_text"),
-    )
-    shipped = ship(docs.sparkSession, model)
+def _predict(rows: DataFrame, names: list[str], model: Model) -> DataFrame:
+    """``names`` of ``rows`` and the prediction for its column ``_text``."""
+    shipped = ship(rows.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, model = Scanner(), shipped()
@@ -226,13 +213,55 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text",
                  pa.array([s[0] if s else UNKNOWN for s in sets], pa.string()),
                  pa.array([min(v[0], 1.0) if v else 0.0 for v in values], pa.float64()),
                  pa.array(sets, pa.list_(pa.string())), pa.array(values, pa.list_(pa.float64()))],
-                names=[*names, "lang_pred", "score", "languages", "shares"])
+                names=[*names, "_pred", "_score", "_languages", "_shares"])
 
     kinds = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
-    found = rows.mapInArrow(
-        run, f"{kinds}lang_pred string, score double, languages array<string>, "
-        "shares array<double>")
-    return found.withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return rows.mapInArrow(
+        run, f"{kinds}_pred string, _score double, _languages array<string>, "
+        "_shares array<double>")
+
+
+def _lettered(text_col: str):
+    """The text, or null if it has no letter."""
+    return F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("_text")
+
+
+def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` columns, lang_pred, score (share of that language), languages and shares.
+
+    ``languages``: the selected set, largest share first (ties by name), with ``shares``.
+    ``und`` with score 0 and empty arrays: null or empty text, no letter in it, or no
+    language learned. Rows are independent: repeated rows get equal results, an empty table
+    an empty one; null ids pass through, and other columns are not looked at.
+    """
+    names = [f"_k{i}" for i in range(len(keep))]
+    rows = docs.select(
+        *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)),
+        _lettered(text_col))
+    return _predict(rows, names, model).select(
+        *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)),
+        F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"),
+        F.col("_languages").alias("languages"), F.col("_shares").alias("shares"))
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text",
+                    lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text one language holds at least ``least``.
+
+    Texts that are ``und`` go. A null language is filled with the predicted one.
+    """
+    names = [f"_k{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    text, lang = (names[docs.columns.index(c)] for c in (text_col, lang_col))
+    has_letter = F.col(text).rlike(r"\p{L}")
+    others = [n for n in names if n != text]
+    found = _predict(
+        rows.filter(has_letter).withColumnRenamed(text, "_text"), [*others, "_text"], model)
+    found = found.filter((F.col("_pred") != UNKNOWN) & (F.col("_score") >= least))
+    found = found.withColumn(lang, F.coalesce(lang, "_pred"))
+    return found.select(
+        *(F.col("_text" if n == text else n).alias(c)
+          for n, c in zip(names, docs.columns, strict=True)))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -243,4 +272,4 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("doc_id"), in_fold(F.col(id_col), 4, 2).alias("held_out"),
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = Model.fit(rows.filter(~F.col("held_out")))
-    return identify(rows, model, keep=["doc_id", "held_out"])
+    return identify(rows, model, ["doc_id", "held_out"])
