@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.session import small_side
 
 # Texts shown to readers.
 NO_PAPERS = "No papers have been uploaded and processed yet."
@@ -19,8 +18,12 @@ def dedup_by_filename(uploads: DataFrame) -> DataFrame:
 
 
 def last_version(rows: DataFrame, version: str, key: str = "id") -> DataFrame:
-    """Highest ``version`` per key; each task keeps one row per key before the shuffle."""
-    latest = Window.partitionBy(key).orderBy(F.desc(version))
+    """Highest ``version`` per key; each task keeps one row per key before the shuffle.
+
+    Equal versions of a key go by the whole row, so that reruns agree.
+    """
+    others = [F.to_json(F.struct(*rows.columns))]
+    latest = Window.partitionBy(key).orderBy(F.desc(version), *others)
     return rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
 
 
@@ -49,7 +52,7 @@ def catalog_apply_status(catalog: DataFrame, updates: DataFrame, version: str =
 
 
 def catalog_lookup(catalog: DataFrame, ids: DataFrame) -> DataFrame:
-    return catalog.join(small_side(ids.select("id")), "id", "left_semi")
+    return catalog.join(ids.select("id"), "id", "left_semi")
 
 
 def catalog_list(catalog: DataFrame) -> DataFrame:
@@ -64,9 +67,9 @@ def catalog_delete_cascade(
 
     Chunks go by filename: a second catalog row of the same file loses its chunks too.
     """
-    wanted = small_side(ids.select("id"))
+    wanted = ids.select("id")
     doomed = catalog.join(wanted, "id", "left_semi").select("id", "filename")
-    files = small_side(doomed.select(F.col("filename").alias("source_file")).distinct())
+    files = doomed.select(F.col("filename").alias("source_file")).distinct()
     kept_catalog = catalog.join(wanted, "id", "left_anti")
     kept_chunks = chunks.join(files, "source_file", "left_anti")
     per_file = (
@@ -114,13 +117,13 @@ def chunk_count(chunks: DataFrame) -> DataFrame:
 
 def chunks_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.drop("embedding").join(
-        small_side(ids.select("chunk_id")), "chunk_id", "left_semi"
+        ids.select("chunk_id"), "chunk_id", "left_semi"
     )
 
 
 def chunks_by_source(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     return chunks.drop("embedding").join(
-        small_side(sources.select("source_file")), "source_file", "left_semi"
+        sources.select("source_file"), "source_file", "left_semi"
     )
 
 

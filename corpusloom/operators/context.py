@@ -18,15 +18,17 @@ NEIGHBOUR_CUT = 600
 NO_NEIGHBOURS = "(no surrounding text available)"
 TABLE_PREVIEW_ROWS = 3
 TABLE_PREVIEW_CUT = 120
+UNKNOWN = "?"  # a hit whose chunk row is missing
 
 
 def context_block() -> Column:
-    """One hit as a cited block of text."""
+    """One hit as a cited block of text; what its chunk row lacks is shown as unknown."""
     section = F.coalesce("section_heading", F.lit(""))
     return F.concat(
-        F.lit("[Source: "), "source_file", F.lit(", Page "), F.col("page_number").cast("string"),
+        F.lit("[Source: "), F.coalesce("source_file", F.lit(UNKNOWN)), F.lit(", Page "),
+        F.coalesce(F.col("page_number").cast("string"), F.lit(UNKNOWN)),
         F.when(section != "", F.concat(F.lit(", Section: "), section)).otherwise(""),
-        F.lit("] (Relevance: "), fixed(F.col("score"), 2), F.lit(")\n"), "content", F.lit("\n"),
+        F.lit("] (Relevance: "), fixed(F.col("score"), 2), F.lit(")\n"), F.coalesce("content", F.lit("")), F.lit("\n"),
     )
 
 
@@ -60,23 +62,35 @@ def pack_context(
     )
 
 
-def citations(hits: DataFrame, group: str = "query_id", order: str = "rank") -> DataFrame:
+def citations(hits: DataFrame, group: str = "query_id", order: str = "rank",
+              images: DataFrame | None = None) -> DataFrame:
     """First hit per (source, page, kind, image name), numbered in rank order.
 
     Text hits of one page share a citation; so do two tables of one page, because both
-    have no image.
+    have no image. ``images`` lists the stored images (``image_path``): an image that is
+    not among them is not linked. Without it every named image counts as stored.
     """
     visual = F.col("element_type").isin(VISUAL_TYPES)
     kind = F.when(visual, F.col("element_type")).otherwise("text")
     image = F.coalesce(tx.basename(F.col("image_path")), F.lit(""))
     first = Window.partitionBy(group, "source_file", "page_number", "_kind", "_image").orderBy(order)
     numbered = Window.partitionBy(group).orderBy(order)
-    return (
+    kept = (
         hits.withColumn("_kind", kind)
         .withColumn("_image", image)
         .withColumn("_n", F.row_number().over(first))
         .where("_n = 1")
-        .select(
+    )
+    stored = F.lit(True)
+    if images is not None:
+        listed = images.select(F.col("image_path").alias("_path")).distinct()
+        # most citations have no image: a key of their own each keeps them spread
+        key = F.when(F.col("_image") != "", F.col("image_path")).otherwise(
+            F.concat_ws(":", F.lit("no image"), group, "chunk_id"))
+        kept = kept.withColumn("_key", key).join(listed, F.col("_key") == F.col("_path"), "left")
+        stored = F.col("_path").isNotNull()
+    return (
+        kept.select(
             group,
             F.row_number().over(numbered).alias("citation_no"),
             "source_file",
@@ -85,7 +99,8 @@ def citations(hits: DataFrame, group: str = "query_id", order: str = "rank") ->
             round_exact(F.col("score"), 3).alias("relevance_score"),
             "element_type",
             "content_type",
-            F.when(F.col("_image") != "", F.concat(F.lit("/images/"), "_image")).alias("image_url"),
+            F.when((F.col("_image") != "") & stored, F.concat(F.lit("/images/"), "_image"))
+            .alias("image_url"),
             F.nullif("image_description", F.lit("")).alias("image_description"),
             "table_data",
             F.nullif("latex_source", F.lit("")).alias("latex_source"),
@@ -106,16 +121,22 @@ def visual_citations(cited: DataFrame) -> DataFrame:
 def list_visuals(chunks: DataFrame, image_meta: DataFrame) -> DataFrame:
     """Figures, tables and equations to show, with small images left out.
 
-    A figure needs a known image; any item whose known image has a side under 50 goes.
+    A figure needs a stored image. Any item whose stored image has a side under 50, or
+    cannot be read (NULL size), goes.
     Most tables and formulas have no image: they get a join key of their own each, so
     that the empty path is not one hot key.
     """
-    size = image_meta.select(F.col("image_path").alias("_key"), F.col("width").alias("image_width"),
+    size = image_meta.select(F.col("image_path").alias("_key"), F.lit(True).alias("_stored"),
+                             F.col("width").alias("image_width"),
                              F.col("height").alias("image_height"))
     path = F.coalesce("image_path", F.lit(""))
     key = F.when(path == "", F.concat(F.lit("no image:"), "chunk_id")).otherwise(path)
-    known = F.col("image_width").isNotNull()
-    big = (F.col("image_width") >= MIN_IMAGE_SIDE) & (F.col("image_height") >= MIN_IMAGE_SIDE)
+    stored = F.col("_stored").isNotNull()
+    big = F.least(F.coalesce("image_width", F.lit(0)), F.coalesce("image_height", F.lit(0)))
+    payload = [  # what the chunk table has of an item's own data
+        (F.nullif(c, F.lit("")) if c != "table_data" else F.col(c)).alias(c)
+        for c in ("image_description", "table_data", "latex_source") if c in chunks.columns
+    ]
     type_order = (
         F.when(F.col("element_type") == "figure", 0)
         .when(F.col("element_type") == "table", 1)
@@ -125,14 +146,15 @@ def list_visuals(chunks: DataFrame, image_meta: DataFrame) -> DataFrame:
         chunks.where(F.col("element_type").isin(VISUAL_TYPES))
         .withColumn("_key", key)
         .join(size, "_key", "left")
-        .where(F.when(known, big).otherwise(F.col("element_type") != "figure"))
+        .where(F.when(stored, big >= MIN_IMAGE_SIDE).otherwise(F.col("element_type") != "figure"))
         .select(
             "chunk_id", "source_file", "element_type", "page_number", "section_heading",
             F.left(F.coalesce("content", F.lit("")), F.lit(VISUAL_CUT)).alias("content"),
-            F.when(known, F.concat(F.lit("/images/"), tx.basename(F.col("image_path")))).alias(
+            F.when(stored, F.concat(F.lit("/images/"), tx.basename(F.col("image_path")))).alias(
                 "image_url"
             ),
             "image_width", "image_height",
+            *payload,
             type_order.alias("type_order"),
         )
         .orderBy("source_file", "page_number", "type_order", "chunk_id")
@@ -166,7 +188,8 @@ def neighbor_context(visuals: DataFrame, chunks: DataFrame) -> DataFrame:
             F.col("_n") <= NEIGHBOUR_COUNT
         )
 
-    paragraphs = chunks.where(F.col("element_type") == "paragraph").select(
+    texts = chunks.where((F.col("element_type") == "paragraph") & F.col("content").isNotNull())
+    paragraphs = texts.select(
         *page, "chunk_index", "chunk_id", F.left("content", F.lit(NEIGHBOUR_CUT)).alias("content")
     )
     around = F.array(F.col("page_number") - 1, F.col("page_number"), F.col("page_number") + 1)
@@ -194,7 +217,7 @@ def neighbor_context(visuals: DataFrame, chunks: DataFrame) -> DataFrame:
 TASK_TEMPLATES = {
     "question_answering": "Answer from the passages only and cite them.\n\nPassages:\n{context}\n\nQuestion: {question}\nAnswer:",
     "summarization": "Summarise the passages: aim, method, findings, limits.\n\nPassages:\n{context}\n\nSummary:",
-    "comparison": "Compare the two papers point by point.\n\n{context}\n\nComparison:",
+    "comparison": "Compare the two papers point by point.\n\nFirst paper, {source}:\n{first}\n\nSecond paper, {second_source}:\n{second}\n\nComparison:",
     "literature_survey": "Write a survey on {question} from the passages.\n\nPassages:\n{context}\n\nSurvey:",
     "research_gaps": "Name open problems that the passages leave.\n\nPassages:\n{context}\n\nGaps:",
     "concept_explanation": "Explain {question} with the passages.\n\nPassages:\n{context}\n\nExplanation:",
@@ -217,14 +240,19 @@ def _pick(key: Column, options: dict[str, str]) -> Column:
 
 
 def assemble_prompt(rows: DataFrame) -> DataFrame:
-    """Add ``prompt`` from ``task, context, question``."""
-    filled = F.replace(
-        F.replace(
-            _pick(F.col("task"), TASK_TEMPLATES),
-            F.lit("{question}"), F.coalesce("question", F.lit("")),
-        ),
-        F.lit("{context}"), F.coalesce("context", F.lit("")),
-    )
+    """Add ``prompt`` from ``task, context, question`` and, for comparisons, the names and
+    contexts of the two sides (``source, second_source, first, second``).
+
+    A survey without a topic is one on the uploaded papers.
+    """
+    topic = F.when(
+        (F.col("task") == "literature_survey") & ~tx.has_text(F.coalesce("question", F.lit(""))),
+        WITHOUT_TOPIC,
+    ).otherwise(F.coalesce("question", F.lit("")))
+    filled = F.replace(_pick(F.col("task"), TASK_TEMPLATES), F.lit("{question}"), topic)
+    for name in ("source", "second_source", "first", "second", "context"):
+        value = F.coalesce(name, F.lit("")) if name in rows.columns else F.lit("")
+        filled = F.replace(filled, F.lit(f"{{{name}}}"), value)
     return rows.withColumn("prompt", filled)
 
 
@@ -248,6 +276,37 @@ def assemble_visual_prompt(rows: DataFrame) -> DataFrame:
     )
 
 
+# The label of a request in its answer row, and the stand-ins in it.
+QUERY_LABELS = {
+    "question_answering": "{question}",
+    "summarization": "Summarize: {source}",
+    "comparison": "Compare: {source} vs {second_source}",
+    "literature_survey": "Literature survey: {question}",
+    "research_gaps": "Research gap identification",
+    "concept_explanation": "Explain: {question}",
+    "recommendation": "Recommend for: {question}",
+    "trend_analysis": "Research trend analysis",
+    "multi_doc_reasoning": "{question}",
+}
+ALL_DOCUMENTS = "all documents"
+ALL_PAPERS = "all papers"
+WITHOUT_TOPIC = "the uploaded research papers"
+
+
+def query_label(task: Column, question: Column, source: Column, second: Column) -> Column:
+    """How an answer row names what was asked."""
+    def filled(value: Column, stand_in: Column) -> Column:
+        return F.when(tx.has_text(value), value).otherwise(stand_in)
+
+    topic = filled(question, F.when(task == "literature_survey", ALL_PAPERS).otherwise(
+        F.coalesce(question, F.lit(""))))
+    name = filled(source, F.when(task == "summarization", ALL_DOCUMENTS).otherwise(
+        F.coalesce(source, F.lit(""))))
+    label = F.replace(_pick(task, QUERY_LABELS), F.lit("{question}"), topic)
+    label = F.replace(label, F.lit("{second_source}"), F.coalesce(second, F.lit("")))
+    return F.replace(label, F.lit("{source}"), name)
+
+
 # The answer for a request without hits, per task.
 DEFAULT_ANSWERS = {
     "question_answering": "I couldn't find relevant information in the uploaded documents. Please rephrase your question or upload relevant papers.",
@@ -272,16 +331,21 @@ def answer_shell(requests: DataFrame, packed: DataFrame, cited: DataFrame,
                  key: str = "task_id") -> DataFrame:
     """One row per request, also without hits.
 
-    ``requests`` has ``task, question``; ``packed`` is the output of ``pack_context`` and
+    ``requests`` has ``task, question`` and may have ``source, second_source``; ``packed`` is the output of ``pack_context`` and
     ``cited`` has ``n_citations`` and whatever else is known of the citations.
     ``chunks_used`` counts the hits before packing.
     """
     extra = [c for c in cited.columns if c not in (key, "n_citations")]
+    sides = [c for c in ("first", "second") if c in packed.columns]
+    names = [F.col(c) if c in requests.columns else F.lit(None).cast("string")
+             for c in ("source", "second_source")]
     return (
         requests.join(packed, key, "left")
         .join(cited, key, "left")
         .select(
             *requests.columns,
+            query_label(F.col("task"), F.col("question"), *names).alias("query"),
+            *sides,
             F.coalesce("context", F.lit("")).alias("context"),
             F.coalesce("chunks_used", F.lit(0)).alias("chunks_used"),
             F.coalesce("n_citations", F.lit(0)).alias("n_citations"),
@@ -299,9 +363,11 @@ def format_observation(hits: DataFrame, requests: DataFrame) -> DataFrame:
     """
     section = F.coalesce("section_heading", F.lit(""))
     block = F.concat(
-        F.lit("["), "source_file", F.lit(", p."), F.col("page_number").cast("string"),
+        F.lit("["), F.coalesce("source_file", F.lit(UNKNOWN)), F.lit(", p."),
+        F.coalesce(F.col("page_number").cast("string"), F.lit(UNKNOWN)),
         F.when(section != "", F.concat(F.lit(", §"), section)).otherwise(""),
-        F.lit("] (score="), fixed(F.col("score"), 2), F.lit(")\n"), "content",
+        F.lit("] (score="), fixed(F.col("score"), 2), F.lit(")\n"),
+        F.coalesce("content", F.lit("")),
     )
     joined = hits.groupBy("query_id").agg(
         F.array_join(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,33 +102,30 @@ def answer_relevancy(pairs: DataFrame) -> DataFrame:
 
 
 def answer_f1(answers: DataFrame) -> DataFrame:
-    """F1 of the token multisets of ``predicted`` and ``truth``, per ``id``.
+    """F1 of the token multisets of ``predicted`` and ``truth``, per row.
 
-    Both sides go through one aggregation by (id, token), so no join is needed, and
-    equal tokens of an answer are counted before the shuffle.
+    Both texts are in the row, so their tokens are counted there, one Arrow batch at a
+    time, and nothing is shuffled.
     """
-    def side(col: str, predicted: bool) -> DataFrame:
-        tokens = F.split(F.lower(F.coalesce(col, F.lit(""))), tx.SPACES)
-        return answers.select(
-            "id",
-            F.explode_outer(tokens).alias("token"),
-            F.lit(int(predicted)).alias("in_p"),
-            F.lit(int(not predicted)).alias("in_g"),
-        )
-
-    filled = F.col("token") != ""
-    per_token = side("predicted", True).union(side("truth", False)).groupBy("id", "token").agg(
-        F.coalesce(F.sum(F.when(filled, F.col("in_p"))), F.lit(0)).alias("p"),
-        F.coalesce(F.sum(F.when(filled, F.col("in_g"))), F.lit(0)).alias("g"),
-    )
-    sums = per_token.groupBy("id").agg(
-        F.sum(F.least("p", "g")).alias("common"),
-        F.sum("p").alias("n_predicted"),
-        F.sum("g").alias("n_truth"),
-    )
-    total = F.col("n_predicted") + F.col("n_truth")
-    return sums.withColumn(
-        "f1", F.when(total > 0, 2.0 * F.col("common") / total).otherwise(0.0)
+    def tokens(col: str) -> Column:
+        parts = F.split(F.lower(F.coalesce(col, F.lit(""))), tx.SPACES)
+        return F.filter(parts, lambda t: t != "")
+
+    @F.pandas_udf("common long, n_predicted long, n_truth long")
+    def count(predicted: pd.Series, truth: pd.Series) -> pd.DataFrame:
+        common = [
+            sum((Counter(p.tolist()) & Counter(t.tolist())).values())
+            for p, t in zip(predicted, truth, strict=True)
+        ]
+        return pd.DataFrame({
+            "common": common, "n_predicted": predicted.map(len), "n_truth": truth.map(len)
+        })
+
+    counted = answers.withColumn("_c", count(tokens("predicted"), tokens("truth")))
+    total = F.col("_c.n_predicted") + F.col("_c.n_truth")
+    return counted.select(
+        "id", "_c.common", "_c.n_predicted", "_c.n_truth",
+        F.when(total > 0, 2.0 * F.col("_c.common") / total).otherwise(0.0).alias("f1"),
     )
 
 
@@ -140,12 +139,18 @@ def citation_precision_recall(judged: DataFrame) -> DataFrame:
 
 
 def rating_summary(ratings: DataFrame) -> DataFrame:
-    """Mean 1-5 rating per question type x dimension, with subtotals and the overall mean."""
-    return ratings.rollup("question_type", "dimension").agg(
-        F.count("*").alias("n_ratings"), F.avg("score").alias("mean_score")
-    ).select(
-        F.coalesce("question_type", F.lit("(all)")).alias("question_type"),
-        F.coalesce("dimension", F.lit("(all)")).alias("dimension"),
+    """Mean 1-5 rating per question type x dimension, with subtotals and the overall mean.
+
+    Subtotals are named by ``(all)``; a missing type or dimension stays NULL.
+    """
+    summed = ratings.rollup("question_type", "dimension").agg(
+        F.count("*").alias("n_ratings"), F.avg("score").alias("mean_score"),
+        F.grouping("question_type").alias("_all_types"), F.grouping("dimension").alias("_all_dims"),
+    )
+    return summed.select(
+        F.when(F.col("_all_types") == 1, "(all)").otherwise(F.col("question_type"))
+        .alias("question_type"),
+        F.when(F.col("_all_dims") == 1, "(all)").otherwise(F.col("dimension")).alias("dimension"),
         "n_ratings",
         "mean_score",
     )

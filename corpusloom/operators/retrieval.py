@@ -39,7 +39,6 @@ GRID_CHUNK_ROWS = 100_000
 SCORE_CELLS = 16_000_000  # scores held at once in one task
 PUSHED_VALUES = 1000
 GRID_QUERY_ROWS = 8192
-BROADCAST_HIT_ROWS = 500_000
 
 _HIT_SCHEMA = "query_id string, chunk_id string, score double"
 _ARROW_HITS = pa.schema(
@@ -394,25 +393,16 @@ def typed_search_with_fallback(
     return typed.unionByName(again)
 
 
-def hit_bound(queries: DataFrame, k: int) -> int | None:
-    """Proven bound on the hits of ``queries`` for ``attach_chunks``, None if too many."""
-    n = queries.limit(SHIPPED_QUERY_ROWS + 1).count()
-    return n * k if n <= SHIPPED_QUERY_ROWS else None
+def attach_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Join chunk columns to ranked hits; a hit without a row there keeps NULLs.
 
-
-def attach_chunks(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None) -> DataFrame:
-    """Join chunk columns to ranked hits.
-
-    ``max_hits`` is a proven bound on the hits (see ``hit_bound``). Within the limit only
-    their chunk ids are broadcast, so the chunk table is scanned and filtered without a
-    shuffle and what remains of it is as small as the hits; otherwise the planner
-    chooses. ``hits`` is used twice: store it first where it is expensive.
+    The chunk table is first cut to the ids of the hits, which Spark does by a broadcast
+    where they are few, so what meets the hits is as small as they are. ``hits`` is used
+    twice: store it first where it is expensive.
     """
-    chunks = chunks.drop("embedding")
-    if max_hits is not None and max_hits <= BROADCAST_HIT_ROWS:
-        ids = hits.select("chunk_id").distinct()
-        chunks = chunks.join(F.broadcast(ids), "chunk_id", "left_semi")
-    return chunks.join(hits, "chunk_id")
+    ids = hits.select("chunk_id").distinct()
+    needed = chunks.drop("embedding").join(ids, "chunk_id", "left_semi")
+    return hits.join(needed, "chunk_id", "left")
 
 
 # ------------------------------------------------------------------- multi-query merges

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as tx
+
 # Query texts, k, filter and context budget per task. NULL text means the
 # request's own question; side 1 / 2 means the first / second source of the request;
 # "optional" means the request's source if it has one.
@@ -25,6 +27,10 @@ RECIPES = [
     ("trend_analysis", 2, "dataset training evaluation metric comparison", 15, "none", 8000),
     ("multi_doc_reasoning", 0, None, 20, "none", 7000),
 ]
+OWN_TOP_K = [  # tasks whose k a request may set
+    "question_answering", "summarization", "literature_survey", "recommendation",
+    "multi_doc_reasoning",
+]
 SURVEY_WITHOUT_TOPIC = "contributions methodology evaluation results"
 TASKS = list(dict.fromkeys(r[0] for r in RECIPES))
 
@@ -38,6 +44,8 @@ def recipes(spark: SparkSession) -> DataFrame:
 def plan_queries(requests: DataFrame) -> DataFrame:
     """Expand requests ``(task_id, task, question, source, second_source)`` to queries.
 
+    Optional request columns: ``top_k`` (NULL or 0: the recipe's; only for the tasks in
+    ``OWN_TOP_K``) and ``similarity_threshold``, which every query of the task gets.
     The recipe table has 14 rows and is broadcast. Only the survey task has a stand-in
     for a missing question.
     """
@@ -46,7 +54,7 @@ def plan_queries(requests: DataFrame) -> DataFrame:
         "recipe_text",
         F.when(
             (F.col("task") == "literature_survey")
-            & (F.coalesce("question", F.lit("")) == ""),
+            & ~tx.has_text(F.coalesce("question", F.lit(""))),
             SURVEY_WITHOUT_TOPIC,
         ),
         "question",
@@ -55,12 +63,20 @@ def plan_queries(requests: DataFrame) -> DataFrame:
         F.when(F.col("filter").isin("optional", "first"), F.col("source"))
         .when(F.col("filter") == "second", F.col("second_source"))
     )
-    return requests.join(plan, "task").select(
+    have = requests.columns
+    own = F.nullif(F.col("top_k"), F.lit(0)) if "top_k" in have else F.lit(None).cast("int")
+    threshold = F.col("similarity_threshold") if "similarity_threshold" in have else F.lit(None)
+    asked = requests.select(
+        "task_id", "task", "question", "source", "second_source", own.alias("_own"),
+        threshold.cast("double").alias("similarity_threshold"),
+    )
+    return asked.join(plan, "task").select(
         "task_id", "task", "query_no",
         F.concat_ws("#", "task_id", F.col("query_no").cast("string")).alias("query_id"),
         text.alias("query_text"),
         source.alias("filter_source"),
-        "k", "budget",
+        F.coalesce(F.when(F.col("task").isin(OWN_TOP_K), F.col("_own")), F.col("k")).alias("k"),
+        "budget", "similarity_threshold",
     )
 
 

@@ -26,6 +26,7 @@ def parse_react(df: DataFrame, raw: str = "raw") -> DataFrame:
     Arguments that are not readable JSON fall back to the quoted answer, then to the
     raw braces.
     """
+    # The reply patterns of this function.
     has_action = F.col(raw).rlike("(?i)action:")
     before = F.regexp_extract(raw, r"(?is)^(.*?)\n?action:", 1)
     step = (

@@ -11,8 +11,6 @@ from corpusloom.operators import context as ctx
 from corpusloom.operators import retrieval, tasks
 from corpusloom.session import materialize
 
-LONGEST_TASK = 45  # most hits one request can have: three queries of 15
-
 
 def search(planned: DataFrame, chunks: DataFrame) -> DataFrame:
     """Merged hits of planned queries (see ``tasks.plan_queries``) that carry ``vector``."""
@@ -24,16 +22,16 @@ def search(planned: DataFrame, chunks: DataFrame) -> DataFrame:
     return tasks.merge_task_hits(ranked.join(keys, "query_id").drop("query_id"))
 
 
-def attach(hits: DataFrame, planned: DataFrame, *tables: DataFrame) -> DataFrame:
+def attach(hits: DataFrame, *tables: DataFrame) -> DataFrame:
     """Hits with the columns of the chunk tables, written once.
 
     Contexts, citations and reports all read the result, so the search and the chunk
-    tables are gone through a single time. A request has at most ``LONGEST_TASK`` hits.
+    tables are gone through a single time, each with the ids of the same stored hits.
     """
     hits = materialize(hits, "merged-hits")
-    bound = retrieval.hit_bound(planned, LONGEST_TASK)
     for table in tables:
-        hits = retrieval.attach_chunks(hits, table, bound)
+        known = [c for c in table.columns if c == "chunk_id" or c not in hits.columns]
+        hits = retrieval.attach_chunks(hits, table.select(*known))
     return materialize(hits, "task-hits")
 
 
@@ -48,18 +46,20 @@ def contexts(hits: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("part.side", "context"))), lambda p: p["context"]
     )
     return parts.groupBy("part.task_id").agg(
+        F.max(F.when(F.col("part.side") == 0, F.col("context"))).alias("first"),
+        F.max(F.when(F.col("part.side") == 1, F.col("context"))).alias("second"),
         F.array_join(joined, "\n======\n").alias("context"),
         F.sum("chunks_used").alias("chunks_used"),
     )
 
 
-def cited(hits: DataFrame) -> DataFrame:
+def cited(hits: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Citations of each request as one array in rank order."""
     one = F.struct(
         "citation_no", "source_file", "page_number", "section", "relevance_score", "element_type",
         "content_type", "image_url", "image_description", "latex_source",
     )
-    return ctx.citations(hits, "task_id", "position").groupBy("task_id").agg(
+    return ctx.citations(hits, "task_id", "position", images).groupBy("task_id").agg(
         F.array_sort(F.collect_list(one)).alias("citations"),
         F.count("*").alias("n_citations"),
     )
@@ -70,17 +70,20 @@ def answer_requests(
     chunks: DataFrame,
     embed_queries: Callable[[DataFrame], DataFrame],
     *contents: DataFrame,
+    images: DataFrame | None = None,
 ) -> DataFrame:
     """One row per request: context, prompt, citations, or the task's default answer.
 
-    ``requests`` has ``task_id, task, question, source, second_source``; ``chunks`` holds
+    ``requests`` has ``task_id, task, question, source, second_source`` and optionally
+    ``top_k`` and ``similarity_threshold``; ``images`` lists stored images; ``chunks`` holds
     vectors and metadata, ``contents`` further tables by chunk id. ``embed_queries`` adds
     ``vector`` to a table with ``query_text``, with the model the chunks were made with.
     """
     planned = materialize(embed_queries(tasks.plan_queries(requests)), "task-queries")
-    hits = attach(search(planned, chunks), planned, chunks, *contents)
+    hits = attach(search(planned, chunks), chunks, *contents)
     shell = ctx.answer_shell(
-        requests.select("task_id", "task", "question"), contexts(hits), cited(hits)
+        requests.select("task_id", "task", "question", "source", "second_source"),
+        contexts(hits), cited(hits, images),
     )
-    prompts = ctx.assemble_prompt(shell)
+    prompts = ctx.assemble_prompt(shell).drop("first", "second", "source", "second_source")
     return prompts.withColumn("prompt", F.when(F.col("chunks_used") > 0, F.col("prompt")))

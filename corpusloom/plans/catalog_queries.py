@@ -145,8 +145,8 @@ def versioned_chunks(spark, d):
 @query("chunk_upsert", """
 SELECT chunk_id, source_file, section_heading, content_type, image_path,
   coalesce(image_description, '') AS image_description, coalesce(latex_source, '') AS latex_source,
-  CASE WHEN content_type = 'table' THEN '{"rows":2,"cols":2,"raw":[["id","label"],["' || vec_id ||
-    '","' || label || '"]]}' ELSE '' END AS table_data_json
+  CASE WHEN content_type = 'table' THEN '{"rows":2,"cols":2,"raw":[["id","type"],["' || vec_id ||
+    '","' || content_type || '"]]}' ELSE '' END AS table_data_json
 FROM (SELECT * REPLACE (section_heading || CASE WHEN label <> 3 THEN '/1' ELSE '/0' END
         AS section_heading) FROM cv)
 """, ("cv",))

@@ -42,15 +42,17 @@ def citation_sql(source: str, group: str, order: str) -> str:
       FROM {source}) WHERE n = 1"""
 
 
-cte("cited", citation_sql("hits_meta", "query_id", "rank"), ("hits_meta",))
+cte("cited", f"SELECT c.*, m.stored FROM ({citation_sql('hits_meta', 'query_id', 'rank')}) c"
+             " LEFT JOIN image_meta m USING (image_path)", ("hits_meta", "image_meta"))
 _citation_columns = f"""query_id, citation_no, source_file, page_number, section_heading AS section,
   {sx.round_exact_sql('score', 3)} AS relevance_score, element_type, content_type,
-  CASE WHEN image_path <> '' THEN '/images/' || regexp_extract(image_path, '([^/]*)$', 1) END AS image_url,
+  CASE WHEN stored THEN '/images/' || regexp_extract(image_path, '([^/]*)$', 1) END AS image_url,
   image_description, content_type = 'table' AS has_table, latex_source"""
 
 
 def _cited(spark, d):
-    return ctx.citations(rq.hits_with(spark, d, views.chunk_vectors(spark, d)))
+    hits = rq.hits_with(spark, d, views.chunk_vectors(spark, d))
+    return ctx.citations(hits, images=views.image_meta(spark, d))
 
 
 @query("citations", f"SELECT {_citation_columns} FROM cited", ("cited",))
@@ -71,14 +73,15 @@ def visual_citations(spark, d):
 
 
 cte("visuals", """
-SELECT chunk_id, source_file, element_type, page_number, section_heading, left(content, 500) AS content,
+SELECT chunk_id, source_file, element_type, page_number, section_heading, left(coalesce(content, ''), 500) AS content,
   CASE WHEN width IS NOT NULL THEN '/images/' || regexp_extract(image_path, '([^/]*)$', 1) END AS image_url,
   width AS image_width, height AS image_height,
   CASE element_type WHEN 'figure' THEN 0 WHEN 'table' THEN 1 ELSE 2 END AS type_order,
-  image_description
-FROM cvt LEFT JOIN image_meta USING (image_path)
+  image_description, element_type = 'table' AS has_table, latex_source
+FROM cvt LEFT JOIN image_meta m USING (image_path)
 WHERE element_type IN ('figure', 'table', 'equation')
-  AND CASE WHEN width IS NOT NULL THEN width >= 50 AND height >= 50 ELSE element_type <> 'figure' END
+  AND CASE WHEN m.stored THEN coalesce(width, 0) >= 50 AND coalesce(height, 0) >= 50
+      ELSE element_type <> 'figure' END
 """, ("cvt", "image_meta"))
 
 
@@ -87,10 +90,10 @@ def _visuals(spark, d):
 
 
 @query("list_visuals", """
-SELECT * EXCLUDE (image_description) FROM visuals ORDER BY source_file, page_number, type_order, chunk_id
+SELECT * FROM visuals ORDER BY source_file, page_number, type_order, chunk_id
 """, ("visuals",))
 def list_visuals(spark, d):
-    return _visuals(spark, d)
+    return _visuals(spark, d).withColumn("has_table", F.col("table_data").isNotNull()).drop("table_data")
 
 
 @query("visual_counts", """
@@ -109,7 +112,7 @@ SELECT source_file, page_number, string_agg(content, chr(10) || chr(10) ORDER BY
     row_number() OVER (PARTITION BY p.source_file, t.page_number ORDER BY p.chunk_index, p.chunk_id) AS n
   FROM cvt p JOIN (SELECT DISTINCT source_file, page_number FROM cv) t
     ON p.source_file = t.source_file AND abs(p.page_number - t.page_number) <= 1
-  WHERE p.element_type = 'paragraph') WHERE n <= 5 GROUP BY source_file, page_number
+  WHERE p.element_type = 'paragraph' AND p.content IS NOT NULL) WHERE n <= 5 GROUP BY source_file, page_number
 """, ("cvt", "cv"))
 
 
@@ -157,12 +160,22 @@ cte("task_budgets", "SELECT *, task_id || '/' || CASE WHEN task = 'comparison' T
     " AS part FROM task_full", ("task_full",))
 cte("task_packed", """
 SELECT task_id, string_agg(context, chr(10) || '======' || chr(10) ORDER BY part) AS context,
+  max(CASE WHEN part LIKE '%/0' THEN context END) AS first,
+  max(CASE WHEN part LIKE '%/1' THEN context END) AS second,
   CAST(sum(chunks_used) AS BIGINT) AS chunks_used
 FROM (""" + packed_sql("task_budgets", "task_id, part, budget", "position", "budget") + """
 ) GROUP BY task_id
 """, ("task_budgets",))
 
 
+def _label_sql() -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ctx.QUERY_LABELS.items())
+    topic = f"CASE WHEN task = 'literature_survey' AND question = '' THEN '{ctx.ALL_PAPERS}' ELSE question END"
+    name = f"CASE WHEN task = 'summarization' AND source = '' THEN '{ctx.ALL_DOCUMENTS}' ELSE source END"
+    return (f"replace(replace(replace(CASE task {cases} END, '{{question}}', {topic}),"
+            f" '{{second_source}}', second_source), '{{source}}', {name})")
+
+
 def _default_sql() -> str:
     cases = " ".join(
         "WHEN '{}' THEN '{}'".format(k, v.replace("'", "''"))
@@ -175,19 +188,21 @@ def _default_sql() -> str:
 , cites AS (SELECT task_id, count(*) AS n FROM ({citation_sql('task_full', 'task_id', 'position')})
             GROUP BY task_id),
 asked AS (
-  SELECT task_id, task, question, task_id AS found_id FROM requests
-  UNION ALL SELECT 'none_' || task_id, task, question, NULL FROM requests)
-SELECT a.task_id, a.task, a.question, coalesce(p.context, '') AS context,
+  SELECT task_id, task, question, source, second_source, task_id AS found_id FROM requests
+  UNION ALL SELECT 'none_' || task_id, task, question, source, second_source, NULL FROM requests)
+SELECT a.task_id, a.task, a.question, a.source, a.second_source, {_label_sql()} AS query, coalesce(p.context, '') AS context,
   coalesce(p.chunks_used, 0) AS chunks_used, coalesce(c.n, 0) AS n_citations,
   CASE WHEN p.task_id IS NULL THEN {_default_sql()} END AS default_answer
 FROM asked a LEFT JOIN task_packed p ON p.task_id = a.found_id LEFT JOIN cites c ON c.task_id = a.found_id
 """, ("requests", "task_full", "task_packed"))
 def answer_shell(spark, d):
     hits = rq.full_task_hits(spark, d)
-    requests = views.task_requests(spark, d).select("task_id", "task", "question")
+    requests = views.task_requests(spark, d).select(
+        "task_id", "task", "question", "source", "second_source")
     unmatched = requests.withColumn("task_id", F.concat(F.lit("none_"), "task_id"))
     return ctx.answer_shell(
-        requests.unionByName(unmatched), answer.contexts(hits), answer.cited(hits)
+        requests.unionByName(unmatched), answer.contexts(hits).drop("first", "second"),
+        answer.cited(hits),
     ).drop("citations")
 
 
@@ -196,7 +211,11 @@ def _template_sql() -> str:
         "WHEN '{}' THEN '{}'".format(k, v.replace("'", "''").replace("\n", "' || chr(10) || '"))
         for k, v in ctx.TASK_TEMPLATES.items()
     )
-    return f"replace(replace(CASE task {cases} END, '{{question}}', question), '{{context}}', context)"
+    topic = f"CASE WHEN task = 'literature_survey' AND question = '' THEN '{ctx.WITHOUT_TOPIC}' ELSE question END"
+    sql = f"replace(CASE task {cases} END, '{{question}}', {topic})"
+    for name in ("source", "second_source", "first", "second", "context"):
+        sql = f"replace({sql}, '{{{name}}}', coalesce({name}, ''))"
+    return sql
 
 
 @query("assemble_prompt", f"""

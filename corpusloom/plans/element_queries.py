@@ -176,7 +176,8 @@ def mixed_elements(spark, d):
     docs = views.documents(spark, d).select(
         "source_file", doc.alias("element_no"),
         views.pick(doc % 3, "equation", "text", "sketch").alias("element_type"),
-        F.when(doc % 9 == 0, " \n").otherwise(F.col("text")).alias("content"),
+        F.explode(F.when(doc % 9 == 0, F.array(F.lit(" \n"), "text")).otherwise(F.array("text")))
+        .alias("content"),
         F.lit(1).alias("page_number"), F.lit("").alias("section_heading"),
         F.lit(None).cast("string").alias("image_path"), F.lit(1.0).alias("confidence"),
     )
@@ -193,7 +194,8 @@ def mixed_elements(spark, d):
 cte("mixed", f"""
 SELECT 'doc_' || doc_id AS source_file, doc_id AS element_no,
   ['equation', 'text', 'sketch'][doc_id % 3 + 1] AS element_type,
-  CASE WHEN doc_id % 9 = 0 THEN ' ' || chr(10) ELSE text END AS content, '' AS image_path FROM documents
+  unnest(CASE WHEN doc_id % 9 = 0 THEN [' ' || chr(10), text] ELSE [text] END) AS content,
+  '' AS image_path FROM documents
 UNION ALL SELECT source_file, table_idx, 'table', md, '' FROM table_md WHERE len(raw) > 0
 UNION ALL SELECT source_file, seq, 'figure', {_figure_text}, image_path FROM figures
 """, ("table_md", "figures"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import evaluation as ev
 from corpusloom.plans import retrieval_queries as rq
 from corpusloom.plans.registry import cte, query
-from corpusloom.session import materialize, small_side
+from corpusloom.session import materialize
 from corpusloom.sources import readers, views
 
 
@@ -132,7 +132,7 @@ def answer_relevancy(spark, d):
         F.col("query_id").alias("question_id"), "label", F.col("vector").alias("question_vector")
     )
     generated = views.chunk_vectors(spark, d).select("label", F.col("embedding").alias("generated_vector"))
-    pairs = generated.join(small_side(asked, 10_000), "label")
+    pairs = generated.join(asked, "label")
     return ev.answer_relevancy(pairs).withColumn("answer_relevancy", F.round("answer_relevancy", 6))
 
 
@@ -152,7 +152,7 @@ SELECT qa.id, round(CASE WHEN coalesce(pn.n, 0) + coalesce(gn.n, 0) = 0 THEN 0.0
 FROM qa LEFT JOIN c USING (id) LEFT JOIN pn USING (id) LEFT JOIN gn USING (id)
 """.replace(", qa AS", "WITH qa AS", 1))
 def answer_f1(spark, d):
-    answers = readers.spread(readers.read_table(spark, d, "documents")).select(
+    answers = readers.read_table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("predicted"),
         F.regexp_replace("text", "[aA]", "e").alias("truth"),
     )
@@ -179,7 +179,8 @@ def citation_precision_recall(spark, d):
 
 
 @query("rating_summary", """
-SELECT coalesce(question_type, '(all)') AS question_type, coalesce(dimension, '(all)') AS dimension,
+SELECT CASE WHEN grouping(question_type) = 1 THEN '(all)' ELSE question_type END AS question_type,
+  CASE WHEN grouping(dimension) = 1 THEN '(all)' ELSE dimension END AS dimension,
   count(*) AS n_ratings, round(avg(score), 6) AS mean_score
 FROM ratings GROUP BY ROLLUP (question_type, dimension)
 """, ("ratings",))

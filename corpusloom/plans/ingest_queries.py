@@ -61,7 +61,7 @@ def embed_with_function(spark, d):
             out.append([c / size for c in counts])
         return out
 
-    docs = readers.spread(readers.read_table(spark, d, "documents").select("doc_id", "text"))
+    docs = readers.read_table(spark, d, "documents").select("doc_id", "text")
     return embedding.embed_with(docs, letter_shares, "text").select(
         "doc_id",
         F.size("embedding").alias("dim"),
@@ -79,7 +79,7 @@ def text_search(spark, d):
     )
     questions = materialize(model.embed(texts, "text", "vector").drop("text"), "questions")
     hits = materialize(retrieval.retrieve(questions, chunks, 10), "hits")
-    return retrieval.attach_chunks(hits, chunks, retrieval.hit_bound(questions, 10)).select(
+    return retrieval.attach_chunks(hits, chunks).select(
         "query_id", "rank", "score", "chunk_id", "source_file", "page_number", "content"
     )
 
@@ -141,13 +141,17 @@ def stream_status(spark, d):
 
 
 @query("stream_corpus_stats", """
-SELECT status, count(*) AS n_updates,
+SELECT status, count(*) AS n_documents,
   CAST(coalesce(sum(CASE WHEN status = 'completed' THEN total_pages END), 0) AS BIGINT) AS n_pages,
   CAST(coalesce(sum(CASE WHEN status = 'completed' THEN total_chunks END), 0) AS BIGINT) AS n_chunks
-FROM status_events GROUP BY status
+FROM (SELECT id, arg_max(status, version) AS status, max_by(r, version).p AS total_pages,
+        max_by(r, version).c AS total_chunks
+      FROM (SELECT *, {'p': total_pages, 'c': total_chunks} AS r FROM status_events) GROUP BY id)
+GROUP BY status
 """, ("status_events",))
 def stream_corpus_stats(spark, d):
-    return status.run_to_end(spark, status.corpus_totals(_status_stream(spark, d)), "totals", None)
+    rows = status.run_to_end(spark, status.latest_rows(_status_stream(spark, d)), "rows", "id")
+    return status.corpus_totals(rows)
 
 
 @query("stream_ingest")

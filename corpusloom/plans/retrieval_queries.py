@@ -9,7 +9,7 @@ from corpusloom.operators import embedding, retrieval
 from corpusloom.plans import answer
 from corpusloom.plans import sqltext as sx
 from corpusloom.plans.registry import query
-from corpusloom.session import materialize, small_side
+from corpusloom.session import materialize
 from corpusloom.sources import readers, views
 
 
@@ -35,7 +35,7 @@ SELECT c.chunk_id, round((1 + list_cosine_similarity(l.vector, c.embedding)) / 2
 FROM cv c JOIN label_q l USING (label)
 """, ("cv", "label_q"))
 def similarity(spark, d):
-    centre = small_side(materialize(views.label_questions(spark, d), "labels"), 10_000)
+    centre = materialize(views.label_questions(spark, d), "labels")
     centre = centre.select("label", "vector")
     return views.chunk_vectors(spark, d).join(centre, "label").select(
         "chunk_id",
@@ -101,9 +101,8 @@ def hits_with(spark, d, *tables):
     hits = retrieval.retrieve(questions, views.chunk_vectors(spark, d), 10)
     if tables:
         hits = materialize(hits, "hits")
-    bound = retrieval.hit_bound(questions, 10)
     for table in tables:
-        hits = retrieval.attach_chunks(hits, table, bound)
+        hits = retrieval.attach_chunks(hits, table)
     return hits
 
 
@@ -149,7 +148,7 @@ def full_task_hits(spark, d, task=None):
     planned = asked_tasks(spark, d, task)
     chunks = views.chunk_vectors(spark, d)
     return answer.attach(
-        answer.search(planned, chunks), planned, chunks, views.chunk_texts(spark, d)
+        answer.search(planned, chunks), chunks, views.chunk_texts(spark, d)
     )
 
 
@@ -181,9 +180,8 @@ FROM task_meta WHERE task = 'comparison'
 """, ("task_meta",))
 def compare_sources(spark, d):
     planned = asked_tasks(spark, d, "comparison")
-    hits = retrieval.apply_threshold(
-        retrieval.knn_exact(planned, views.chunk_vectors(spark, d))
-    ).join(planned.select("query_id", "task_id", "query_no", "filter_source"), "query_id")
+    hits = answer.search(planned, views.chunk_vectors(spark, d)).join(
+        planned.select("task_id", "query_no", "filter_source"), ["task_id", "query_no"])
     return hits.select(
         "task_id", (F.col("query_no") + 1).alias("side"),
         F.col("filter_source").alias("source_file"), "chunk_id", "score", "rank",

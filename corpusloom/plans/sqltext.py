@@ -47,22 +47,23 @@ def is_heading(text: str, size: str) -> str:
 
 # ----------------------------------------------------------------- vectors and queries
 
-cte("cv", """
+cte("cvt", """
 SELECT *, CASE WHEN content_type = 'text' THEN 'paragraph' ELSE content_type END AS element_type,
-  CASE WHEN content_type = 'figure' THEN 'store/fig_' || vec_id || '.png' ELSE '' END AS image_path,
+  CASE WHEN content_type = 'figure' OR (content_type <> 'text' AND vec_id % 5 = 0)
+    THEN 'store/fig_' || vec_id || '.png' ELSE '' END AS image_path,
   CASE WHEN content_type = 'figure' THEN 'figure ' || vec_id END AS image_description,
   CASE WHEN content_type = 'equation' THEN 'x_{' || vec_id || '}' END AS latex_source
 FROM (
-  SELECT vec_id, 'v' || vec_id AS chunk_id, 'paper_' || (vec_id % 20) AS source_file,
-    CAST((vec_id // 20) % 12 + 1 AS INTEGER) AS page_number,
+  SELECT vec_id, 'v' || vec_id AS chunk_id, 'paper_' || (vec_id // 100) AS source_file,
+    CAST((vec_id % 100) // 8 + 1 AS INTEGER) AS page_number,
     CASE WHEN vec_id % 7 = 0 THEN '' ELSE 'S' || (vec_id % 5) END AS section_heading,
-    vec_id // 20 AS chunk_index,
+    vec_id % 100 AS chunk_index,
     ['text', 'table', 'figure', 'equation'][(vec_id // 7) % 4 + 1] AS content_type,
-    embedding::DOUBLE[] AS embedding, label
-  FROM embeddings)
+    embedding::DOUBLE[] AS embedding, label, content
+  FROM (SELECT coalesce(vec_id, doc_id) AS vec_id, embedding, label, text AS content
+        FROM embeddings FULL JOIN documents ON vec_id = doc_id))
 """)
-cte("ct", "SELECT 'v' || doc_id AS chunk_id, text AS content FROM documents")
-cte("cvt", "SELECT cv.*, ct.content FROM cv JOIN ct USING (chunk_id)", ("cv", "ct"))
+cte("cv", "SELECT * EXCLUDE (content) FROM cvt WHERE embedding IS NOT NULL", ("cvt",))
 cte("label_q", """
 SELECT 'label_' || label AS query_id, label, list(x ORDER BY i) AS vector FROM (
   SELECT label, i, avg(x) AS x FROM (
@@ -111,45 +112,49 @@ cte("hits_meta", """
 SELECT h.query_id, h.score, h.rank, c.* EXCLUDE (embedding) FROM hits h JOIN cv c USING (chunk_id)
 """, ("hits", "cv"))
 cte("hits_full", """
-SELECT h.query_id, h.score, h.rank, c.* EXCLUDE (embedding) FROM hits h JOIN cvt c USING (chunk_id)
+SELECT h.query_id, h.score, h.rank, c.* EXCLUDE (embedding) REPLACE (coalesce(content, '') AS content)
+FROM hits h JOIN cvt c USING (chunk_id)
 """, ("hits", "cvt"))
-cte("qrels", """
-SELECT q.query_id, c.chunk_id FROM q JOIN cv c ON q.label = c.label
-""", ("q", "cv"))
-
 _task_rows = ", ".join(f"('{t}', {i})" for i, t in enumerate(tasks.TASKS))
 _recipe_rows = ", ".join(
-    f"('{t}', {n}, {'NULL' if text is None else repr(text)}, {k}, '{f}', {b})"
+    f"('{t}', {n}, {'NULL' if text is None else repr(text)}, {k}, '{f}', {b}, {t in tasks.OWN_TOP_K})"
     for t, n, text, k, f, b in tasks.RECIPES
 )
 cte("recipes", f"SELECT * FROM (VALUES {_recipe_rows}) "
-               "t(task, query_no, recipe_text, k, filter, budget)")
+               "t(task, query_no, recipe_text, k, filter, budget, own_k)")
 cte("requests", f"""
-SELECT task || ':' || source_file AS task_id, task, task_no, source_no, 'topic ' || source_no AS question,
-  source_file AS source, 'paper_' || ((source_no + 1) % 20) AS second_source
+SELECT task || ':' || source_file AS task_id, task, task_no, source_no,
+  CASE WHEN task_no = 3 AND source_no % 2 = 0 THEN '' ELSE 'topic ' || source_no END AS question,
+  CASE WHEN task_no <> 2 AND source_no % 4 = 3 THEN '' ELSE source_file END AS source,
+  'paper_' || (source_no + 1) AS second_source,
+  CASE source_no % 3 WHEN 1 THEN 3 WHEN 2 THEN 25 END AS top_k,
+  CASE task_no % 4 WHEN 1 THEN 0.0 WHEN 2 THEN 0.55 WHEN 3 THEN 0.6 END AS similarity_threshold
 FROM (SELECT DISTINCT source_file, CAST(substr(source_file, 7) AS INTEGER) AS source_no FROM cv),
   (VALUES {_task_rows}) t(task, task_no)
 """, ("cv",))
 cte("task_q", """
 SELECT r.task_id, r.task, p.query_no, r.task_id || '#' || p.query_no AS query_id,
-  coalesce(p.recipe_text, r.question) AS query_text,
+  coalesce(p.recipe_text, CASE WHEN task = 'literature_survey' AND trim(r.question) = ''
+    THEN 'contributions methodology evaluation results' END, r.question) AS query_text,
   CASE WHEN p.filter IN ('optional', 'first') THEN r.source
        WHEN p.filter = 'second' THEN r.second_source END AS filter_source,
-  CAST(NULL AS VARCHAR) AS filter_type, p.k AS top_k, p.budget, l.vector
+  CAST(NULL AS VARCHAR) AS filter_type, r.similarity_threshold, p.budget, l.vector,
+  CASE WHEN p.own_k THEN coalesce(nullif(r.top_k, 0), p.k) ELSE p.k END AS top_k
 FROM requests r JOIN recipes p USING (task)
 JOIN label_q l ON l.label = (r.task_no * 3 + p.query_no + r.source_no) % 10
 """, ("requests", "recipes", "label_q"))
 cte("task_hits_raw", knn("task_q", "cv", "q.top_k", BOTH_FILTERS,
-                         "q.task_id, q.task, q.query_no, q.budget,"), ("task_q", "cv"))
+                         "q.task_id, q.task, q.query_no, q.budget, q.similarity_threshold,"), ("task_q", "cv"))
 cte("task_hits", f"""
-SELECT * EXCLUDE (seen, k),
+SELECT * EXCLUDE (seen, k, similarity_threshold),
   row_number() OVER (PARTITION BY task_id ORDER BY query_no, rank) AS position
 FROM (SELECT *, row_number() OVER (PARTITION BY task_id, chunk_id ORDER BY query_no, rank) AS seen
-      FROM task_hits_raw WHERE {FLOOR})
+      FROM task_hits_raw WHERE score >= greatest(0.3, coalesce(similarity_threshold, 0)))
 WHERE task = 'comparison' OR seen = 1
 """, ("task_hits_raw",))
 cte("task_full", """
-SELECT h.task_id, h.task, h.query_no, h.budget, h.score, h.rank, h.position, c.* EXCLUDE (embedding)
+SELECT h.task_id, h.task, h.query_no, h.budget, h.score, h.rank, h.position,
+  c.* EXCLUDE (embedding) REPLACE (coalesce(content, '') AS content)
 FROM task_hits h JOIN cvt c USING (chunk_id)
 """, ("task_hits", "cvt"))
 cte("task_meta", """
@@ -157,9 +162,9 @@ SELECT h.task_id, h.task, h.query_no, h.score, h.rank, c.* EXCLUDE (embedding)
 FROM task_hits h JOIN cv c USING (chunk_id)
 """, ("task_hits", "cv"))
 cte("image_meta", """
-SELECT image_path, CASE WHEN vec_id % 9 > 0 THEN CAST(vec_id % 100 + 40 AS INTEGER) END AS width,
+SELECT image_path, true AS stored, CASE WHEN vec_id % 9 > 0 THEN CAST(vec_id % 100 + 40 AS INTEGER) END AS width,
   CASE WHEN vec_id % 9 > 0 THEN CAST(vec_id * 7 % 100 + 40 AS INTEGER) END AS height
-FROM cv WHERE content_type = 'figure'
+FROM cv WHERE image_path <> '' AND vec_id % 13 > 0
 """, ("cv",))
 
 # ------------------------------------------------------------------- documents, lines
@@ -176,11 +181,15 @@ FROM raw_lines WHERE {has_text('raw')}
 """, ("raw_lines",))
 cte("doc_lines", f"""
 SELECT * FROM (
-  SELECT source_file, CAST(line_no // 40 + 1 AS INTEGER) AS page_number, line_no,
-    {strip('''CASE line_no % 12 WHEN 4 THEN '1. Introduction' WHEN 7 THEN 'Results: ' || raw
-              WHEN 10 THEN '2.3 Related Work ' ELSE raw END''')} AS text,
+  SELECT source_file, CAST(line_no // 40 + 1 AS INTEGER) AS page_number,
+    CAST(line_no * 2 + 1 AS INTEGER) AS line_no, {strip('raw')} AS text,
     CASE WHEN line_no = 0 THEN 16.0 ELSE 11.0 END::DOUBLE AS font_size
-  FROM raw_lines) WHERE text <> ''
+  FROM raw_lines
+  UNION ALL
+  SELECT source_file, CAST(line_no // 40 + 1 AS INTEGER), CAST(line_no * 2 AS INTEGER),
+    CASE line_no % 12 WHEN 4 THEN '1. Introduction' WHEN 7 THEN 'Results:' ELSE '2.3 Related Work' END,
+    11.0::DOUBLE
+  FROM raw_lines WHERE line_no % 12 IN (4, 7, 10)) WHERE text <> ''
 """, ("raw_lines",))
 
 
@@ -278,7 +287,7 @@ SELECT 'run_' || (event_id // 10) AS run_id, CAST(event_id % 10 + 1 AS INTEGER)
 FROM events
 """)
 cte("ratings", """
-SELECT d.lang AS question_type, r.dimension, r.score FROM (
+SELECT CASE WHEN d.doc_id % 10 > 0 THEN d.lang END AS question_type, r.dimension, r.score FROM (
   SELECT doc_id, unnest([{'dimension': 'quality', 'score': quality * 4 + 1},
                          {'dimension': 'safety', 'score': 5 - toxic * 4}]) AS r FROM labels) l
 JOIN documents d USING (doc_id)

@@ -13,12 +13,12 @@ from corpusloom.sources import readers, views
 
 
 def plain(spark, d):
-    return readers.spread(readers.read_table(spark, d, "documents").select("doc_id", "text"))
+    return readers.read_table(spark, d, "documents").select("doc_id", "text")
 
 
 def texts(spark, d):
     """Documents with a detector probability column that is sometimes missing."""
-    return readers.spread(readers.read_table(spark, d, "documents")).select(
+    return readers.read_table(spark, d, "documents").select(
         "doc_id", "text",
         F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") % 101).cast("double").alias("detector"),
     )

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
 
@@ -41,7 +41,7 @@ def work_dir(spark: SparkSession) -> str:
     if path:
         return path
     if not _LOCAL_DIR:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="corpusloom-"))
     return _LOCAL_DIR[0]
@@ -51,17 +51,6 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
-
-    For narrow key lists: the check reads no more than ``max_rows`` + 1 rows, and a list
-    beyond the bound is left to a shuffled join.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 

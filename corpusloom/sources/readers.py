@@ -13,17 +13,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table comes in fewer splits than there are cores.
-
-    Large tables have more splits than cores and are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Text files as one document each."""
     return spark.read.text(path, wholetext=True).select(
@@ -31,14 +20,6 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path)
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
-
-
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
     """Store chunks partitioned by type, so that typed searches read their part only."""
     chunks.write.mode(mode).partitionBy("content_type").parquet(path)

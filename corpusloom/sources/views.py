@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import tasks
-from corpusloom.sources.readers import read_table, spread
+from corpusloom.sources.readers import read_table
 
-N_SOURCES = 20
-N_PAGES = 12
+SOURCE_VECTORS = 100  # vectors per source file
+PAGE_VECTORS = 8  # and per page
 
 
 def div(col: Column | str, n: int) -> Column:
@@ -33,24 +33,29 @@ def pick(col: Column, *values: str | None) -> Column:
 
 
 def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """``embeddings`` with provenance columns; 20 sources, 12 pages, four types."""
+    """``embeddings`` with provenance columns."""
+    return _provenance(read_table(spark, d, "embeddings"), "embedding", "label")
+
+
+def _provenance(df: DataFrame, *extra: str) -> DataFrame:
+    """Metadata that follows from ``vec_id``: blocks of numbers make sources and pages."""
     v = F.col("vec_id")
     kind = pick(div(v, 7) % 4, "text", "table", "figure", "equation")
     no_image = F.lit("")
     return (
-        read_table(spark, d, "embeddings")
-        .withColumn("content_type", kind)
+        df.withColumn("content_type", kind)
         .select(
             F.concat(F.lit("v"), v).alias("chunk_id"),
-            F.concat(F.lit("paper_"), v % N_SOURCES).alias("source_file"),
-            (div(v, N_SOURCES) % N_PAGES + 1).cast("int").alias("page_number"),
+            F.concat(F.lit("paper_"), div(v, SOURCE_VECTORS)).alias("source_file"),
+            (div(v % SOURCE_VECTORS, PAGE_VECTORS) + 1).cast("int").alias("page_number"),
             F.when(v % 7 == 0, "").otherwise(F.concat(F.lit("S"), v % 5)).alias("section_heading"),
-            div(v, N_SOURCES).alias("chunk_index"),
+            (v % SOURCE_VECTORS).alias("chunk_index"),
             "content_type",
             F.when(F.col("content_type") == "text", "paragraph")
             .otherwise(F.col("content_type"))
             .alias("element_type"),
-            F.when(F.col("content_type") == "figure", F.concat(F.lit("store/fig_"), v, F.lit(".png")))
+            F.when((F.col("content_type") == "figure") | ((F.col("content_type") != "text") & (v % 5 == 0)),
+                   F.concat(F.lit("store/fig_"), v, F.lit(".png")))
             .otherwise(no_image)
             .alias("image_path"),
             F.when(F.col("content_type") == "figure", F.concat(F.lit("figure "), v))
@@ -61,15 +66,14 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
                     F.lit(2).alias("rows"),
                     F.lit(2).alias("cols"),
                     F.array(
-                        F.array(F.lit("id"), F.lit("label")),
-                        F.array(v.cast("string"), F.col("label").cast("string")),
+                        F.array(F.lit("id"), F.lit("type")),
+                        F.array(v.cast("string"), F.col("content_type")),
                     ).alias("raw"),
                 ),
             ).alias("table_data"),
             F.when(F.col("content_type") == "equation", F.concat(F.lit("x_{"), v, F.lit("}")))
             .alias("latex_source"),
-            "embedding",
-            "label",
+            *extra,
         )
     )
 
@@ -82,7 +86,11 @@ def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks_with_text(spark: SparkSession, d: str) -> DataFrame:
-    return chunk_vectors(spark, d).drop("embedding").join(chunk_texts(spark, d), "chunk_id")
+    """Every vector and every document: one without the other has no text or no label."""
+    texts = read_table(spark, d, "documents").select(
+        F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    labels = read_table(spark, d, "embeddings").select("vec_id", "label")
+    return _provenance(labels.join(texts, "vec_id", "full"), "label", "content")
 
 
 def _mean_vectors(vectors: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,7 +107,7 @@ def label_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """One question per (label, source): at most 10 x 20, however large the table is.
+    """One question per (label, source), so questions grow with the table.
 
     Filters and thresholds rotate over unset, empty and set.
     """
@@ -134,7 +142,17 @@ def task_requests(spark: SparkSession, d: str) -> DataFrame:
         "source_no",
         F.concat(F.lit("topic "), "source_no").alias("question"),
         F.col("source_file").alias("source"),
-        F.concat(F.lit("paper_"), (F.col("source_no") + 1) % N_SOURCES).alias("second_source"),
+        F.concat(F.lit("paper_"), F.col("source_no") + 1).alias("second_source"),
+        F.when(F.col("source_no") % 3 == 1, 3).when(F.col("source_no") % 3 == 2, 25).alias("top_k"),
+        F.when(F.col("task_no") % 4 == 1, 0.0).when(F.col("task_no") % 4 == 2, 0.55)
+        .when(F.col("task_no") % 4 == 3, 0.6).alias("similarity_threshold"),
+    ).withColumn(
+        # a survey may come without a topic, a task without a source
+        "question", F.when((F.col("task_no") == 3) & (F.col("source_no") % 2 == 0), "")
+        .otherwise(F.col("question"))
+    ).withColumn(
+        "source", F.when((F.col("task_no") != 2) & (F.col("source_no") % 4 == 3), "")
+        .otherwise(F.col("source"))
     )
 
 
@@ -152,11 +170,12 @@ def task_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def image_meta(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of stored figure images, sides 40 to 139; some could not be read (NULL)."""
+    """Sizes of stored images, sides 40 to 139; some could not be read (NULL), some are gone."""
     return (
         chunk_vectors(spark, d)
-        .where(F.col("content_type") == "figure")
+        .where(F.col("image_path") != "")
         .select("image_path", F.regexp_extract("image_path", r"(\d+)", 1).cast("long").alias("n"))
+        .where(F.col("n") % 13 > 0)
         .select(
             "image_path",
             F.when(F.col("n") % 9 > 0, F.col("n") % 100 + 40).cast("int").alias("width"),
@@ -169,34 +188,31 @@ def image_meta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(read_table(spark, d, "documents")).select(
+    return read_table(spark, d, "documents").select(
         F.concat(F.lit("doc_"), "doc_id").alias("source_file"), "doc_id", "text", "lang", "source",
         "n_chars",
     )
 
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of the documents with a first-line title and headings at fixed line numbers."""
+    """All lines of the documents, the first as a title, with heading lines put in between."""
     raw = documents(spark, d).select(
         "source_file", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw")
     )
     turn = F.col("line_no") % 12
-    line = (
-        F.when(turn == 4, "1. Introduction")
-        .when(turn == 7, F.concat(F.lit("Results: "), "raw"))
+    heading = (
+        F.when(turn == 4, "1. Introduction").when(turn == 7, "Results: ")
         .when(turn == 10, "2.3 Related Work ")
-        .otherwise(F.col("raw"))
     )
-    return (
-        raw.select(
-            "source_file",
-            (div("line_no", 40) + 1).cast("int").alias("page_number"),
-            "line_no",
-            tx.strip(line).alias("text"),
-            F.when(F.col("line_no") == 0, 16.0).otherwise(11.0).alias("font_size"),
-        )
-        .where(F.col("text") != "")
+    both = raw.select(
+        "source_file", (div("line_no", 40) + 1).cast("int").alias("page_number"),
+        F.col("line_no").alias("_n"), F.posexplode(F.array(heading, F.col("raw"))).alias("_p", "line"),
     )
+    return both.select(
+        "source_file", "page_number", (F.col("_n") * 2 + F.col("_p")).alias("line_no"),
+        tx.strip(F.col("line")).alias("text"),
+        F.when((F.col("_n") == 0) & (F.col("_p") == 1), 16.0).otherwise(11.0).alias("font_size"),
+    ).where(F.col("text") != "")
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
@@ -378,7 +394,8 @@ def agent_steps(spark: SparkSession, d: str) -> DataFrame:
 
 def ratings(spark: SparkSession, d: str) -> DataFrame:
     """Labels as 1 / 5 ratings of the documents' language on two dimensions."""
-    docs = read_table(spark, d, "documents").select("doc_id", F.col("lang").alias("question_type"))
+    known = F.when(F.col("doc_id") % 10 > 0, F.col("lang"))
+    docs = read_table(spark, d, "documents").select("doc_id", known.alias("question_type"))
     labels = read_table(spark, d, "labels")
     return labels.join(docs, "doc_id").select(
         "question_type",

@@ -20,11 +20,22 @@ def latest_status(events: DataFrame) -> DataFrame:
     )
 
 
-def corpus_totals(events: DataFrame) -> DataFrame:
-    """Running totals over completed updates and whether anything is being processed."""
+def latest_rows(events: DataFrame) -> DataFrame:
+    """Newest status and counts per document, as ``latest_status`` for whole rows."""
+    row = F.struct("status", "total_pages", "total_chunks")
+    newest = events.groupBy("id").agg(F.max_by(row, "version").alias("row"))
+    return newest.select("id", "row.*")
+
+
+def corpus_totals(rows: DataFrame) -> DataFrame:
+    """Documents per status, with pages and chunks of the completed ones.
+
+    ``rows`` holds the current row of each document (see ``latest_rows``): an update
+    replaces what the document counted before.
+    """
     done = F.col("status") == "completed"
-    return events.groupBy("status").agg(
-        F.count("*").alias("n_updates"),
+    return rows.groupBy("status").agg(
+        F.count("*").alias("n_documents"),
         F.coalesce(F.sum(F.when(done, F.coalesce("total_pages", F.lit(0)))), F.lit(0)).alias("n_pages"),
         F.coalesce(F.sum(F.when(done, F.coalesce("total_chunks", F.lit(0)))), F.lit(0)).alias(
             "n_chunks"

@@ -10,6 +10,6 @@ from corpusloom.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8")
+    session = local_session(os.environ.get("CORES", "8"))
     yield session
     session.stop()

@@ -1,6 +1,5 @@
 """Text expressions against plain Python on awkward strings."""
 
-import math
 import random
 import re
 
@@ -37,35 +36,52 @@ def random_texts(n=150, seed=11):
             for _ in range(n)]
 
 
-def expected(text):
-    if not text.strip():
-        return None
-    words = text.split()
-    found = [s.strip() for s in re.findall(r"[^.!?]+[.!?]+", text)]
-    sents = found or [text]
-    lens = [len(s.split()) for s in sents]
-    mean = sum(lens) / len(lens)
-    total = 0.0
-    for n in lens:
-        total += (n - mean) * (n - mean)
-    std = math.sqrt(total / len(lens))
-    letters = [w for w in (re.sub("[^a-z]", "", w.lower()) for w in words) if w]
-    opens = sum(1 for s in sents if re.match(r"(but|and|so|yet)\b", s, re.I))
-    flags = ["—" in text, bool(re.search(r"\([^)]+\)", text)),
-             bool(re.search(r"\b\w+'(s|t|re|ve|ll|d|m)\b", text, re.I))]
-    return (len(words), len(sents), round(mean, 1), round(std, 1), round(std / (mean or 1), 2),
-            round(len(set(letters)) / (len(letters) or 1), 2), sum(flags) + (opens > 0),
-            flags[0], flags[1], opens, flags[2])
-
-
-def test_metrics_match_python(spark):
-    texts = TEXTS + random_texts()
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    got = {r["id"]: r for r in tm.text_metrics(df).collect()}
+#: text, then by hand: words, sentences, mean and spread of sentence lengths, spread over
+#: mean, distinct over all lower-case terms, markers, dash, parenthesis, openers, contraction
+MEASURED = [
+    ("One two three. Four five six. Seven eight nine.",
+     (9, 3, 3.0, 0.0, 0.0, 1.0, 0, False, False, 0, False)),
+    ("no terminator at all", (4, 1, 4.0, 0.0, 0.0, 1.0, 0, False, False, 0, False)),
+    ("Closed. trailing fragment", (3, 1, 1.0, 0.0, 0.0, 1.0, 0, False, False, 0, False)),
+    ("One. Two three four.", (4, 2, 2.0, 1.0, 0.5, 1.0, 0, False, False, 0, False)),
+    ("a b c d e f. g.", (7, 2, 3.5, 2.5, 0.71, 1.0, 0, False, False, 0, False)),
+    ("the the the the. The cat", (6, 1, 4.0, 0.0, 0.0, 0.33, 0, False, False, 0, False)),
+    ("But this. and that! So what? yet again. Butter is no opener.",
+     (12, 5, 2.4, 0.8, 0.33, 1.0, 1, False, False, 4, False)),
+    ("A — dash. (paren) (unclosed", (5, 1, 3.0, 0.0, 0.0, 1.0, 2, True, True, 0, False)),
+    ("It's here, they're not.", (4, 1, 4.0, 0.0, 0.0, 1.0, 1, False, False, 0, True)),
+    ("rock'n'roll l'été", (2, 1, 2.0, 0.0, 0.0, 1.0, 0, False, False, 0, False)),
+    ("()", (1, 1, 1.0, 0.0, 0.0, 0.0, 0, False, False, 0, False)),
+    ("", (None,) * 11),
+    (" \n\t ", (None,) * 11),
+]
+
+
+def test_metrics_of_measured_texts(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(MEASURED)], "id int, text string")
+    for r in tm.text_metrics(df).collect():
+        text, want = MEASURED[r["id"]]
+        assert tuple(r[c] for c in tm.METRIC_COLUMNS) == want, repr(text)
+
+
+def test_metric_properties(spark):
+    """Blanks around a text and the order of its words change nothing; lengths add up."""
+    # a text that begins with a terminator is cut otherwise behind a blank
+    texts = [t for t in TEXTS + random_texts() if t.strip()[:1] not in (".", "!", "?")]
+    shown = [(2 * i, t) for i, t in enumerate(texts)]
+    shown += [(2 * i + 1, f" \n{t}\t ") for i, t in enumerate(texts)]
+    got = {r["id"]: r for r in tm.text_metrics(
+        spark.createDataFrame(shown, "id int, text string")).collect()}
     for i, text in enumerate(texts):
-        row = tuple(got[i][c] for c in tm.METRIC_COLUMNS)
-        want = expected(text) or (None,) * len(row)
-        assert row == want, repr(text)
+        row, padded = got[2 * i], got[2 * i + 1]
+        same = [c for c in tm.METRIC_COLUMNS if c != "starts_with_but_and"]
+        assert [row[c] for c in same] == [padded[c] for c in same], repr(text)
+        if not text.strip():
+            assert row["word_count"] is None
+            continue
+        assert row["word_count"] == len(text.split())
+        assert 0 <= row["ttr"] <= 1 and row["burstiness"] >= 0
+        assert row["human_markers"] <= 4 and row["sentence_count"] >= 1
 
 
 def test_sentences_and_words_match_python(spark):
@@ -109,30 +125,41 @@ def test_rounding_sql_matches_python():
         assert con.execute(sql).fetchone()[0] == round(v, 2)
 
 
-def heuristic(m):
-    if m is None:
-        return 0
-    b, length, ttr, markers = m[4], m[2], m[5], m[6]
-    score = 50
-    score += 25 if b < 0.3 else 12 if b < 0.5 else -25 if b > 0.8 else -18 if b > 0.6 else -8
-    score += 12 if 19 <= length <= 26 else -10 if length < 12 or length > 30 else 0
-    score += 10 if ttr < 0.45 else -15 if ttr > 0.7 else -8 if ttr > 0.6 else 0
-    return max(0, min(100, score - 8 * markers))
+#: burstiness, mean length, type-token ratio, markers -> score by hand
+SCORED = [
+    ((0.2, 20.0, 0.4, 0), 97), ((0.2, 20.0, 0.4, 1), 89), ((0.3, 19.0, 0.45, 0), 74),
+    ((0.49, 26.0, 0.6, 2), 58), ((0.5, 15.0, 0.5, 0), 42), ((0.6, 12.0, 0.61, 0), 34),
+    ((0.61, 30.0, 0.7, 0), 24), ((0.8, 31.0, 0.71, 0), 7), ((0.81, 11.9, 0.9, 4), 0),
+    ((0.0, 22.0, 0.0, 0), 97),
+]
 
 
-def test_scores(spark):
-    texts = TEXTS + random_texts(seed=13) + ["word " * 22 + ". " + "other thing " * 11 + "."] * 2
+def test_heuristic_score(spark):
     df = spark.createDataFrame(
-        [(i, t, None if i % 3 == 0 else float(i % 101)) for i, t in enumerate(texts)],
-        "id int, text string, p double")
-    for r in tm.score_texts(df, detector_col="p").withColumn("e", tm.explanation()).collect():
-        m = expected(texts[r["id"]])
-        h = heuristic(m)
-        p = 50.0 if r["id"] % 3 == 0 else float(r["id"] % 101)
-        assert r["heuristic_score"] == h
-        assert r["ai_percentage"] == round(h * 0.6 + p * 0.4)
-        assert r["confidence"] == (0.85 if m and m[0] >= 50 else 0.6)
-        assert (r["e"] == "Unable to analyze text.") == (m is None)
+        [(*m, want, 10) for m, want in SCORED],
+        "burstiness double, avg_sent_len double, ttr double, human_markers int, want int,"
+        " word_count int")
+    for r in df.withColumn("score", tm.heuristic_score()).collect():
+        assert r["score"] == r["want"], r
+    nothing = df.limit(1).withColumn("word_count", F.lit(None).cast("int"))
+    assert nothing.select(tm.heuristic_score().alias("s")).first()["s"] == 0
+
+
+def test_blended_scores(spark):
+    rows = [("One two three. Four five six. Seven eight nine.", 80.0),
+            ("One two three. Four five six. Seven eight nine.", None), ("", 90.0),
+            ("word " * 50 + ".", 10.0)]
+    df = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(rows)],
+                               "id int, text string, p double")
+    got = {r["id"]: r for r in tm.score_texts(df, detector_col="p").withColumn(
+        "e", tm.explanation()).collect()}
+    # 50 + 25 - 10 - 15 = 50; 50 * 0.6 + 80 * 0.4 = 62
+    assert (got[0]["heuristic_score"], got[0]["ai_percentage"]) == (50, 62)
+    assert got[1]["ai_percentage"] == 50 and got[0]["confidence"] == 0.6
+    assert (got[2]["heuristic_score"], got[2]["ai_percentage"]) == (0, 36)
+    assert got[2]["e"] == "Unable to analyze text." != got[0]["e"]
+    # 50 + 25 - 10 + 10 = 75; 75 * 0.6 + 10 * 0.4 = 49
+    assert (got[3]["heuristic_score"], got[3]["ai_percentage"], got[3]["confidence"]) == (75, 49, 0.85)
 
 
 @pytest.mark.parametrize("scores, want", [

@@ -79,7 +79,7 @@ def main():
 
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
-    spark = local_session("8")
+    spark = local_session(os.environ.get("CORES", "8"))
     con = connect(sf_dir)
     queries, sqls = all_queries(), all_sql()
     bad = []
