@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
-from corpusloom.operators import embedding, evaluation, retrieval, tasks
+from corpusloom.operators import elements, embedding, evaluation, retrieval, tasks
 from corpusloom.plans import answer, ingest
 from corpusloom.plans import retrieval_queries as rq
 from corpusloom.plans import sqltext as sx
-from corpusloom.plans.registry import query
+from corpusloom.plans.registry import cte, query
 from corpusloom.session import materialize, new_table_path
 from corpusloom.sources import readers, views
 from corpusloom.streaming import ingest as stream
@@ -23,16 +23,93 @@ def chunk_text(spark, d):
     )
 
 
-@query("ingest_batch", f"""
-SELECT source_file, CASE WHEN p IS NULL THEN 'failed' ELSE 'completed' END AS status,
-  coalesce(p, 0) AS total_pages
-FROM (SELECT 'doc_' || doc_id AS source_file FROM documents)
-LEFT JOIN (SELECT source_file, max(page_number) AS p FROM ({sx.sections('unsized_lines')})
-           GROUP BY source_file) USING (source_file)
-""".replace("unsized_lines", "(SELECT * REPLACE (12.0 AS font_size) FROM plain_lines)"),
+WHOLE = 1 << 30  # no section is longer: a chunk per section, which SQL can state too
+
+cte("plain_sections", sx.sections("(SELECT * REPLACE (12.0 AS font_size) FROM plain_lines)"),
     ("plain_lines",))
+cte("ingested", """
+SELECT source_file, 'text' AS content_type, page_number, section_heading, content,
+  row_number() OVER (PARTITION BY source_file ORDER BY line_no) - 1 AS chunk_index
+FROM plain_sections
+UNION ALL
+SELECT source_file, element_type, page_number, section_heading, content,
+  coalesce(n, 0) + row_number() OVER (PARTITION BY source_file
+    ORDER BY type_order, page_number, element_no) - 1
+FROM elements_sql LEFT JOIN (SELECT source_file, count(*) AS n FROM plain_sections GROUP BY source_file)
+  USING (source_file)
+WHERE element_type <> 'text'
+""", ("plain_sections", "elements_sql"))
+
+
+def atomic(spark, d):
+    """Tables and figures of the documents."""
+    return elements.union_elements(
+        elements.text_elements(elements.sectionize(views.doc_lines(spark, d))).limit(0),
+        elements.table_elements(views.raw_tables(spark, d)),
+        elements.figure_elements(views.page_images(spark, d)),
+    )
+
+
+@query("ingest_batch", """
+SELECT source_file, CASE WHEN n IS NULL THEN 'failed' ELSE 'completed' END AS status,
+  coalesce(n, 0) AS total_chunks, coalesce(p, 0) AS total_pages
+FROM (SELECT 'doc_' || doc_id AS source_file FROM documents UNION SELECT source_file FROM ingested)
+LEFT JOIN (SELECT source_file, max(page_number) AS p, count(*) AS n FROM ingested
+           GROUP BY source_file) USING (source_file)
+""", ("ingested",))
 def ingest_batch(spark, d):
-    return ingest.ingest_batch(views.documents(spark, d))[1].drop("total_chunks")
+    """Text, tables and figures of all documents; a section is a chunk."""
+    return ingest.ingest_batch(
+        views.documents(spark, d), atomic=atomic(spark, d), size=WHOLE)[1]
+
+
+@query("ingest_chunks", """
+SELECT source_file, content_type, page_number, section_heading, content, chunk_index,
+  sha256(source_file || '|' || chunk_index || '|' || content) AS chunk_id FROM ingested
+""", ("ingested",))
+def ingest_chunks(spark, d):
+    return ingest.all_chunks(views.documents(spark, d), atomic(spark, d), WHOLE).select(
+        "source_file", "content_type", "page_number", "section_heading", "content", "chunk_index",
+        "chunk_id")
+
+
+@query("store_batch_twice", """
+SELECT content_type, count(*) AS n_chunks, count(DISTINCT source_file || '|' || chunk_index) AS n_ids,
+  count(DISTINCT source_file) AS n_files, 'completed' AS status
+FROM ingested GROUP BY content_type
+""", ("ingested",))
+def store_batch_twice(spark, d):
+    """The store after the same batch came twice, with the catalog's status of its files."""
+    store, catalog = new_table_path(spark, "store"), new_table_path(spark, "catalog")
+    for _ in range(2):
+        ingest.store_batch(views.documents(spark, d), store, catalog, atomic=atomic(spark, d),
+                           size=WHOLE)
+    listed = ingest.read_store(spark, catalog).select(
+        F.col("filename").alias("source_file"), "status")
+    return stream.stored_chunks(spark, store).join(listed, "source_file").groupBy(
+        "content_type", "status").agg(
+        F.count("*").alias("n_chunks"), F.count_distinct("chunk_id").alias("n_ids"),
+        F.count_distinct("source_file").alias("n_files"))
+
+
+@query("delete_documents", """
+SELECT d.id, f.source_file IS NOT NULL AS found, coalesce(n, 0) AS removed_chunks,
+  (SELECT count(*) FROM ingested WHERE source_file NOT IN (SELECT 'doc_' || (doc_id * 3) FROM labels))
+    AS chunks_left
+FROM (SELECT DISTINCT sha256('doc_' || (doc_id * 3)) AS id, 'doc_' || (doc_id * 3) AS source_file
+      FROM labels) d
+LEFT JOIN (SELECT 'doc_' || doc_id AS source_file FROM documents UNION SELECT source_file FROM ingested) f
+  USING (source_file)
+LEFT JOIN (SELECT source_file, count(*) AS n FROM ingested GROUP BY source_file) USING (source_file)
+""", ("ingested",))
+def delete_documents(spark, d):
+    """Documents of a store deleted by id; some ids are unknown."""
+    store, catalog = new_table_path(spark, "store"), new_table_path(spark, "catalog")
+    ingest.store_batch(views.documents(spark, d), store, catalog, atomic=atomic(spark, d), size=WHOLE)
+    ids = readers.read_table(spark, d, "labels").select(
+        F.sha2(F.concat(F.lit("doc_"), F.col("doc_id") * 3), 256).alias("id"))
+    report = ingest.delete_documents(spark, ids, store, catalog)
+    return report.withColumn("chunks_left", F.lit(stream.stored_chunks(spark, store).count()))
 
 
 @query("embed_texts")
@@ -87,11 +164,7 @@ def text_search(spark, d):
 @query("answer_requests")
 def answer_requests(spark, d):
     """Every task for every benchmark passage as the question, over all document chunks."""
-    chunks, _, model = ingest.ingest_batch(views.documents(spark, d))
-    chunks = chunks.select(
-        "*", F.lit("").alias("image_path"), F.lit("").alias("image_description"),
-        F.lit("").alias("latex_source"), F.lit(None).cast(schemas.TABLE_DATA).alias("table_data"),
-    )
+    chunks, _, model = ingest.ingest_batch(views.documents(spark, d), atomic=atomic(spark, d))
     item = F.col("item_id").cast("string")
     requests = readers.read_table(spark, d, "benchmark").select(
         F.explode(F.array(*[F.lit(t) for t in tasks.TASKS])).alias("task"),
@@ -154,13 +227,19 @@ def stream_corpus_stats(spark, d):
     return status.corpus_totals(rows)
 
 
-@query("stream_ingest")
+@query("stream_ingest", """
+SELECT source_file, chunk_index, content, 'completed' AS status,
+  sha256(source_file || '|' || chunk_index || '|' || content) AS chunk_id
+FROM ingested WHERE content_type = 'text'
+""", ("ingested",))
 def stream_ingest(spark, d):
     docs = stream.document_stream(spark, d, schemas.DOCUMENTS, "documents.parquet").select(
         F.concat(F.lit("doc_"), "doc_id").alias("source_file"), "text"
     )
-    store = new_table_path(spark, "stream-chunks")
-    stream.stream_ingest(docs, store, new_table_path(spark, "stream-state")).awaitTermination()
-    return stream.stored_chunks(spark, store).select(
-        "chunk_id", "source_file", "chunk_index", "content"
-    )
+    store, catalog = new_table_path(spark, "stream-chunks"), new_table_path(spark, "stream-catalog")
+    stream.stream_ingest(
+        docs, store, catalog, new_table_path(spark, "stream-state"), size=WHOLE).awaitTermination()
+    listed = ingest.read_store(spark, catalog).select(
+        F.col("filename").alias("source_file"), "status")
+    return stream.stored_chunks(spark, store).join(listed, "source_file").select(
+        "chunk_id", "source_file", "chunk_index", "content", "status")

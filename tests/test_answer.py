@@ -2,13 +2,14 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom import schemas
 from corpusloom.operators import context as ctx
 from corpusloom.operators import retrieval
 from corpusloom.plans import answer, ingest
-from corpusloom.sources import readers
 
 
 #: chunk id, source, page, section, direction on the circle in degrees, length of its text
@@ -107,13 +108,55 @@ def test_a_hit_without_its_chunk_row_is_kept(spark):
     assert packed["chunks_used"] == 2 and packed["context"].startswith("[Source: p1")
 
 
+def elements_of(spark, rows):
+    return spark.createDataFrame(
+        [(f, 1, kind, text, 1, "", None, "img.png" if kind == "figure" else None, 1.0, order)
+         for f, kind, text, order in rows],
+        T.StructType([*schemas.ELEMENTS.fields, T.StructField("type_order", T.IntegerType())]))
+
+
+def stored(spark, tmp_path):
+    chunks = ingest.read_store(spark, str(tmp_path / "store")).collect()
+    listed = ingest.read_store(spark, str(tmp_path / "catalog")).collect()
+    return chunks, {r["filename"]: (r["status"], r["total_chunks"], r["total_pages"]) for r in listed}
+
+
 def test_store_batch(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "Abstract\nalpha beta. gamma"), ("blank", " \n ")],
+    docs = spark.createDataFrame([("a", "Abstract\nalpha beta. gamma"), ("blank", " \n "), ("b", "beta")],
                                  "source_file string, text string")
-    ingest.store_batch(docs, str(tmp_path / "store"), str(tmp_path / "catalog"))
-    stored = readers.read_chunks(spark, str(tmp_path / "store")).collect()
-    assert [(r["source_file"], r["section_heading"], r["content"], r["content_type"]) for r in stored] == [
-        ("a", "Abstract", "alpha beta. gamma", "text")]
-    listed = {r["filename"]: (r["status"], r["total_chunks"], r["total_pages"])
-              for r in spark.read.parquet(str(tmp_path / "catalog")).collect()}
-    assert listed == {"a": ("completed", 1, 1), "blank": ("failed", 0, 0)}
+    atomic = elements_of(spark, [("a", "table", "| x |", 1), ("a", "figure", "a figure", 2),
+                                 ("c", "equation", "x_1", 3)])
+    where = [str(tmp_path / "store"), str(tmp_path / "catalog")]
+    first = ingest.store_batch(docs, *where, atomic=atomic)
+    want = {("a", 0, "text", "alpha beta. gamma"), ("a", 1, "table", "| x |"),
+            ("a", 2, "figure", "a figure"), ("b", 0, "text", "beta"), ("c", 0, "equation", "x_1")}
+    status = {"a": ("completed", 3, 1), "b": ("completed", 1, 1), "blank": ("failed", 0, 0),
+              "c": ("completed", 1, 1)}
+    for _ in range(2):  # the second time nothing changes
+        chunks, listed = stored(spark, tmp_path)
+        assert len(chunks) == 5 and listed == status
+        assert {(r["source_file"], r["chunk_index"], r["content_type"], r["content"]) for r in chunks} == want
+        again = ingest.store_batch(docs, *where, atomic=atomic)
+    assert again.weights == first.weights  # one model for all batches
+    other = spark.createDataFrame([("d", "delta alpha")], "source_file string, text string")
+    assert ingest.store_batch(other, *where).weights == first.weights
+    assert len(stored(spark, tmp_path)[0]) == 6
+
+
+def test_delete_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(n, f"text of {n}") for n in "abcdef"], "source_file string, text string")
+    store, catalog = str(tmp_path / "store"), str(tmp_path / "catalog")
+    ingest.store_batch(docs, store, catalog)
+    ids = spark.createDataFrame([("a",), ("e",), ("zz",)], "n string").select(F.sha2("n", 256).alias("id"))
+    report = ingest.delete_documents(spark, ids, store, catalog).collect()
+    assert sorted((r["found"], r["removed_chunks"]) for r in report) == [(False, 0), (True, 1), (True, 1)]
+    chunks, listed = stored(spark, tmp_path)
+    assert {r["source_file"] for r in chunks} == set(listed) == set("bcdf")
+
+
+def test_failed_ingest_stays_listed_as_processing(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "alpha")], "source_file string, text string")
+    with pytest.raises(Exception):  # noqa: B017
+        ingest.store_batch(docs, str(tmp_path / "store"), str(tmp_path / "catalog"),
+                           atomic=docs)  # not a table of elements
+    assert [r["status"] for r in ingest.read_store(spark, str(tmp_path / "catalog")).collect()] == ["processing"]

@@ -21,11 +21,15 @@ def docs(spark, names):
     return spark.createDataFrame(rows, "source_file string, text string").coalesce(1)
 
 
-def run(spark, folder, store, state, embed=None):
+def run(spark, folder, store, state):
     schema = "source_file string, text string"
     from pyspark.sql.types import StructType
     source = stream.document_stream(spark, str(folder), StructType.fromDDL(schema), files_per_batch=1)
-    stream.stream_ingest(source, str(store), str(state), embed).awaitTermination()
+    catalog = f"{store}-catalog"
+    stream.stream_ingest(source, str(store), catalog, str(state), features=16).awaitTermination()
+    listed = ingest.read_store(spark, catalog).collect()
+    assert len(listed) == len({r["id"] for r in listed})
+    assert {r["status"] for r in listed} == {"completed"}
     return stream.stored_chunks(spark, str(store))
 
 
@@ -38,6 +42,7 @@ def test_redelivery_does_not_duplicate(spark, tmp_path):
     first.write.mode("append").parquet(str(folder))            # the same documents again
     docs(spark, ["c"]).write.mode("append").parquet(str(folder))
     rows = run(spark, folder, store, state).collect()
+    assert all(abs(np.linalg.norm(r["embedding"]) - 1) < 1e-5 for r in rows)
     assert len(rows) == len({r["chunk_id"] for r in rows})
     assert {r["source_file"] for r in rows} == {"a", "b", "c"}
     assert len(run(spark, folder, store, tmp_path / "state3").collect()) == len(rows)  # new checkpoint
@@ -53,8 +58,18 @@ def test_stream_status_in_many_batches(spark, tmp_path):
     got = status.run_to_end(spark, status.latest_status(source), "s", "id")
     want = status.latest_status(events)
     assert sorted(map(tuple, got.select("id", "status", "n_updates").collect())) == sorted(map(tuple, want.collect()))
-    totals = status.run_to_end(spark, status.corpus_totals(source), "t", None)
-    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, status.corpus_totals(events).collect()))
+    rows = status.run_to_end(spark, status.latest_rows(source), "t", "id")
+    want = status.corpus_totals(status.latest_rows(events))
+    assert sorted(map(tuple, status.corpus_totals(rows).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_totals_count_a_document_once(spark):
+    events = spark.createDataFrame(
+        [("d1", "completed", 5, 6, 1), ("d1", "completed", 7, 8, 2), ("d1", "failed", None, None, 3),
+         ("d2", "processing", None, None, 4), ("d2", "completed", 3, 2, 5)],
+        "id string, status string, total_chunks long, total_pages long, version long")
+    got = status.corpus_totals(status.latest_rows(events)).collect()
+    assert {tuple(r) for r in got} == {("failed", 1, 0, 0), ("completed", 1, 2, 3)}
 
 
 def test_text_search_finds_the_passage(spark):
