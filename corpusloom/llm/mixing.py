@@ -5,8 +5,9 @@
 2. The mix is cut into equal blocks of tokens. Blocks go to sources one by one, each to the
    highest quotient target / (2 * seats + 1). Only the quotients near a source's share can
    decide, so the seats below are given at once and the rest is ranked.
-3. A source's blocks are apportioned to its shards (hash buckets of documents) in the same
-   way, by the shard's words, which gives integer quotas per source and shard.
+3. A source's blocks are apportioned to its shards (hash buckets of documents, as many as
+   its row count asks for) in the same way, by the shard's words, which gives integer quotas
+   per source and shard.
 4. In a shard, documents stand in a seeded order and the quota is taken from that stream:
    whole passes first, then the leading blocks of it.
 
@@ -17,17 +18,19 @@ source with a third of all rows is spread like the rest.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.textops import word_counts
+from corpusloom.llm.textops import Scanner, text_slices, word_counts
 from corpusloom.session import materialize
 
 MOST_REPEATS = 3
 BLOCK_TOKENS = 1024
-SHARD_ROWS = 50_000
+SHARD_ROWS = 4096
 LEAST_BLOCKS = 1 << 16
 
 
@@ -71,7 +74,7 @@ def apportion(groups: DataFrame, votes: Column, seats: Column, within: list[str]
     """
     w = Window.partitionBy(*within)
     base = groups.withColumn("_votes", votes.cast("double")).withColumn("_seats", seats)
-    share = F.col("_votes") / F.sum("_votes").over(w)
+    share = F.try_divide(F.col("_votes"), F.sum("_votes").over(w))
     rows = base.withColumn("_share", F.coalesce(share, F.lit(0.0))).withColumn(
         "_n", F.count(F.lit(1)).over(w)
     )
@@ -101,9 +104,11 @@ def apportion(groups: DataFrame, votes: Column, seats: Column, within: list[str]
 def mix_sources(docs: DataFrame, most_repeats: int = MOST_REPEATS, seed: int = 0,
                 block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS,
                 id_col: str = "doc_id", text_col: str = "text",
-                source_col: str = "source") -> DataFrame:
+                source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source, shard, quota.
 
+    ``row_col``: a row number to carry along, as column row (else null).
+
     ``size``: words of the text (null: 0); ``taken``: words that the mix takes of the
     document, repeats counted, at most ``most_repeats`` times its size. A null source is a
     source of its own; null ids are kept; repeated rows are documents of their own, and
@@ -112,14 +117,16 @@ def mix_sources(docs: DataFrame, most_repeats: int = MOST_REPEATS, seed: int = 0
     """
     sizes = materialize(word_counts(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                    F.col(text_col).alias("text")), ["doc_id", "source"]), "mix-sizes")
-    total, count = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
-    total = total or 0
+                    F.col(row_col).alias("row") if row_col else F.lit(None).cast("long").alias("row"),
+                    F.col(text_col).alias("text")), ["doc_id", "source", "row"]), "mix-sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
     block = max(1, min(block_tokens, total // LEAST_BLOCKS))
-    shards = max(1, math.ceil(count / shard_rows))
+    counts = sizes.groupBy(F.col("source").alias("_source")).agg(
+        F.ceil(F.count(F.lit(1)) / shard_rows).alias("_shards"))
     # a hash of id and size: rows that repeat one id are spread if their texts differ
-    sizes = sizes.withColumn("shard", F.pmod(
-        F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(shards)).cast("int"))
+    sizes = sizes.join(counts, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "doc_id", "source", "row", "size",
+        F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), "_shards").cast("int").alias("shard"))
     groups = sizes.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     groups = materialize(groups, "mix-groups")
     by_source = source_targets(
@@ -152,4 +159,53 @@ def mix_sources(docs: DataFrame, most_repeats: int = MOST_REPEATS, seed: int = 0
         F.col("size"), F.greatest(F.lit(0), rest - F.col("_start")))
     return joined.withColumn("_start", start).select(
         "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source",
-        "shard", "quota")
+        "shard", "quota", "row")
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: repeated for every whole pass, and once
+    more cut after the words of a partial pass; all columns of ``docs``.
+
+    Options are those of ``mix_sources``. ``docs`` must be a stored table, whose rows are
+    numbered alike in every scan. ``n_chars``, if there is such a column, follows the text.
+    """
+    text_col = options.get("text_col", "text")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
+    place = {c: names[docs.columns.index(options.get(f"{c}_col", d))]
+             for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))}
+    options = {k: v for k, v in options.items() if not k.endswith("_col")}
+    taken = mix_sources(
+        rows, id_col=place["id"], text_col=place["text"], source_col=place["source"],
+        row_col="_row", **options)
+    taken = taken.filter("taken > 0").select(
+        F.col("row").alias("_row"), F.floor(F.col("taken") / F.col("size")).alias("_passes"),
+        (F.col("taken") % F.col("size")).alias("_rest"))
+    text = place["text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner()
+        for batch in batches:
+            passes = batch.column("_passes").to_numpy()
+            rest = batch.column("_rest").to_numpy()
+            whole = batch.take(pa.array(np.repeat(np.arange(len(passes)), passes)))
+            part = np.flatnonzero(rest)
+            cut = batch.take(pa.array(part))
+            texts = []
+            column = cut.column(text)
+            for low, high, data, offsets in text_slices(column):
+                _, ends, bounds = scanner.spans(data, offsets)
+                raw, stop = data.tobytes(), ends[bounds[:-1] + rest[part[low:high]] - 1]
+                texts += [raw[a:b].decode() for a, b in zip(
+                    offsets[:-1].tolist(), stop.tolist(), strict=True)]
+            for rows_, column in ((whole, whole.column(text)), (cut, pa.array(texts, pa.string()))):
+                yield pa.RecordBatch.from_arrays(
+                    [column if n == text else rows_.column(n) for n in names], names=names)
+
+    out = rows.join(taken, "_row")
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    out = out.select(*names, "_passes", "_rest").mapInArrow(run, kinds).toDF(*docs.columns)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.length(f"`{text_col}`").cast(kind))
+    return out
