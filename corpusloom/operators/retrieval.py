@@ -1,12 +1,13 @@
 """Filtered top-k nearest-neighbour search of a question table against a chunk table.
 
-Exact search never builds the question x chunk product as rows. Each task multiplies
-its Arrow batches of chunk vectors with the question matrix and keeps only k rows per
-question, so what is shuffled is (tasks x questions x k) small rows:
+Exact search never builds the question x chunk product as rows and never moves a chunk
+vector. Questions come in blocks of ``QUESTION_BLOCK`` rows, whatever their number; one
+block at a time is shipped to the tasks, which scan the chunk table in place, multiply
+their Arrow batches with the block and keep k rows per question. Those meet in two levels,
+so that one question's rows of many tasks are first reduced in several places.
 
-* question table within a checked size: it is shipped to the tasks once and the chunk
-  table is scanned in place, without a shuffle;
-* beyond it: chunk blocks and question blocks meet in a grid of bounded cells.
+The approximate search does the same on an index stored by cell: a block reads the cells
+that its questions probe, and each question is multiplied with its own cells only.
 
 Filters are applied before ranking, thresholds after it.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,12 +35,11 @@ DEFAULT_TOP_K = 10
 SCORE_FLOOR = 0.3
 TYPED_TOP_K = 5
 
-SHIPPED_QUERY_ROWS = 8192
-SHIPPED_QUERY_BYTES = 64 << 20
-GRID_CHUNK_ROWS = 100_000
+QUESTION_BLOCK = 4096  # questions shipped at once: some MB of vectors
 SCORE_CELLS = 16_000_000  # scores held at once in one task
-PUSHED_VALUES = 1000
-GRID_QUERY_ROWS = 8192
+PUSHED_VALUES = 1000  # filter values handed to the scan; more are filtered in the tasks
+RANK_PARTS = 16
+MOST_CELLS = 4096
 
 _HIT_SCHEMA = "query_id string, chunk_id string, score double"
 _ARROW_HITS = pa.schema(
@@ -67,16 +68,25 @@ def _texts(table: pa.Table, name: str) -> np.ndarray:
 
 
 class _Questions:
-    """The question side of one task: ids, unit vectors and optional filters."""
+    """The question side of one task: ids, unit vectors, optional filters and cells.
 
-    def __init__(self, table: pa.Table, k: int):
-        table = table.filter(pa.compute.is_valid(table.column("vector")))
+    ``cells`` (questions x cells, bool) marks the cells that a question probes; without it
+    every question meets every chunk.
+    """
+
+    def __init__(self, table: pa.Table, k: int, cells: np.ndarray | None = None):
+        valid = pa.compute.is_valid(table.column("vector"))
+        table = table.filter(valid)
+        self.cells = None if cells is None else cells[valid.to_numpy()]
         self.ids = _texts(table, "query_id")
         self.vectors = _matrix(table.column("vector").combine_chunks())
-        self.filters = {
-            "source_file": _texts(table, "filter_source"),
-            "content_type": _texts(table, "filter_type"),
-        }
+        self.filters = {}
+        for column, name in (("source_file", "filter_source"), ("content_type", "filter_type")):
+            wanted = _texts(table, name)
+            values = np.unique(wanted[wanted != ""])
+            if len(values):  # each question's filter as a number, -1 for none
+                code = np.where(wanted == "", -1, np.searchsorted(values, wanted))
+                self.filters[column] = (pa.array(values.tolist(), pa.string()), code)
         self.k = k
         self.best = (
             np.empty(0, dtype=np.int64),
@@ -89,23 +99,34 @@ class _Questions:
         chunks = chunks.filter(pa.compute.is_valid(chunks.column("embedding")))
         if chunks.num_rows == 0 or len(self.ids) == 0:
             return
-        rows = max(1, SCORE_CELLS // len(self.ids))
+        if self.cells is None:
+            self._offer_rows(chunks, np.arange(len(self.ids)))
+            return
+        chunks = chunks.sort_by("cell")
+        cell = chunks.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            self._offer_rows(chunks.slice(low, high - low), np.flatnonzero(self.cells[:, cell[low]]))
+
+    def _offer_rows(self, chunks: pa.Table, asked: np.ndarray) -> None:
+        if not len(asked):
+            return
+        rows = max(1, SCORE_CELLS // len(asked))
         for at in range(0, chunks.num_rows, rows):
-            self._offer_part(chunks.slice(at, rows))
+            self._offer_part(chunks.slice(at, rows), asked)
 
-    def _offer_part(self, chunks: pa.Table) -> None:
+    def _offer_part(self, chunks: pa.Table, asked: np.ndarray) -> None:
         matrix = _matrix(chunks.column("embedding").combine_chunks())
         if matrix.shape[1] != self.vectors.shape[1]:
             raise ValueError("question and chunk vectors differ in dimension")
-        scores = np.round((1.0 + matrix @ self.vectors.T) / 2.0, 6)
+        scores = np.round((1.0 + matrix @ self.vectors[asked].T) / 2.0, 6)
         scores[np.isnan(scores)] = -np.inf
-        for column, wanted in self.filters.items():
-            if (wanted != "").any():
-                have = chunks.column(column).fill_null("").combine_chunks()
-                for value in np.unique(wanted[wanted != ""]):
-                    other = pa.compute.not_equal(have, str(value)).to_numpy(zero_copy_only=False)
-                    scores[np.ix_(other, wanted == value)] = -np.inf
-        cut = self.cut
+        for column, (values, code) in self.filters.items():
+            have = pa.compute.index_in(chunks.column(column).combine_chunks(), value_set=values)
+            have = have.fill_null(-2).to_numpy(zero_copy_only=False)
+            wanted = code[asked]
+            scores[(wanted >= 0)[None, :] & (have[:, None] != wanted[None, :])] = -np.inf
+        cut = self.cut[asked]
         if len(scores) > self.k:
             kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
             cut = np.maximum(cut, kth)
@@ -114,7 +135,7 @@ class _Questions:
             return
         ids = chunks.column("chunk_id").take(pa.array(row))
         self._keep(
-            np.concatenate([self.best[0], question]),
+            np.concatenate([self.best[0], asked[question]]),
             np.concatenate([self.best[1], scores[row, question]]),
             np.concatenate([self.best[2], np.array(ids.to_pylist(), dtype=str)]),
         )
@@ -161,19 +182,27 @@ def _as_questions(queries: DataFrame, k: int) -> DataFrame:
     )
 
 
-def checked_table(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | None:
-    """Rows of ``df`` if it is provably small, else None. Fetches at most max_rows + 1."""
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > max_bytes:
-        return None
-    return table
-
-
-def _rank(hits: DataFrame, limits: DataFrame | None, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    if limits is None:
-        return ranked
+def _blocks(questions: DataFrame, rows: int) -> Iterator[pa.Table]:
+    """A stored question table in hash blocks of about ``rows``, one at a time."""
+    count = max(1, math.ceil(questions.count() / rows))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(count))
+    for block in range(count):
+        table = questions.where(number == block).toArrow()
+        if table.num_rows:
+            yield table
+
+
+def _rank(hits: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The best of all tasks' rows: first within parts of a question's rows, then of those."""
+    order = [F.desc("score"), F.asc("chunk_id")]
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(RANK_PARTS))
+    parts = Window.partitionBy("query_id", "_part").orderBy(*order)
+    first = hits.withColumn("_part", part).withColumn("_n", F.row_number().over(parts)).where(
+        F.col("_n") <= k)
+    whole = Window.partitionBy("query_id").orderBy(*order)
+    ranked = first.drop("_part", "_n").withColumn("rank", F.row_number().over(whole)).where(
+        F.col("rank") <= k)
+    limits = questions.select("query_id", "k")
     return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
 
 
@@ -181,7 +210,8 @@ def _chunk_columns(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "source_file", "content_type", "embedding")
 
 
-def knn_exact(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+def knn_exact(queries: DataFrame, chunks: DataFrame, k: int | None = None,
+              block_rows: int = QUESTION_BLOCK) -> DataFrame:
     """The k best chunks per question: ``(query_id, chunk_id, score, rank)``.
 
     ``queries`` has ``query_id, vector`` and optionally ``filter_source``,
@@ -189,37 +219,38 @@ def knn_exact(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> Da
     has ``chunk_id, source_file, content_type, embedding``; NULL embeddings are skipped.
     Scores are rounded to six decimals and ties go to the smaller chunk id.
     """
-    k = k or DEFAULT_TOP_K
-    questions = _as_questions(queries, k)
-    small = checked_table(questions, SHIPPED_QUERY_ROWS, SHIPPED_QUERY_BYTES)
-    if small is not None:
-        return _scan_with_shipped_questions(small, chunks)
-    return knn_grid(queries, chunks, k)
-
-
-def _scan_with_shipped_questions(table: pa.Table, chunks: DataFrame) -> DataFrame:
-    spark = chunks.sparkSession
-    if table.num_rows == 0:
-        return spark.createDataFrame([], f"{_HIT_SCHEMA}, rank int")
-    limits = {int(v) for v in table.column("k").to_pylist()}
-    top = max(limits)
-    shipped = spark.sparkContext.broadcast(table)
+    questions = materialize(_as_questions(queries, k or DEFAULT_TOP_K), "asked")
+    parts = [
+        _scan(table, _chunk_columns(_narrow(chunks, table)))
+        for table in _blocks(questions, block_rows)
+    ]
+    return _merged(parts, questions, k or DEFAULT_TOP_K)
+
+
+def _merged(parts: list[DataFrame], questions: DataFrame, k: int) -> DataFrame:
+    if not parts:
+        return questions.sparkSession.createDataFrame([], f"{_HIT_SCHEMA}, rank int")
+    top = questions.agg(F.max("k")).first()[0]
+    return _rank(reduce(DataFrame.unionAll, parts), questions, int(top or k))
+
+
+def _scan(table: pa.Table, chunks: DataFrame, cells: np.ndarray | None = None) -> DataFrame:
+    """Every task's best rows for a block of questions; the chunk table is read in place."""
+    top = max(table.column("k").to_pylist())
+    shipped = chunks.sparkSession.sparkContext.broadcast((table, cells))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions = _Questions(shipped.value, top)
+        table, cells = shipped.value
+        questions = _Questions(table, top, cells)
         for batch in batches:
             questions.offer(pa.Table.from_batches([batch]))
         yield from questions.hits().to_batches()
 
-    hits = _chunk_columns(_narrow(chunks, table)).mapInArrow(scan, _HIT_SCHEMA)
-    if len(limits) == 1:
-        return _rank(hits, None, top)
-    per_query = spark.createDataFrame(table.select(["query_id", "k"]))
-    return _rank(hits, F.broadcast(per_query), top)
+    return chunks.mapInArrow(scan, _HIT_SCHEMA)
 
 
 def _narrow(chunks: DataFrame, table: pa.Table) -> DataFrame:
-    """Push a filter into the chunk scan where every question has one."""
+    """Push a filter into the chunk scan where every question of the block has one."""
     for column, wanted in (("source_file", "filter_source"), ("content_type", "filter_type")):
         values = set(table.column(wanted).fill_null("").to_pylist())
         if "" not in values and len(values) <= PUSHED_VALUES:
@@ -228,40 +259,8 @@ def _narrow(chunks: DataFrame, table: pa.Table) -> DataFrame:
 
 
 def knn_grid(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
-    """``knn_exact`` for question tables too large to ship.
-
-    Every chunk block meets every question block once, in a task of its own; blocks are
-    hashes of the ids and hold a bounded number of rows.
-    """
-    questions = _as_questions(queries, k or DEFAULT_TOP_K)
-    row = questions.agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
-    top = int(row["k"] or DEFAULT_TOP_K)
-    q_blocks = max(1, math.ceil(row["n"] / GRID_QUERY_ROWS))
-    c_blocks = max(1, math.ceil(chunks.count() / GRID_CHUNK_ROWS))
-
-    def block(col: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-
-    left = (
-        _chunk_columns(chunks)
-        .where(F.col("embedding").isNotNull())
-        .withColumn("c_block", block("chunk_id", c_blocks))
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    )
-    right = questions.withColumn("q_block", block("query_id", q_blocks)).withColumn(
-        "c_block", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
-    )
-    hits = _cogroup_top_k(left, right, ["q_block", "c_block"], top)
-    return _rank(hits, questions.select("query_id", "k"), top)
-
-
-def _cogroup_top_k(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
-    def score(chunks: pa.Table, table: pa.Table) -> pa.Table:
-        questions = _Questions(table, k)
-        questions.offer(chunks)
-        return questions.hits()
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, _HIT_SCHEMA)
+    """``knn_exact`` in many small question blocks."""
+    return knn_exact(queries, chunks, k, block_rows=64)
 
 
 # ---------------------------------------------------------------------- approximate
@@ -288,21 +287,33 @@ def _nearest_cells(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarra
     return np.argsort(-(points @ unit.T), axis=1, kind="stable")[:, :n]
 
 
-def _with_cells(df: DataFrame, column: str, centres: np.ndarray, n: int) -> DataFrame:
-    @F.pandas_udf("array<int>")
-    def cells(column_values: pd.Series) -> pd.Series:
+def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """The rows of the approximate index: chunk vectors with the number of their cell.
+
+    Store them with ``write_index`` once and search them many times.
+    """
+    shipped = chunks.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("int")
+    def cell(column_values: pd.Series) -> pd.Series:
         matrix = np.stack([np.asarray(v, dtype=np.float64) for v in column_values])
-        return pd.Series(list(_nearest_cells(matrix, centres, n).astype(np.int32)))
+        return pd.Series(_nearest_cells(matrix, shipped.value, 1)[:, 0].astype(np.int32))
 
-    return df.where(F.col(column).isNotNull()).withColumn("cell", F.explode(cells(column)))
+    rows = _chunk_columns(chunks).where(F.col("embedding").isNotNull())
+    return rows.withColumn("cell", cell("embedding"))
 
 
-def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
-    """The approximate index: chunk vectors with the number of their nearest cell.
+def write_index(chunks: DataFrame, centres: np.ndarray, path: str) -> DataFrame:
+    """Store the index by cell and read it back; a crowded cell has several files."""
+    rows = assign_cells(chunks, centres).withColumn("_part", F.xxhash64("chunk_id"))
+    rows.repartitionByRange("cell", "_part").drop("_part").write.mode("overwrite").partitionBy(
+        "cell").parquet(path)
+    return chunks.sparkSession.read.parquet(path)
 
-    Write it once, best partitioned by ``cell``, and search it many times.
-    """
-    return _with_cells(_chunk_columns(chunks), "embedding", centres, 1)
+
+def cell_count(rows: int) -> int:
+    """As many cells as rows in a cell, within ``MOST_CELLS``."""
+    return min(MOST_CELLS, max(1, round(math.sqrt(rows))))
 
 
 def knn_ann(
@@ -311,32 +322,27 @@ def knn_ann(
     centres: np.ndarray,
     probes: int = 4,
     k: int | None = None,
-    cell_rows: int = GRID_CHUNK_ROWS,
+    block_rows: int = QUESTION_BLOCK,
 ) -> DataFrame:
     """Approximate top-k: each question looks into its ``probes`` nearest cells only.
 
-    ``index`` is the (stored) result of ``assign_cells``. A crowded cell is split into
-    parts of about ``cell_rows`` chunks by a hash of the chunk id; a question visits all
-    parts, so a crowded cell costs tasks, not memory.
+    ``index`` is the stored result of ``write_index``. It is scanned in place: a block of
+    questions reads the cells that one of them probes, and a crowded cell is read by as
+    many tasks as its files need.
     """
-    k = k or DEFAULT_TOP_K
-    questions = _as_questions(queries, k)
-    top = int(questions.agg(F.max("k")).first()[0] or k)
-    parts = (
-        index.groupBy("cell")
-        .count()
-        .select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
-    )  # one row per cell: bounded by the number of centres
-    left = index.join(F.broadcast(parts), "cell").withColumn(
-        "part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int")
-    )
-    right = (
-        _with_cells(questions, "vector", centres, min(probes, len(centres)))
-        .join(F.broadcast(parts), "cell")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    )
-    hits = _cogroup_top_k(left.drop("parts"), right.drop("parts"), ["cell", "part"], top)
-    return _rank(hits, questions.select("query_id", "k"), top)
+    questions = materialize(_as_questions(queries, k or DEFAULT_TOP_K), "asked")
+    parts = []
+    for table in _blocks(questions, block_rows):
+        points = table.column("vector").fill_null([0.0] * centres.shape[1]).combine_chunks()
+        near = _nearest_cells(np.nan_to_num(_matrix(points)), centres, min(probes, len(centres)))
+        cells = np.zeros((table.num_rows, len(centres)), bool)
+        np.put_along_axis(cells, near, True, axis=1)
+        probed = np.flatnonzero(cells.any(axis=0)).tolist()
+        rows = index if len(probed) == len(centres) else index.where(F.col("cell").isin(probed))
+        parts.append(_scan(
+            table, rows.select("chunk_id", "source_file", "content_type", "embedding", "cell"),
+            cells))
+    return _merged(parts, questions, k or DEFAULT_TOP_K)
 
 
 # ------------------------------------------------------------- thresholds, typed search
@@ -485,7 +491,7 @@ def paper_preview(chunks: DataFrame, requests: DataFrame) -> DataFrame:
                     F.array_sort(F.collect_list(F.struct("chunk_index", "content"))),
                     lambda c: F.concat(
                         F.lit("--- [Chunk "), c["chunk_index"], F.lit("] ---\n"),
-                        c["content"], F.lit("\n\n"),
+                        F.coalesce(c["content"], F.lit("")), F.lit("\n\n"),
                     ),
                 ),
                 "",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import context as ctx
-from corpusloom.operators import traces
+from corpusloom.operators import tools, traces
 from corpusloom.plans import answer
 from corpusloom.plans import retrieval_queries as rq
 from corpusloom.plans import sqltext as sx
@@ -321,6 +321,78 @@ def trace_digest(spark, d):
     return traces.trace_digest(views.agent_steps(spark, d))
 
 
+cte("tool_requests", """
+SELECT item_id AS request_id, item_id % 10 AS label, item_id % 9 AS kind,
+  CASE WHEN item_id % 2 = 0 THEN '' WHEN item_id % 5 = 3 THEN 'absent' ELSE 'paper_' || (item_id % 4) END
+    AS filter_source
+FROM benchmark
+""")
+cte("tool_q", """
+SELECT request_id AS query_id, filter_source, l.vector, 'query ' || label AS question,
+  ['text', 'table', 'figure', 'equation'][kind + 1] AS filter_type
+FROM tool_requests JOIN label_q l USING (label) WHERE kind < 4
+""", ("tool_requests", "label_q"))
+cte("tool_typed", f"SELECT * FROM ({sx.knn('tool_q', 'cv', '5', sx.BOTH_FILTERS)}) WHERE {sx.FLOOR}",
+    ("tool_q", "cv"))
+_untyped = ("(SELECT * REPLACE ('' AS filter_type) FROM tool_q"
+            " WHERE query_id NOT IN (SELECT query_id FROM tool_typed))")
+cte("tool_hits", f"""
+SELECT * FROM tool_typed UNION ALL
+SELECT * FROM ({sx.knn(_untyped, 'cv', '5', sx.BOTH_FILTERS)}) WHERE {sx.FLOOR}
+""", ("tool_typed", "tool_q", "cv"))
+
+
+@query("run_tools", f"""
+, seen AS (SELECT query_id, string_agg('[' || source_file || ', p.' || page_number
+    || CASE WHEN section_heading <> '' THEN ', §' || section_heading ELSE '' END || '] (score='
+    || {sx.fixed2('score')} || ')' || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY rank) AS t
+  FROM tool_hits JOIN cvt USING (chunk_id) GROUP BY query_id),
+heads AS (SELECT source_file, string_agg('--- [Chunk ' || chunk_index || '] ---' || chr(10)
+    || coalesce(content, '') || chr(10) || chr(10), '' ORDER BY chunk_index) AS body
+  FROM cvt WHERE chunk_index IN (0, 1, 2) GROUP BY source_file)
+SELECT CAST(r.request_id AS VARCHAR) AS request_id, CASE
+  WHEN kind < 4 THEN coalesce(t, 'No relevant ' || filter_type || ' content found for query: ''' || question || '''.')
+  WHEN kind = 4 THEN CASE WHEN body IS NULL
+    THEN 'No preview available for paper ''' || 'paper_' || label || '''.'
+    ELSE 'Preview of top sections in ''' || 'paper_' || label || ''':' || chr(10) || chr(10) || body END
+  WHEN kind = 5 THEN 'Available research papers:' || chr(10) || (SELECT string_agg('- ' || filename || '  ('
+    || total_pages || ' pages, ' || total_chunks || ' chunks)', chr(10) ORDER BY ingested_at DESC, id)
+    FROM catalog WHERE status = 'completed')
+  WHEN kind = 6 THEN 'Unknown tool ''lookup''. Available tools: [''search_text'', ''search_tables'', '
+    || '''search_figures'', ''search_equations'', ''get_paper_preview'', ''get_paper_list'']'
+  ELSE 'Invalid arguments for tool ''search_text'': '
+    || CASE WHEN r.request_id % 2 = 0 THEN 'missing query' ELSE 'unexpected depth' END END AS observation
+FROM tool_requests r LEFT JOIN tool_q q ON q.query_id = r.request_id
+LEFT JOIN seen s ON s.query_id = r.request_id
+LEFT JOIN heads h ON h.source_file = 'paper_' || r.label WHERE kind < 8
+""", ("tool_requests", "tool_q", "tool_hits", "cvt", "catalog"))
+def run_tools(spark, d):
+    """Benchmark items as tool requests: every tool, an unknown one, wrong arguments."""
+    item, label = F.col("item_id"), (F.col("item_id") % 10).cast("string")
+    kind = item % 9
+    source = (
+        F.when(item % 2 == 0, "").when(item % 5 == 3, "absent")
+        .otherwise(F.concat(F.lit("paper_"), (item % 4).cast("string")))
+    )
+    text = F.concat(F.lit("query "), label)
+    args = (
+        F.when(kind < 4, F.create_map(F.lit("query"), text, F.lit("source_file"), source))
+        .when(kind == 4, F.create_map(F.lit("source_file"), F.concat(F.lit(" paper_"), label)))
+        .when((kind == 7) & (item % 2 == 1), F.create_map(F.lit("query"), text, F.lit("depth"), F.lit("2")))
+        .when(kind == 7, F.create_map(F.lit("source_file"), source))
+        .when(kind == 6, F.create_map(F.lit("query"), text))
+    )
+    action = views.pick(kind, "search_text", "Search_Tables", "search_figures", "search_equations",
+                        "get_paper_preview", "get_paper_list", "lookup", "search_text", "finish")
+    requests = readers.read_table(spark, d, "benchmark").select(
+        item.alias("request_id"), action.alias("action"), args.alias("action_input"))
+    labels = views.label_questions(spark, d).select(
+        F.concat(F.lit("query "), "label").alias("query_text"), "vector")
+    return tools.run_tools(
+        requests, lambda q: q.join(labels, "query_text"), views.chunk_vectors(spark, d),
+        views.chunks_with_text(spark, d), views.catalog(spark, d))
+
+
 @query("validate_actions", """
 SELECT run_id, step_number, action, 'Unknown tool ''' || action || '''. Available tools: [''search_text'', '
   || '''search_tables'', ''search_figures'', ''search_equations'', ''get_paper_preview'', ''get_paper_list'']'

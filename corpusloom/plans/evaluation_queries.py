@@ -11,50 +11,56 @@ from corpusloom.session import materialize
 from corpusloom.sources import readers, views
 
 
+CUTS = (5, 10)
+
+
 def per_query(spark, d):
-    """Quality per question at k = 10; a chunk is relevant when it has the question's label."""
+    """Quality per question at 5 and 10; a chunk is relevant if it is judged so."""
     asked = rq.asked(spark, d).select("query_id", "label", "filter_type")
-    labels = views.chunk_vectors(spark, d).select(
-        "chunk_id", F.col("label").alias("chunk_label")
-    )
-    hits = rq.hits_with(spark, d, labels)
-    judged = hits.join(asked, "query_id").withColumn(
-        "relevant", F.col("label") == F.col("chunk_label")
-    )
-    return ev.per_query_quality(asked, judged.select("query_id", "rank", "relevant"), 10)
+    hits = materialize(rq.hits_with(spark, d), "hits")
+    # judgements of the chunks that were found: those with the question's label
+    found = hits.select("query_id", "chunk_id").join(
+        views.chunk_vectors(spark, d).select("chunk_id", "label"), "chunk_id")
+    qrels = found.join(asked.select("query_id", "label"), ["query_id", "label"])
+    judged = materialize(
+        ev.judge_hits(hits, qrels).select("query_id", "rank", "relevant"), "judged")
+    parts = [ev.per_query_quality(asked, judged, k).withColumn("k", F.lit(k)) for k in CUTS]
+    return parts[0].unionByName(parts[1])
 
 
 cte("per_query", """
-SELECT q.query_id, q.label, coalesce(q.filter_type, '') AS asked_type, coalesce(h.hit, 0) AS hit,
-  coalesce(h.rr, 0) AS rr, coalesce(h.precision, 0) AS precision
-FROM q LEFT JOIN (
-  SELECT query_id, max((query_label = c.label)::INT) AS hit,
+SELECT q.query_id, q.label, cut.k, coalesce(q.filter_type, '') AS asked_type,
+  coalesce(h.hit, 0) AS hit, coalesce(h.rr, 0) AS rr, coalesce(h.precision, 0) AS precision
+FROM q CROSS JOIN (VALUES (5), (10)) cut(k) LEFT JOIN (
+  SELECT query_id, cut.k, max((query_label = c.label)::INT) AS hit,
     1.0 / min(CASE WHEN query_label = c.label THEN rank END) AS rr,
     avg((query_label = c.label)::INT) AS precision
-  FROM hits JOIN cv c USING (chunk_id) GROUP BY query_id) h USING (query_id)
+  FROM hits JOIN cv c USING (chunk_id) JOIN (VALUES (5), (10)) cut(k) ON rank <= cut.k
+  GROUP BY query_id, cut.k) h ON h.query_id = q.query_id AND h.k = cut.k
 """, ("q", "hits", "cv"))
 
 
 @query("hit_rate_at_k", """
-SELECT asked_type, count(*) AS n_queries, round(avg(hit), 6) AS hit_rate FROM per_query GROUP BY asked_type
+SELECT k, asked_type, count(*) AS n_queries, round(avg(hit), 6) AS hit_rate
+FROM per_query GROUP BY k, asked_type
 """, ("per_query",))
 def hit_rate_at_k(spark, d):
     rows = per_query(spark, d).withColumn("asked_type", F.coalesce("filter_type", F.lit("")))
-    return ev.hit_rate(rows, ["asked_type"]).withColumn("hit_rate", F.round("hit_rate", 6))
+    return ev.hit_rate(rows, ["k", "asked_type"]).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
 @query("mrr_at_k", """
-SELECT label, count(*) AS n_queries, round(avg(rr), 6) AS mrr FROM per_query GROUP BY label
+SELECT k, label, count(*) AS n_queries, round(avg(rr), 6) AS mrr FROM per_query GROUP BY k, label
 """, ("per_query",))
 def mrr_at_k(spark, d):
-    return ev.mrr(per_query(spark, d), ["label"]).withColumn("mrr", F.round("mrr", 6))
+    return ev.mrr(per_query(spark, d), ["k", "label"]).withColumn("mrr", F.round("mrr", 6))
 
 
 @query("context_relevance", """
-SELECT count(*) AS n_queries, round(avg(precision), 6) AS context_relevance FROM per_query
+SELECT k, count(*) AS n_queries, round(avg(precision), 6) AS context_relevance FROM per_query GROUP BY k
 """, ("per_query",))
 def context_relevance(spark, d):
-    return ev.context_relevance(per_query(spark, d)).withColumn(
+    return ev.context_relevance(per_query(spark, d), ["k"]).withColumn(
         "context_relevance", F.round("context_relevance", 6)
     )
 
@@ -204,6 +210,19 @@ def latency_percentiles(spark, d):
     return out.select("endpoint", "n_requests", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
 
 
-@query("latency_percentiles_approx")
+@query("latency_percentiles_approx", """
+SELECT event_type AS endpoint, count(*) AS n_requests, true AS p50_ok, true AS p90_ok, true AS p99_ok
+FROM events GROUP BY event_type
+""")
 def latency_percentiles_approx(spark, d):
-    return ev.latency_percentiles_approx(latency_log(spark, d))
+    """The sketch's percentiles, each checked against its error bound by counting."""
+    log = latency_log(spark, d)
+    sketch = ev.latency_percentiles_approx(log, accuracy=1000)
+    value, n = F.col("latency_s"), F.count("*")
+
+    def holds(column: str, share: float):
+        below = F.count_if(value < F.col(column)) / n <= share + 0.002
+        return (below & (F.count_if(value <= F.col(column)) / n >= share - 0.002)).alias(f"{column}_ok")
+
+    return log.join(sketch, "endpoint").groupBy("endpoint", "n_requests").agg(
+        holds("p50", 0.5), holds("p90", 0.9), holds("p99", 0.99))

@@ -178,11 +178,17 @@ def answer_requests(spark, d):
     )
 
 
-@query("ann_recall")
+@query("ann_recall", """
+SELECT query_id, round(avg((a.chunk_id IS NOT NULL)::INT), 6) AS recall
+FROM hits_plain h LEFT JOIN (SELECT query_id, chunk_id FROM ann_hits) a USING (query_id, chunk_id)
+GROUP BY query_id
+""", ("hits_plain", "ann_hits"))
 def ann_recall(spark, d):
+    """Recall of the search over the labels' cells."""
     questions = rq.plain_asked(spark, d)
     exact = retrieval.knn_exact(questions, views.chunk_vectors(spark, d), 10)
-    return evaluation.ann_recall(exact, rq.ann_hits(spark, d, questions))
+    return evaluation.ann_recall(exact, rq.knn_ann_label_cells(spark, d)).withColumn(
+        "recall", F.round("recall", 6))
 
 
 # ------------------------------------------------------------------------- streaming

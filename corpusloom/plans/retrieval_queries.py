@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
 from corpusloom.operators import embedding, retrieval
 from corpusloom.plans import answer
 from corpusloom.plans import sqltext as sx
-from corpusloom.plans.registry import query
-from corpusloom.session import materialize
+from corpusloom.plans.registry import cte, query
+from corpusloom.session import materialize, new_table_path
 from corpusloom.sources import readers, views
 
 
@@ -85,7 +88,7 @@ def knn_exact(spark, d):
 
 @query("knn_grid", "SELECT query_id, chunk_id, score, rank FROM hits_filtered", ("hits_filtered",))
 def knn_grid(spark, d):
-    """Filtered search on the path for large question tables."""
+    """Filtered search in many question blocks."""
     return retrieval.knn_grid(asked(spark, d), views.chunk_vectors(spark, d), 10)
 
 
@@ -251,12 +254,12 @@ def paper_preview(spark, d):
     return retrieval.paper_preview(views.doc_chunks(spark, d), wanted)
 
 
-def ann_hits(spark, d, questions, probes=6):
-    """Approximate search over an index of 16 cells."""
+def ann_hits(spark, d, questions, share=0.25):
+    """Approximate search over cells whose number follows the table; a share is probed."""
     chunks = views.chunk_vectors(spark, d)
-    centres = retrieval.train_cells(chunks, n_cells=16)
-    index = materialize(retrieval.assign_cells(chunks, centres), "cells")
-    return retrieval.knn_ann(questions, index, centres, probes, 10)
+    centres = retrieval.train_cells(chunks, retrieval.cell_count(chunks.count()))
+    index = retrieval.write_index(chunks, centres, new_table_path(spark, "cells"))
+    return retrieval.knn_ann(questions, index, centres, math.ceil(share * len(centres)), 10)
 
 
 @query("knn_ann")
@@ -264,7 +267,38 @@ def knn_ann(spark, d):
     return ann_hits(spark, d, plain_asked(spark, d))
 
 
+def label_cells(spark, d):
+    """The labels' mean vectors as cell centres, which SQL can state too."""
+    rows = views.label_questions(spark, d).orderBy("label").toArrow()  # one row per label
+    return np.array(rows["vector"].to_pylist())
+
+
+cte("cells", "SELECT label AS cell, vector FROM label_q", ("label_q",))
+cte("placed", """
+SELECT v.*, cell FROM cv v JOIN (
+  SELECT chunk_id, cell, row_number() OVER (PARTITION BY chunk_id
+      ORDER BY list_cosine_similarity(vector, embedding) DESC, cell) AS n FROM cv, cells) USING (chunk_id)
+WHERE n = 1
+""", ("cv", "cells"))
+cte("probed", """
+SELECT query_id, cell FROM (
+  SELECT query_id, cell, row_number() OVER (PARTITION BY query_id
+      ORDER BY list_cosine_similarity(c.vector, q.vector) DESC, cell) AS n FROM q, cells c) WHERE n <= 3
+""", ("q", "cells"))
+cte("ann_hits", sx.knn("(SELECT q.*, p.cell FROM q JOIN probed p USING (query_id))", "placed", "10",
+                       "q.cell = c.cell"), ("q", "placed", "probed"))
+
+
+@query("knn_ann_label_cells", "SELECT query_id, chunk_id, score, rank FROM ann_hits", ("ann_hits",))
+def knn_ann_label_cells(spark, d):
+    """Approximate search with three of the labels' cells probed."""
+    centres = label_cells(spark, d)
+    index = retrieval.write_index(
+        views.chunk_vectors(spark, d), centres, new_table_path(spark, "cells"))
+    return retrieval.knn_ann(plain_asked(spark, d), index, centres, 3, 10)
+
+
 @query("knn_ann_all_cells", "SELECT query_id, chunk_id, score, rank FROM hits_plain", ("hits_plain",))
 def knn_ann_all_cells(spark, d):
     """With every cell probed the index gives the exact answer."""
-    return ann_hits(spark, d, plain_asked(spark, d), probes=16)
+    return ann_hits(spark, d, plain_asked(spark, d), share=1.0)

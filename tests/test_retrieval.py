@@ -65,12 +65,18 @@ def test_scan_matches_brute_force(spark):
     assert rows(retrieval.knn_exact(q, c)) == brute(chunks, questions)
 
 
-def test_grid_matches_brute_force(spark, monkeypatch):
+def test_question_blocks_match_brute_force(spark):
     chunks, questions, c, q = frames(spark)
-    monkeypatch.setattr(retrieval, "SHIPPED_QUERY_ROWS", 5)
-    monkeypatch.setattr(retrieval, "GRID_QUERY_ROWS", 4)
-    monkeypatch.setattr(retrieval, "GRID_CHUNK_ROWS", 37)
-    assert rows(retrieval.knn_exact(q, c)) == brute(chunks, questions)
+    assert rows(retrieval.knn_exact(q, c, block_rows=4)) == brute(chunks, questions)
+    plan = retrieval.knn_grid(q, c)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "embedding" in line]
+    assert not moved
+
+
+def test_no_questions_and_no_chunks(spark):
+    _, _, c, q = frames(spark)
+    assert retrieval.knn_exact(q.limit(0), c).count() == 0
+    assert retrieval.knn_exact(q, c.limit(0)).count() == 0
 
 
 def test_small_score_buffer(spark):
@@ -91,18 +97,31 @@ def test_small_score_buffer(spark):
         parts.hits().sort_by([("query_id", "ascending"), ("chunk_id", "ascending")]))
 
 
-def test_all_probes_make_ann_exact(spark):
+def test_all_probes_make_ann_exact(spark, tmp_path):
     chunks, questions, c, q = frames(spark)
     centres = retrieval.train_cells(c, 6)
-    got = retrieval.knn_ann(q, retrieval.assign_cells(c, centres), centres, probes=6, cell_rows=20)
+    index = retrieval.write_index(c, centres, str(tmp_path / "index"))
+    got = retrieval.knn_ann(q, index, centres, probes=6, block_rows=5)
     assert rows(got) == brute(chunks, questions)
 
 
-def test_few_probes_keep_most(spark):
+def test_unprobed_cells_are_not_read(spark, tmp_path):
+    _, _, c, q = frames(spark)
+    centres = retrieval.train_cells(c, 6)
+    index = retrieval.write_index(c, centres, str(tmp_path / "index"))
+    plan = retrieval.knn_ann(q.limit(1), index, centres, probes=1)._jdf.queryExecution()
+    plan = plan.executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell#", "cell").replace("(", "") or (
+        "PartitionFilters: [isnotnull(cell" in plan)
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "embedding" in x]
+
+
+def test_few_probes_keep_most(spark, tmp_path):
     chunks, questions, c, q = frames(spark)
     exact = brute(chunks, questions)
     centres = retrieval.train_cells(c, 6)
-    got = rows(retrieval.knn_ann(q, retrieval.assign_cells(c, centres), centres, probes=4))
+    index = retrieval.write_index(c, centres, str(tmp_path / "index"))
+    got = rows(retrieval.knn_ann(q, index, centres, probes=4))
     found = {(a, b) for a, b, _, _ in got} & {(a, b) for a, b, _, _ in exact}
     assert len(found) >= 0.6 * len(exact)
 
