@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,9 @@ from corpusloom.llm.linking import (
     link,
     memberships,
     passes,
-    verify,
     wanted_filter,
 )
-from corpusloom.llm.textops import U64, Scanner, longs, ship, text_slices
+from corpusloom.llm.textops import U64, Scanner, longs, mix, ship, text_slices
 from corpusloom.session import materialize
 
 SHINGLE = 8
@@ -42,30 +42,34 @@ NEWLINE = 10
 
 def line_spans(scanner: Scanner, data, offsets):
     """(text of each line that has words, its number, its start and end without blanks)."""
-    newline = data == NEWLINE
-    starts, ends, bounds = scanner.spans(data, offsets, np.arange(256) != NEWLINE)
-    words, stops, _ = scanner.spans(data, offsets)
-    first = np.searchsorted(words, starts)
-    past = np.searchsorted(words, ends)
+    breaks = np.flatnonzero(data == NEWLINE)
+    words, stops, bounds = scanner.spans(data, offsets)
+    # the first word after each line's start, text by text
+    before = np.searchsorted(breaks, offsets)
+    number = np.diff(before) + 1
+    line = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    text = np.repeat(np.arange(len(number)), number)
+    at = np.searchsorted(words, breaks)
+    first = np.insert(at, before[:-1], bounds[:-1])
+    past = np.insert(at, before[1:], bounds[1:])
     full = past > first
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))[full]
-    before = np.concatenate([[0], np.cumsum(newline)])
-    number = before[starts[full]] - before[offsets[text]]
-    return text, number, words[first[full]], stops[past[full] - 1]
+    return text[full], line[full], words[first[full]], stops[past[full] - 1]
 
 
 def line_sets(scanner: Scanner, data, starts, ends):
-    """(shingles, offsets) of the byte ranges; shingles are the bytes themselves."""
+    """(hashes of the shingles, offsets) of byte ranges that are in order and apart."""
     padded = np.concatenate([scanner.lower[data], np.zeros(SHINGLE, np.uint8)])
     sizes = ends - starts
     counts = np.maximum(sizes - SHINGLE + 1, 1)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], counts)
-    every = np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), strides=(1,))
-    values = every[at]
+    every = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    step = np.zeros(len(data) + 2, np.int8)  # +1 where a line's shingles begin, -1 after them
+    np.add.at(step, starts, 1)
+    np.subtract.at(step, starts + counts, 1)
+    values = every[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
     short = np.flatnonzero(sizes < SHINGLE)
     values[bounds[short]] &= (U64(1) << (U64(8) * sizes[short].astype(U64))) - U64(1)
-    return values, bounds
+    return mix(values, 31), bounds
 
 
 def _text_sets(scanner, data, offsets):
@@ -73,24 +77,6 @@ def _text_sets(scanner, data, offsets):
     return line_sets(scanner, data, offsets[:-1], offsets[1:])
 
 
-def line_nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, line, node of every line with words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
-        for batch in batches:
-            for low, _, data, offsets in text_slices(batch.column("text")):
-                text, number, starts, ends = line_spans(scanner, data, offsets)
-                node = scanner.hashes(data, starts, ends)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(low + text)),
-                     pa.array(number.astype(np.int32)), longs(node)],
-                    names=["doc_id", "line", "node"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, node long")
-
-
 def _bucket_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
@@ -98,38 +84,44 @@ def _bucket_rows(docs: DataFrame) -> DataFrame:
             nodes, keys = [np.empty(0, U64)], [np.empty((0, BANDS), U64)]
             for _, _, data, offsets in text_slices(batch.column("text")):
                 _, _, starts, ends = line_spans(scanner, data, offsets)
-                node, first = np.unique(
-                    scanner.hashes(data, starts, ends), return_index=True)
+                node = scanner.hashes(data, starts, ends)
+                first = np.sort(np.unique(node, return_index=True)[1])
                 values, bounds = line_sets(scanner, data, starts[first], ends[first])
-                nodes.append(node)
+                nodes.append(node[first])
                 keys.append(band_keys(fast_sketch(values, bounds, BANDS * ROWS), BANDS, ROWS))
             yield bucket_batch(np.concatenate(nodes), np.concatenate(keys))
 
     return docs.select("text").mapInArrow(run, BUCKET_SCHEMA)
 
 
-def _node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text (a trimmed line) of the given nodes."""
+def line_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, line, node of every line with words, and its text if it is among ``nodes``.
+
+    A batch gives the text of a node once. A fixed-size filter stands for ``nodes``, so a few
+    others have their text, too.
+    """
     wanted = ship(docs.sparkSession, wanted_filter(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, table = Scanner(), wanted()
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text")):
-                _, _, starts, ends = line_spans(scanner, data, offsets)
-                node, first = np.unique(
-                    scanner.hashes(data, starts, ends), return_index=True)
-                good = passes(table, node)
+            for low, _, data, offsets in text_slices(batch.column("text")):
+                text, number, starts, ends = line_spans(scanner, data, offsets)
+                node = scanner.hashes(data, starts, ends)
+                at = np.flatnonzero(passes(table, node))
+                at = at[np.sort(np.unique(node[at], return_index=True)[1])]
                 raw = data.tobytes()
-                at = first[good]
+                lines = np.full(len(node), None, object)
+                for i, s, e in zip(at.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
+                    lines[i] = raw[s:e].decode()
                 yield pa.RecordBatch.from_arrays(
-                    [longs(node[good]),
-                     pa.array([raw[s:e].decode() for s, e in zip(
-                         starts[at].tolist(), ends[at].tolist(), strict=True)], pa.string())],
-                    names=["node", "text"])
+                    [batch.column("doc_id").take(pa.array(low + text)),
+                     pa.array(number.astype(np.int32)), longs(node), pa.array(lines, pa.string())],
+                    names=["doc_id", "line", "node", "text"])
 
-    found = docs.select("text").mapInArrow(run, "node long, text string")
-    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, line int, node long, text string")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -138,15 +130,22 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = materialize(
         members.select("node").unionAll(members.select(F.col("hub").alias("node"))).distinct(),
         "line-nodes")
-    texts = materialize(_node_texts(docs, nodes), "line-texts")
-    labels = link(members, lambda pairs: verify(pairs, texts, _text_sets, percent))
-    places = materialize(line_nodes(docs), "lines")
-    named = places.join(labels, "node", "left").select(
-        "doc_id", "line", F.coalesce("component", "node").alias("key"))
+    places = materialize(line_nodes(docs, nodes), "lines")
+    found = places.filter(F.col("text").isNotNull()).select("node", "text")
+    texts = materialize(
+        found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
+    labels = link(members, texts, _text_sets, percent)
+    # lines that equal or resemble another: all others stay
+    places = places.select("doc_id", "line", "node")
+    repeated = places.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    touched = repeated.select("node", F.lit(None).cast("long").alias("component")).unionAll(
+        labels.select("node", "component")).groupBy("node").agg(
+        F.max("component").alias("component"))
+    named = materialize(places.join(touched, "node").select(
+        "doc_id", "line", F.coalesce("component", "node").alias("key")), "touched-lines")
     # null ids come last, so that a line of an identified document stays if there is one
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line")
-    keepers = named.groupBy("key").agg(
-        F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keepers = named.groupBy("key").agg(F.min(place).alias("first"))
     return (
         named.join(keepers, "key")
         .filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
@@ -156,10 +155,11 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the text cut to the lines that stay, n_lines and n_dropped.
 
-    ``n_lines`` counts lines with words, ``n_dropped`` those that went; a text without such
+    ``n_lines`` counts lines with words, ``n_dropped`` those that went; ``drop_emptied``
+    leaves out documents that lost all their lines (and the two counts). A text without such
     lines is unchanged (null stays null). A line goes with its line break, so what stays is
     joined as before. Documents are told apart by id: rows that share an id (null included)
     are one document and the same line numbers go in each, so equal rows stay equal. Columns
@@ -169,7 +169,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     drops = duplicate_lines(rows, percent).select(
         F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    others = [c for c in docs.columns if drop_emptied or c not in ("n_lines", "n_dropped")]
     names = [f"_c{i}" for i in range(len(others))]
     joined = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)))
     text = names[others.index(text_col)]
@@ -189,17 +189,23 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
             for _, _, data, offsets in text_slices(column):
                 of_text = line_spans(scanner, data, offsets)[0]
                 counts.append(np.bincount(of_text, minlength=len(offsets) - 1))
-            texts, gone = column.to_pylist(), [0] * batch.num_rows
-            lists = batch.column("_lines")
-            for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                if texts[i] is not None:
-                    texts[i], gone[i] = cut(texts[i], lists[i].as_py())
-            columns = [pa.array(texts, pa.string()) if n == text else batch.column(n)
-                       for n in names]
+            gone = [0] * batch.num_rows
+            changed = pc.and_(pc.is_valid(batch.column("_lines")), pc.is_valid(column))
+            at = pa.array(np.flatnonzero(changed.to_numpy(zero_copy_only=False)))
+            texts = []
+            for i, old, lines in zip(at.to_pylist(), column.take(at).to_pylist(),
+                                     batch.column("_lines").take(at).to_pylist(), strict=True):
+                new, gone[i] = cut(old, lines)
+                texts.append(new)
+            if texts:
+                column = pc.replace_with_mask(column, changed, pa.array(texts, column.type))
+            columns = [column if n == text else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(np.concatenate(counts).astype(np.int64)),
-                 pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+                 pa.array(gone, pa.int64())], names=[*names, "_n", "_gone"])
 
     kinds = "".join(f"{n} {joined.schema[n].dataType.simpleString()}, " for n in names)
-    out = joined.mapInArrow(run, f"{kinds}n_lines long, n_dropped long")
-    return out.withColumnsRenamed(dict(zip(names, others, strict=True)))
+    out = joined.mapInArrow(run, f"{kinds}_n long, _gone long")
+    if drop_emptied:
+        return out.filter("_n = 0 OR _gone < _n").drop("_n", "_gone").toDF(*others)
+    return out.toDF(*others, "n_lines", "n_dropped")

@@ -7,9 +7,10 @@ one row per batch; after it the same is done over the batches.
 
 Verification. Each member is compared with its hub, exactly, on whole contents; links form
 components. Where a bucket still spans several components, the members outside its main
-component are compared with all members of other components, up to ``HUBS`` of them per
-bucket and round, until every two members of a bucket are in one component or were
-compared. A round's work is linear in the buckets' sizes, and no candidate is given up.
+component are compared with all members of other components. That happens inside tasks, on
+chunks of bounded size, and only links leave them: no candidate is given up, and no pairs
+are made as rows. Copies of one text link with their hub, so what is left is small unless a
+bucket holds many texts that are alike but below the threshold.
 
 Components. Alternating large-star and small-star steps on an edge table, each step a join
 with grouped minima; every round is written to the shared folder, so lineage stays short.
@@ -17,6 +18,7 @@ with grouped minima; every round is written to the shared folder, so lineage sta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.textops import FULL, U64, Scanner, distinct, longs, mix, text_slices
 from corpusloom.session import materialize
 
-HUBS = 16
+CHUNK_SETS, CHUNK_BYTES = 256, 1 << 20
+PART_SETS, PART_BYTES = 2048, 4 << 20
+MATCHES = 1 << 22  # common elements that a task lists at once
 FILTER_BITS = 24  # size of the filter of wanted nodes: 2 MB, whatever the data
 BUCKET_SCHEMA = "deal long, band long, node long, hub long"
 
@@ -39,7 +43,7 @@ BUCKET_SCHEMA = "deal long, band long, node long, hub long"
 def fast_sketch(values: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
     """Similarity sketch of each set: a row of ``size`` coordinates.
 
-    In round i every element is placed in one hashed bin with a value of that round, and a
+    ``values`` are hashes of the elements. In round i every element is placed in one hashed bin with a value of that round, and a
     bin keeps the least; from round ``size`` on all elements go to bin i - ``size``. A set
     leaves when its bins are full, so each coordinate is filled for certain, large sets need
     one round, and two sets agree in a coordinate with the probability of their similarity,
@@ -47,21 +51,30 @@ def fast_sketch(values: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray
     """
     sets = len(bounds) - 1
     out = np.full(sets * size, FULL, U64)
-    counts = np.diff(bounds)
-    owner = np.repeat(np.arange(sets), counts)
+    base = np.repeat(np.arange(sets) * size, np.diff(bounds))  # first bin of each element's set
+    factors = np.random.default_rng(777).integers(1, 1 << 63, 2 * size, dtype=U64) | U64(1)
     for i in range(2 * size):
         if not len(values):
             break
-        x = mix(values, i + 1)
+        x = values * factors[i]
+        high = x >> U64(32)
+        x ^= high
+        x *= U64(0x9FB21C651E98DF25)
         if i < size:
-            place = ((x >> U64(32)) * U64(size) >> U64(32)).astype(np.int64)
+            np.right_shift(x, U64(32), out=high)
+            high *= U64(size)
+            high >>= U64(32)
+            place = high.view(np.int64)
+            place += base
         else:
-            place = i - size
-        np.minimum.at(out, owner * size + place, (x & U64(0xFFFFFFFF)) | U64(i << 32))
+            place = base + (i - size)
+        x &= U64(0xFFFFFFFF)
+        x |= U64(i << 32)
+        np.minimum.at(out, place, x)
         open_ = (out.reshape(sets, size) == FULL).any(axis=1)
-        keep = open_[owner]
-        if not keep.all():
-            values, owner = values[keep], owner[keep]
+        if not open_.all():
+            keep = open_[base // size]
+            values, base = values[keep], base[keep]
     return out.reshape(sets, size)
 
 
@@ -217,51 +230,127 @@ def _pairs(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def link(members: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _distinct_sets(scanner: Scanner, column: pa.Array, to_sets: Callable):
+    """(elements, offsets) of the texts of a column, each set's elements once."""
+    parts, sizes = [np.empty(0, U64)], [np.empty(0, np.int64)]
+    for _, _, data, offsets in text_slices(column):
+        values, bounds = distinct(*to_sets(scanner, data, offsets))
+        parts.append(values)
+        sizes.append(np.diff(bounds))
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def common_counts(a, bounds_a, b, bounds_b):
+    """Yield (first, last + 1, matrix): common elements of every set of ``a`` with those
+    sets of ``b``, a few at a time so that memory stays bounded."""
+    sets = len(bounds_a) - 1
+    owner = np.repeat(np.arange(sets), np.diff(bounds_a))
+    order = np.argsort(a, kind="stable")
+    a, owner = a[order], owner[order]
+    low = 0
+    while low < len(bounds_b) - 1:
+        room = bounds_b[low] + max(1, MATCHES // max(1, sets))
+        high = max(low + 1, int(np.searchsorted(bounds_b, room, "right")) - 1)
+        values = b[bounds_b[low] : bounds_b[high]]
+        of = np.repeat(np.arange(high - low), np.diff(bounds_b[low : high + 1]))
+        left, right = np.searchsorted(a, values, "left"), np.searchsorted(a, values, "right")
+        n = right - left
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
+        pair = owner[at] * (high - low) + np.repeat(of, n)
+        yield low, high, np.bincount(pair, minlength=sets * (high - low)).reshape(sets, -1)
+        low = high
+
+
+def _compare_strays(named: DataFrame, texts: DataFrame, to_sets: Callable,
+                    percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that are in different components.
+
+    ``named``: band, node, component. Members outside a bucket's main component (the one
+    with most of its members) are compared with all members of other components, inside
+    tasks: a task gets a chunk of those and a part of the members, both of bounded bytes.
+    Small buckets share a task's call.
+    """
+    size = F.col("size")
+    sized = named.join(texts.select("node", F.octet_length("text").alias("size")), "node")
+    parts = sized.groupBy("band", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    most = F.max(F.struct("n", "component", "bytes"))
+    main = parts.groupBy("band").agg(
+        most["component"].alias("main"),
+        (F.sum("n") - most["n"]).alias("stray_n"), F.sum("n").alias("all_n"),
+        (F.sum("bytes") - most["bytes"]).alias("stray_bytes"), F.sum("bytes").alias("all_bytes"),
+    ).filter("stray_n > 0").select(
+        "band", "main",
+        F.greatest(F.ceil(F.col("stray_n") / CHUNK_SETS), F.ceil(F.col("stray_bytes") / CHUNK_BYTES))
+        .alias("chunks"),
+        F.greatest(F.ceil(F.col("all_n") / PART_SETS), F.ceil(F.col("all_bytes") / PART_BYTES))
+        .alias("parts"))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    calls = max(1, math.ceil(total / PART_BYTES))
+    rows = named.join(main, "band").join(texts, "node").withColumn(
+        "call", F.pmod("band", F.lit(calls)))
+
+    def spread(count):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    key = F.xxhash64("node")
+    strays = rows.filter("component <> main").select(
+        "call", "band", F.pmod(key, "chunks").alias("chunk"), spread("parts").alias("part"),
+        F.lit(True).alias("stray"), "node", "component", "text")
+    others = rows.select(
+        "call", "band", spread("chunks").alias("chunk"), F.pmod(key, "parts").alias("part"),
+        F.lit(False).alias("stray"), "node", "component", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        scanner = Scanner()
+        sides = []
+        for stray in (True, False):
+            side = group.filter(pc.equal(group["stray"], stray)).sort_by("band").combine_chunks()
+            text = side["text"].combine_chunks() if side.num_rows else pa.array([], pa.string())
+            sides.append((side["band"].to_numpy(), side["node"].to_numpy(),
+                          side["component"].to_numpy(), *_distinct_sets(scanner, text, to_sets)))
+        (band_x, x, comp_x, ex, bx), (band_y, y, comp_y, ey, by) = sides
+        size_x, size_y = np.diff(bx), np.diff(by)
+        out = [np.empty((0, 2), np.int64)]
+        for band in np.unique(band_x):
+            x0, x1 = np.searchsorted(band_x, band, "left"), np.searchsorted(band_x, band, "right")
+            y0, y1 = np.searchsorted(band_y, band, "left"), np.searchsorted(band_y, band, "right")
+            if y0 == y1:
+                continue
+            for low, high, inter in common_counts(
+                    ex[bx[x0] : bx[x1]], bx[x0 : x1 + 1] - bx[x0],
+                    ey[by[y0] : by[y1]], by[y0 : y1 + 1] - by[y0]):
+                low, high = y0 + low, y0 + high
+                union = size_x[x0:x1, None] + size_y[None, low:high] - inter
+                good = 100 * inter >= percent * union
+                i, j = np.nonzero(good & (comp_x[x0:x1, None] != comp_y[None, low:high]))
+                out.append(np.stack([x[x0 + i], y[low + j]], axis=1))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return strays.unionAll(others).groupBy("call", "chunk", "part").applyInArrow(
+        run, "a long, b long")
+
+
+def link(members: DataFrame, texts: DataFrame, to_sets: Callable, percent: int) -> DataFrame:
     """node, component of all nodes that have a link.
 
-    ``members``: a stored table band, hub, node; ``check`` keeps the linked ones of distinct
-    pairs (a, b). Complete: two nodes that share a band end in one component or were
-    compared.
+    ``members``: a stored table band, hub, node; ``texts``: a stored table node, text.
+    Complete: two nodes that share a band end in one component or were compared.
     """
     tested = materialize(members.select(*_pairs("hub", "node")).distinct(), "tested")
-    linked = materialize(check(tested), "linked")
+    linked = materialize(verify(tested, texts, to_sets, percent), "linked")
     labels = materialize(components(linked), "labels")
     # buckets of two are settled by now
+    large = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     all_ = members.select("band", "node").unionAll(
         members.select("band", F.col("hub").alias("node"))).distinct()
-    large = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    all_ = materialize(all_.join(large.select("band"), "band"), "members")
-    done = None
-    while True:
-        named = all_.join(labels, "node", "left").select(
-            "band", "node", F.coalesce("component", "node").alias("component"))
-        sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("band").agg(
-            F.max(F.struct("n", "component"))["component"].alias("main"),
-            F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        strays = named.join(main, "band").filter("component <> main").select(
-            "band", "node", "component")
-        if done is not None:
-            strays = strays.join(done, ["band", "node"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        chosen = materialize(
-            strays.withColumn("rank", rank).filter(F.col("rank") <= HUBS), "strays")
-        if chosen.isEmpty():
-            return labels
-        other = named.select("band", F.col("node").alias("other"),
-                             F.col("component").alias("of"))
-        fresh = (
-            chosen.join(other, "band").filter("component <> of")
-            .select(*_pairs("node", "other")).distinct().join(tested, ["a", "b"], "left_anti")
-        )
-        fresh = materialize(fresh, "fresh")
-        used = chosen.select("band", "node")
-        done = materialize(used if done is None else done.unionAll(used), "done")
-        if fresh.isEmpty():
-            continue
-        tested = materialize(tested.unionAll(fresh), "tested")
-        more = materialize(check(fresh), "linked")
-        if not more.isEmpty():
-            old = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = materialize(components(old.unionAll(more)), "labels")
+    named = all_.join(large.select("band"), "band").join(labels, "node", "left").select(
+        "band", "node", F.coalesce("component", "node").alias("component"))
+    more = materialize(
+        _compare_strays(materialize(named, "members"), texts, to_sets, percent).distinct(),
+        "linked")
+    if more.isEmpty():
+        return labels
+    old = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialize(components(old.unionAll(more)), "labels")

@@ -28,7 +28,6 @@ from corpusloom.llm.linking import (
     link,
     memberships,
     passes,
-    verify,
     wanted_filter,
 )
 from corpusloom.llm.textops import (
@@ -138,7 +137,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT,
     def to_sets(scanner, data, offsets):
         return shingle_hashes(*scanner.words(data, offsets), words)
 
-    labels = link(members, lambda pairs: verify(pairs, texts, to_sets, percent))
+    labels = link(members, texts, to_sets, percent)
     named = signed.filter("n_shingles > 0").select("doc_id", "node", "n_shingles").join(
         labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
