@@ -257,6 +257,21 @@ def chunk_elements(spark, d):
     )
 
 
+@query("chunk_elements_whole", """
+SELECT source_file, page_number, section_heading, element_type AS content_type, content,
+  CASE element_type WHEN 'text' THEN 'paragraph' ELSE element_type END AS element_type, chunk_index,
+  sha256(source_file || '|' || chunk_index || '|' || content) AS chunk_id
+FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY type_order, page_number, element_no) - 1
+        AS chunk_index FROM elements_sql)
+""", ("elements_sql",))
+def chunk_elements_whole(spark, d):
+    """With a size that no section exceeds, every element is one chunk."""
+    return chunking.chunk_elements(all_elements(spark, d), size=1 << 30).select(
+        "chunk_id", "source_file", "page_number", "section_heading", "chunk_index", "content_type",
+        "element_type", "content",
+    )
+
+
 @query("chunk_quality", """
 SELECT element_type AS content_type, count(*) AS n_chunks, round(avg(length(content)), 6) AS mean_length,
   avg(CASE WHEN regexp_matches(content, '[.!?]$') THEN 1.0 ELSE 0.0 END) AS boundary_share,

@@ -13,12 +13,12 @@ from corpusloom.sources import readers, views
 
 
 def plain(spark, d):
-    return readers.read_table(spark, d, "documents").select("doc_id", "text")
+    return readers.spread(readers.read_table(spark, d, "documents")).select("doc_id", "text")
 
 
 def texts(spark, d):
     """Documents with a detector probability column that is sometimes missing."""
-    return readers.read_table(spark, d, "documents").select(
+    return readers.spread(readers.read_table(spark, d, "documents")).select(
         "doc_id", "text",
         F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") % 101).cast("double").alias("detector"),
     )
@@ -236,7 +236,7 @@ def parse_rewrite_response(spark, d):
         .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("``` no braces "), n, F.lit(" ```")))
         .otherwise(F.concat(F.lit("{broken "), n, F.lit("}")))
     )
-    replies = readers.read_table(spark, d, "documents").select(
+    replies = readers.spread(readers.read_table(spark, d, "documents")).select(
         "doc_id", F.concat(F.lit("source "), "source").alias("original"), raw.alias("raw")
     )
     return tm.parse_rewrite_response(replies).select(

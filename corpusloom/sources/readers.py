@@ -13,6 +13,21 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+FEW_SPLITS = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give more cores work on a table of a few splits, such as one small file.
+
+    A table of ``FEW_SPLITS`` splits or more is returned as it is, however many cores there
+    are, so only tables of a few GB are ever dealt anew.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= min(cores, FEW_SPLITS):
+        return df
+    return df.repartition(min(cores, FEW_SPLITS))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Text files as one document each."""
     return spark.read.text(path, wholetext=True).select(

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import catalog as cat
-from corpusloom.session import new_table_path
+from corpusloom.session import materialize, new_table_path, remove_path
+
+COMPACT_EVERY = 20
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -48,10 +50,13 @@ def maintain(stream: DataFrame, table: str, checkpoint: str, key: str | None):
 
     With a key the query runs in update mode: a micro-batch appends its changed rows
     under its batch id, so a repeated batch overwrites itself, and ``current`` reads the
-    newest row per key. Without a key every batch rewrites the whole (small) result.
+    newest row per key. Without a key every batch rewrites the whole (small) result. Every
+    ``COMPACT_EVERY`` batches the earlier ones, which are committed by then, become one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % COMPACT_EVERY == 0:
+            compact(batch.sparkSession, table, batch_id, key)
         target = f"{table}/batch={batch_id}"
         batch.write.mode("overwrite").parquet(target)
 
@@ -64,6 +69,19 @@ def maintain(stream: DataFrame, table: str, checkpoint: str, key: str | None):
     )
 
 
+def compact(spark: SparkSession, table: str, before: int, key: str | None) -> None:
+    """Merge the batches before ``before`` into the last of them; repeating it is harmless."""
+    rows = spark.read.parquet(table).where(F.col("batch") < before)
+    numbers = sorted(r[0] for r in rows.select("batch").distinct().collect())
+    if len(numbers) < 2:
+        return
+    if key:
+        merged = materialize(cat.last_version(rows, "batch", key).drop("batch"), "snapshot")
+        merged.write.mode("overwrite").parquet(f"{table}/batch={numbers[-1]}")
+    for number in numbers[:-1]:
+        remove_path(spark, f"{table}/batch={number}")
+
+
 def current(spark: SparkSession, table: str, key: str | None) -> DataFrame:
     """The maintained rows as of the newest batch."""
     rows = spark.read.parquet(table)

@@ -63,6 +63,19 @@ def test_stream_status_in_many_batches(spark, tmp_path):
     assert sorted(map(tuple, status.corpus_totals(rows).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_status_batches_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(status, "COMPACT_EVERY", 2)
+    events = views.status_events(spark, SF).drop("ts")
+    events.repartition(7).write.parquet(str(tmp_path / "in"))
+    source = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+              .parquet(str(tmp_path / "in")))
+    table = str(tmp_path / "table")
+    status.maintain(status.latest_status(source), table, str(tmp_path / "state"), "id").awaitTermination()
+    assert len(list((tmp_path / "table").glob("batch=*"))) <= 3
+    got = status.current(spark, table, "id").select("id", "status", "n_updates").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, status.latest_status(events).collect()))
+
+
 def test_totals_count_a_document_once(spark):
     events = spark.createDataFrame(
         [("d1", "completed", 5, 6, 1), ("d1", "completed", 7, 8, 2), ("d1", "failed", None, None, 3),
