@@ -197,17 +197,20 @@ def verify(pairs: DataFrame, texts: DataFrame, to_sets: Callable, percent: int)
 # ------------------------------------------------------------------ components
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every left node has one right node and no right node is a left one."""
+    twice = e.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    inner = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return twice.isEmpty() and inner.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of ``edges`` (a, b)."""
-    def state(e):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
     # a > b from here on
     e = materialize(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(), "edges")
-    before = state(e)
-    while before[0]:
+    while not _are_stars(e):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(
             "a", F.least("a", "m").alias("m"))
@@ -218,10 +221,6 @@ def components(edges: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")
         ).select("e.a", F.col("e.m").alias("b")).filter("a <> b").distinct()
         e = materialize(small, "edges")
-        after = state(e)
-        if after == before:
-            break
-        before = after
     roots = e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
 
