@@ -8,8 +8,13 @@ group, so every text has a proper probability.
 
 Network. A gated recurrent unit in numpy; the output softmax is factored by class (class of
 the token, then token in the class). It is trained by back-propagation truncated to windows,
-with the state carried from window to window, on stretches drawn by hash from all training
-documents (``STRETCHES`` bounds that sample). Initial biases are the unigram frequencies.
+with the state carried from window to window, on all training documents, which are cut into
+stretches and stored as tokens. Training is data-parallel: in each round a part of the
+stretches is dealt to lanes, every lane starts from the broadcast weights and trains on its
+own stretches inside a task, and the lanes' weights are averaged by their tokens, piece by
+piece, in tasks as well. Only the averaged weights, of fixed size, come to the driver. Every
+stretch is used at least once; few stretches are passed over up to ``EPOCHS`` times. Initial
+biases are the unigram frequencies.
 
 Scoring. One scan: many documents side by side, window by window with the state carried, so
 a document's log-likelihood is that of its whole text however long it is. The counts of the
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.langid import in_fold
 from corpusloom.llm.textops import U64, Scanner, longs, mix, ship, sums, text_slices
-from corpusloom.session import materialize
+from corpusloom.session import materialize, new_table_path
 
 HEAD = 1 << 18
 CLASSES, PER_CLASS, HIDDEN = 64, 64, 16
@@ -37,9 +42,13 @@ VOCABULARY = CLASSES * PER_CLASS
 GROUPS = 255
 END = 0  # the end mark, which also stands before a text's first word
 WINDOW, WINDOWS = 32, 4  # steps of truncated back-propagation; windows per training stretch
-STRETCHES = 4096
+STRETCHES = 4096  # so many stretches have EPOCHS passes; more have fewer, but at least one
 EPOCHS = 4
 BATCH = 256
+ROUNDS = 8  # times that the lanes' weights are averaged in a pass
+LANE = 4096  # least stretches of a lane where there are so many
+LANES = 64  # lanes of a round from which on lanes grow, up to four times LANE
+PIECES = 32  # the weights are averaged in so many groups
 SMOOTHING = 0.1
 HELD_WORDS = 1 << 20  # distinct words that a counting task holds before it hands them on
 
@@ -262,18 +271,23 @@ class Network:
         return grads, h, float(out.sum()) / count
 
     def train(self, stretches: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.02,
-              seed: int = 5) -> None:
-        """Adam over stretches (token arrays that begin with the token before the first)."""
+              seed: int = 5, moments: list | None = None, span: tuple = (0.0, 1.0)) -> list:
+        """Adam over stretches (token arrays that begin with the token before the first).
+
+        ``moments`` are those that an earlier call gave back; ``span`` is the part of the
+        whole training that this call does, by which the rate falls.
+        """
+        if moments is None:
+            moments = [{k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)] + [0]
         if not stretches:
-            return
+            return moments
+        first, second, before = moments
         rng = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        done, steps = 0, epochs * WINDOWS * -(-len(stretches) // BATCH)
+        batches = -(-len(stretches) // BATCH)  # of even sizes, as all count alike
+        done, steps = 0, epochs * WINDOWS * batches
         for _ in range(epochs):
-            order = rng.permutation(len(stretches))
-            for low in range(0, len(order), BATCH):
-                part = [stretches[i] for i in order[low : low + BATCH]]
+            for rows in np.array_split(rng.permutation(len(stretches)), batches):
+                part = [stretches[i] for i in rows]
                 block = np.full((len(part), WINDOW * WINDOWS + 1), -1, np.int64)
                 for row, tokens in zip(block, part, strict=True):
                     row[: len(tokens)] = self.place[tokens]
@@ -286,14 +300,16 @@ class Network:
                     grads, h, _ = self.window_gradients(
                         np.maximum(cut[:, :-1], 0), np.maximum(cut[:, 1:], 0), live, h)
                     done += 1
-                    pace = rate * max(0.05, 1 - done / (steps + 1))
+                    at = span[0] + (span[1] - span[0]) * done / (steps + 1)
+                    pace = rate * max(0.05, 1 - at)
                     for name, g in grads.items():
                         np.clip(g, -1, 1, out=g)
                         first[name] += 0.1 * (g - first[name])
                         second[name] += 0.001 * (g * g - second[name])
-                        m = first[name] / (1 - 0.9**done)
-                        v = second[name] / (1 - 0.999**done)
+                        m = first[name] / (1 - 0.9 ** (before + done))
+                        v = second[name] / (1 - 0.999 ** (before + done))
                         self.p[name] -= pace * m / (np.sqrt(v) + 1e-8)
+        return [first, second, before + done]
 
     def score(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Log10 probability of each token sequence (``bounds`` as offsets), in windows."""
@@ -329,57 +345,142 @@ class Network:
         return out
 
 
-def _stretches(texts: DataFrame, lexicon: Lexicon, wanted: int) -> list[np.ndarray]:
-    """Token arrays of stretches of training texts, chosen by hash from all of them.
+def _stretches(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """draw, tokens: all stretches of all training texts.
 
-    ``texts``: uid, text. A stretch starts at a text's begin or at a multiple of its length.
+    ``texts``: uid, text. A stretch starts at a text's begin or at a multiple of its length
+    and has the token before its first, so every token and end mark is a target once. Rows
+    that repeat a text in a batch are drawn apart.
     """
     size = WINDOW * WINDOWS
-    expected = max(1, lexicon.total // size + lexicon.ends // 2)
-    chance = min(1.0, 1.5 * wanted / expected)
     shipped = ship(texts.sparkSession, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, lexicon = Scanner(), shipped()
         for batch in batches:
             uid = batch.column("uid").to_numpy().view(U64)
+            order = np.argsort(uid, kind="stable")
+            head = np.diff(uid[order], prepend=~uid[order[:1]]) != 0
+            copy = np.empty(len(uid), U64)
+            copy[order] = np.arange(len(uid)) - np.maximum.accumulate(
+                np.where(head, np.arange(len(uid)), 0))
+            uid = uid ^ mix(copy, 3)
             for low, _, data, offsets in text_slices(batch.column("text")):
                 starts, ends, bounds = scanner.spans(data, offsets)
+                words = scanner.hashes(data, starts, ends)
+                token, _ = lexicon.look_up(words, word_groups(scanner, data, starts, ends))
                 counts = np.diff(bounds) + 1  # with the end mark
+                # an end mark before and after each text
+                token = np.insert(token, np.concatenate([bounds[:-1], bounds[1:]]), END)
+                begin = np.concatenate([[0], np.cumsum(counts + 1)])[:-1]
                 parts = -(-counts // size)
                 row = np.repeat(np.arange(len(counts)), parts)
                 number = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                lengths = np.minimum(size, counts[row] - number * size) + 1
+                edges = np.concatenate([[0], np.cumsum(lengths)])
+                at = np.arange(edges[-1]) + np.repeat(
+                    begin[row] + number * size - edges[:-1], lengths)
                 draw = mix(uid[low + row] ^ mix(number.astype(U64), 1), 2)
-                picked = np.flatnonzero((draw >> U64(11)).astype(np.float64) / 2.0**53 < chance)
-                if not len(picked):
-                    continue
-                lists = []
-                for i in picked:
-                    begin = bounds[row[i]] + number[i] * size
-                    end = min(begin + size, bounds[row[i] + 1])
-                    s, e = starts[max(begin - 1, bounds[row[i]]) : end], None
-                    e = ends[max(begin - 1, bounds[row[i]]) : end]
-                    words = scanner.hashes(data, s, e)
-                    token, _ = lexicon.look_up(words, word_groups(scanner, data, s, e))
-                    if number[i] == 0:
-                        token = np.concatenate([[END], token])
-                    if end == bounds[row[i] + 1] and len(token) <= size:
-                        token = np.concatenate([token, [END]])
-                    lists.append(token.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [longs(draw[picked]), pa.array(lists, pa.list_(pa.int32()))],
+                    [longs(draw), pa.ListArray.from_arrays(
+                        pa.array(edges.astype(np.int32)), pa.array(token[at].astype(np.int16)))],
                     names=["draw", "tokens"])
 
-    drawn = texts.mapInArrow(run, "draw long, tokens array<int>")
-    rows = drawn.orderBy("draw", "tokens").limit(wanted).toArrow()
-    return [np.array(x, np.int64) for x in rows["tokens"].to_pylist()]
+    return texts.mapInArrow(run, "draw long, tokens array<smallint>")
+
+
+def _lane_trainer(shipped, epochs: int, seed: int, span: tuple):
+    """Trains on the stretches of one lane; gives weights and moments in pieces."""
+
+    def run(table: pa.Table) -> pa.Table:
+        network, moments = shipped()
+        lengths = table["tokens"].combine_chunks().value_lengths().to_numpy()
+        order = np.lexsort((lengths, table["draw"].to_numpy()))
+        column = table["tokens"].combine_chunks()
+        values, edges = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)])
+        own = [values[edges[i] : edges[i + 1]] for i in order]
+        first, second, done = network.train(own, epochs, seed=seed, moments=moments, span=span)
+        flat = np.concatenate([group[name].ravel() for group in (network.p, first, second)
+                               for name in network.p])
+        pieces = np.array_split(flat, PIECES)
+        count = int(lengths.sum() - len(lengths)) * epochs
+        return pa.table({
+            "lane": pa.array(np.full(PIECES, table["lane"][0].as_py(), np.int32)),
+            "piece": pa.array(np.arange(PIECES, dtype=np.int32)),
+            "targets": pa.array(np.full(PIECES, count, np.int64)),
+            "done": pa.array(np.full(PIECES, done, np.int64)),
+            "numbers": pa.array([p.tobytes() for p in pieces], pa.binary())})
+
+    return run
+
+
+def _average(table: pa.Table) -> pa.Table:
+    """One piece of the lanes' numbers, averaged by the targets of each lane."""
+    order = np.argsort(table["lane"].to_numpy())
+    targets = table["targets"].to_numpy()
+    total = np.zeros(len(table["numbers"][0].as_py()) // 4)
+    for i in order.tolist():
+        total += targets[i] * np.frombuffer(table["numbers"][i].as_py(), np.float32)
+    mean = (total / targets.sum()).astype(np.float32)
+    return pa.table({
+        "piece": table["piece"].slice(0, 1),
+        "targets": pa.array([int(targets.sum())]),
+        "done": pa.array([int(table["done"].to_numpy().max())]),
+        "numbers": pa.array([mean.tobytes()], pa.binary())})
+
+
+def fit(network: Network, texts: DataFrame, lexicon: Lexicon, stretches: int = STRETCHES,
+        lane: int = LANE) -> int:
+    """Trains ``network`` on all ``texts`` (uid, text); gives the targets it was trained on.
+
+    Passes over a text count. Each round's lanes train in tasks from the same weights.
+    """
+    spark = texts.sparkSession
+    part = F.pmod(F.xxhash64("draw"), F.lit(ROUNDS)).cast("int")
+    path = new_table_path(spark, "stretches")
+    _stretches(texts, lexicon).withColumn("part", part).write.partitionBy("part").parquet(path)
+    stored = spark.read.schema("draw long, tokens array<smallint>, part int").parquet(path)
+    total = stored.count()
+    if not total:
+        return 0
+    passes = min(EPOCHS, max(1, -(-EPOCHS * stretches // total)))
+    # few stretches are one lane, which makes all passes by itself
+    whole = total <= lane
+    rounds = 1 if whole else passes * ROUNDS
+    lanes = 1 if whole else max(1, min(-(-total // (ROUNDS * lane)),
+                                       max(LANES, -(-total // (ROUNDS * 4 * lane)))))
+    moments, trained = None, 0
+    names = list(network.p)
+    shapes = {name: value.shape for name, value in network.p.items()}
+    for number in range(rounds):
+        shipped = ship(spark, (network, moments))
+        span = (number / rounds, (number + 1) / rounds)
+        own = stored if whole else stored.filter(F.col("part") == number % ROUNDS)
+        deal = F.pmod(F.xxhash64("draw", F.lit(number)), F.lit(lanes)).cast("int")
+        made = own.select(deal.alias("lane"), "draw", "tokens").groupBy("lane").applyInArrow(
+            _lane_trainer(shipped, passes if whole else 1, 5 + number, span),
+            "lane int, piece int, targets long, done long, numbers binary")
+        rows = made.groupBy("piece").applyInArrow(
+            _average, "piece int, targets long, done long, numbers binary").collect()
+        if not rows:
+            continue
+        rows.sort(key=lambda r: r["piece"])
+        flat = np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in rows])
+        groups = []
+        for group in np.split(flat, 3):
+            cuts = np.cumsum([math.prod(shapes[n]) for n in names])[:-1]
+            groups.append({n: x.reshape(shapes[n]).copy()
+                           for n, x in zip(names, np.split(group, cuts), strict=True)})
+        network.p, moments = groups[0], [groups[1], groups[2], rows[0]["done"]]
+        trained += rows[0]["targets"]
+    return trained
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     stretches: int = STRETCHES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document.
 
-    Learns from documents outside the held-out tenth (crc32 of the id); all are scored.
+    Learns from all documents outside the held-out tenth (crc32 of the id); all are scored.
     Null text counts as empty and has one token, the end; a null id is not held out;
     repeated rows count, and are scored, as often as they come; other columns are ignored;
     an empty table gives an empty result. Words are told apart by 64-bit hashes.
@@ -393,7 +494,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lexicon = Lexicon(counts, training.select("held_out").count())
     network = Network(lexicon)
     keyed = training.select(F.xxhash64("doc_id", "text").alias("uid"), "text")
-    network.train(_stretches(keyed, lexicon, stretches))
+    fit(network, keyed, lexicon, stretches)
     shipped = ship(spark, (lexicon, network))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -119,3 +119,21 @@ def test_empty_and_untrained(spark):
     i = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     got = lm.score_documents(table(spark, [doc(i, "some words")])).collect()[0]
     assert (got.n_tokens, got.n_known, got.train_tokens) == (3, 0, 0) and math.isfinite(got.score)
+
+
+def test_every_training_token_is_trained_on_in_lanes(spark):
+    rows = corpus()
+    texts = table(spark, rows).selectExpr("xxhash64(doc_id, text) AS uid", "text").repartition(3)
+    lexicon = lm.Lexicon(lm.word_totals(texts), len(rows))
+    total = sum(len(words(text)) + 1 for _, text, *_ in rows)
+    assert lexicon.total == total
+    tokens = [r.tokens for r in lm._stretches(texts, lexicon).collect()]
+    assert sum(len(t) - 1 for t in tokens) == total
+    network = lm.Network(lexicon)
+    # far fewer stretches than there are: still every token once, in several lanes
+    assert lm.fit(network, texts, lexicon, stretches=8, lane=16) == total
+    plain = lm.Network(lexicon)
+    every = [np.array(t) for t in tokens]
+    values, bounds = np.concatenate([t[1:] for t in every]), np.cumsum(
+        [0, *(len(t) - 1 for t in every)])
+    assert network.score(values, bounds).sum() > plain.score(values, bounds).sum()
