@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, folder) and returns a DataFrame; its result is written as
 Parquet and read again as the next stage's documents. All stages but the last return the
 columns of documents. A stage decides for rows, not for ids: equal ids, null ids and rows
-that repeat each other are told apart by the row's number in the stored table.
+that repeat each other are told apart by the row's number, which is stored with the rows:
+numbers made anew in each scan differ when files are split differently.
 
 Nothing here is a cap or a sample: every stage works on all rows and whole texts.
 """
@@ -18,13 +19,22 @@ from corpusloom.session import materialize
 
 #: A document goes if no language holds this share of its words.
 LEAST_SHARE = 0.5
+#: Column of the stored row number. Stages store one if their documents have none.
+ROW = "_stored_row"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with _row: an order of rows by id, null last, then place in the table."""
-    return docs.withColumn("_row", F.struct(
+def _stored(docs: DataFrame) -> DataFrame:
+    """``docs`` with a stored number per row; as it is if it has one already."""
+    if ROW in docs.columns:
+        return docs
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with _row: an order of rows by id, null last, then stored number."""
+    return rows.withColumn("_row", F.struct(
         F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
-        F.monotonically_increasing_id().alias("place")))
+        F.col(ROW).alias("place")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -42,24 +52,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
     A document that loses all its lines goes; ``n_chars`` follows the text.
     """
-    kept = lines.dedup_lines(_numbered(docs), id_col="_row", drop_emptied=True).drop("_row")
+    rows = _keyed(_stored(docs))
+    kept = lines.dedup_lines(rows, id_col="_row", drop_emptied=True).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    rows = _numbered(docs)
-    found = near.near_duplicates(rows, id_col="_row")
-    gone = found.filter("NOT kept").select(F.col("doc_id").getField("place").alias("_place"))
-    return (
-        docs.withColumn("_place", F.monotonically_increasing_id())
-        .join(gone, "_place", "left_anti").select(*docs.columns)
-    )
+    rows = _stored(docs)
+    found = near.near_duplicates(_keyed(rows), id_col="_row")
+    gone = found.filter("NOT kept").select(F.col("doc_id").getField("place").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents that the mix takes, repeated or cut as it takes them."""
-    return mixing.apply_mix(docs)
+    return mixing.apply_mix(_stored(docs), stored_row=ROW).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -82,5 +90,8 @@ def run(spark: SparkSession, folder: str) -> DataFrame:
     """The packed sequences of ``documents``."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, folder), f"pipeline-{name}")
+        made = stage(spark, docs, folder).drop(ROW)
+        docs = materialize(
+            made.withColumn(ROW, F.monotonically_increasing_id()), f"pipeline-{name}")
+    docs = docs.drop(ROW)
     return STAGES[-1][1](spark, docs, folder)

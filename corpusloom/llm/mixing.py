@@ -162,16 +162,21 @@ def mix_sources(docs: DataFrame, most_repeats: int = MOST_REPEATS, seed: int = 0
         "shard", "quota", "row")
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, stored_row: str | None = None, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: repeated for every whole pass, and once
     more cut after the words of a partial pass; all columns of ``docs``.
 
-    Options are those of ``mix_sources``. ``docs`` must be a stored table, whose rows are
-    numbered alike in every scan. ``n_chars``, if there is such a column, follows the text.
+    Options are those of ``mix_sources``. ``stored_row``: a column of ``docs``, a stored
+    table, with a number of each row; without it the rows are numbered and stored here, as
+    numbers made anew in each scan differ when files are split differently. ``n_chars``, if there is such a column, follows the text.
     """
     text_col = options.get("text_col", "text")
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.toDF(*names)
+    if stored_row:
+        rows = rows.withColumn("_row", F.col(names[docs.columns.index(stored_row)]))
+    else:
+        rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
     place = {c: names[docs.columns.index(options.get(f"{c}_col", d))]
              for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))}
     options = {k: v for k, v in options.items() if not k.endswith("_col")}

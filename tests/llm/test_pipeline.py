@@ -107,3 +107,30 @@ def test_empty_documents(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
+
+
+@pytest.mark.parametrize("name", ["line_dedup", "near_dedup", "mix_sources"])
+def test_a_stage_holds_when_the_splits_change_between_scans(spark, tmp_path, name, monkeypatch):
+    rng = random.Random(9)
+    rows = [doc(i, " ".join(prose(rng, 30, 3000))) for i in range(60)]
+    rows += [doc(100 + i, rows[i][1]) for i in range(20)]
+    table(spark, rows).coalesce(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    want = sorted(r.text for r in dict(corpus_pipeline.STAGES)[name](spark, docs, "").collect())
+    for module in (corpus_pipeline.lines, corpus_pipeline.near, corpus_pipeline.mixing):
+        write = module.materialize
+
+        def resplit(df, table_name, write=write):
+            made = write(df, table_name)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            return made
+
+        monkeypatch.setattr(module, "materialize", resplit)
+    try:
+        # as when an executor comes or goes after the first scan
+        got = dict(corpus_pipeline.STAGES)[name](spark, docs, "").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.text for r in got) == want
