@@ -95,7 +95,7 @@ def _bucket_rows(docs: DataFrame) -> DataFrame:
 
 
 def line_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, line, node of every line with words, and its text if it is among ``nodes``.
+    """doc_id, row, line, node of every line with words, and its text if it is among ``nodes``.
 
     A batch gives the text of a node once. A fixed-size filter stands for ``nodes``, so a few
     others have their text, too.
@@ -116,16 +116,17 @@ def line_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     lines[i] = raw[s:e].decode()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(low + text)),
+                     batch.column("row").take(pa.array(low + text)),
                      pa.array(number.astype(np.int32)), longs(node), pa.array(lines, pa.string())],
-                    names=["doc_id", "line", "node", "text"])
+                    names=["doc_id", "row", "line", "node", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, line int, node long, text string")
+    return docs.select("doc_id", "row", "text").mapInArrow(
+        run, f"doc_id {kind}, row long, line int, node long, text string")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, lines: for each of ``docs`` (doc_id, text) the numbers of the lines that go."""
+    """row, lines: for each of ``docs`` (doc_id, row, text) the numbers of the lines that go."""
     members = materialize(memberships(_bucket_rows(docs)), "line-buckets")
     nodes = materialize(
         members.select("node").unionAll(members.select(F.col("hub").alias("node"))).distinct(),
@@ -136,21 +137,20 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
     labels = link(members, texts, _text_sets, percent)
     # lines that equal or resemble another: all others stay
-    places = places.select("doc_id", "line", "node")
+    places = places.select("doc_id", "row", "line", "node")
     repeated = places.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     touched = repeated.select("node", F.lit(None).cast("long").alias("component")).unionAll(
         labels.select("node", "component")).groupBy("node").agg(
         F.max("component").alias("component"))
     named = materialize(places.join(touched, "node").select(
-        "doc_id", "line", F.coalesce("component", "node").alias("key")), "touched-lines")
+        "doc_id", "row", "line", F.coalesce("component", "node").alias("key")), "touched-lines")
     # null ids come last, so that a line of an identified document stays if there is one
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "line")
     keepers = named.groupBy("key").agg(F.min(place).alias("first"))
     return (
         named.join(keepers, "key")
-        .filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-                  & (F.col("line") == F.col("first.line"))))
-        .groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+        .filter((F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))
+        .groupBy("row").agg(F.collect_set("line").alias("lines"))
     )
 
 
@@ -161,20 +161,23 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     ``n_lines`` counts lines with words, ``n_dropped`` those that went; ``drop_emptied``
     leaves out documents that lost all their lines (and the two counts). A text without such
     lines is unchanged (null stays null). A line goes with its line break, so what stays is
-    joined as before. Documents are told apart by id: rows that share an id (null included)
-    are one document and the same line numbers go in each, so equal rows stay equal. Columns
+    joined as before. Documents are told apart by id and text (a 64-bit hash of both): rows
+    that share an id, null included, lose only their own lines; rows that repeat both id and
+    text are one document, so equal rows stay equal. Columns
     of the input called n_lines or n_dropped are replaced. Very long lines and texts are
     treated whole; the list of dropped lines never exceeds a document's own lines.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).alias("text"))
     drops = duplicate_lines(rows, percent).select(
-        F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
+        F.col("row").alias("_id"), F.col("lines").alias("_lines"))
     others = [c for c in docs.columns if drop_emptied or c not in ("n_lines", "n_dropped")]
     names = [f"_c{i}" for i in range(len(others))]
     joined = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)))
     text = names[others.index(text_col)]
-    joined = joined.join(
-        drops, F.col(names[others.index(id_col)]).eqNullSafe(F.col("_id")), "left").drop("_id")
+    joined = joined.withColumn("_id", F.xxhash64(names[others.index(id_col)], text)).join(
+        drops, "_id", "left").drop("_id")
 
     def cut(text: str, lines: list[int]) -> tuple[str, int]:
         parts, gone = text.split("\n"), set(lines)

@@ -82,3 +82,12 @@ def test_a_line_of_many_documents_stays_once(spark):
     got = lines.dedup_lines(table(spark, rows)).collect()
     assert sum("footer" in r.text for r in got) == 1
     assert "footer" in next(r.text for r in got if r.doc_id == 0)
+
+
+def test_texts_that_share_an_id_lose_only_their_own_lines(spark):
+    rows = [doc(1, "a dup line"), doc(None, "a dup line\nx"), doc(None, "unique text\ny"),
+            doc(7, "the first of two\nshared by seven"), doc(7, "another start\nshared by seven")]
+    got = lines.dedup_lines(table(spark, rows)).collect()
+    left = collections.Counter(line for r in got for line in r.text.split("\n") if line)
+    assert left == collections.Counter({line for _, text, *_ in rows for line in text.split("\n")})
+    assert "a dup line" in next(r.text for r in got if r.doc_id == 1)
