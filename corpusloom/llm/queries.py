@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import (
     ann,
+    hardneg,
     langid,
     lines,
     lm,
@@ -71,6 +73,12 @@ def mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents"))
 
 
+def mine_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": pack,
     "op2_line_dedup": fuzzy_lines,
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore": exact_top_k,
     "op9_recurrent_scores": model_scores,
     "op10_mixing": mix,
+    "op13_hard_negatives": mine_negatives,
 }
 
 
@@ -116,6 +125,29 @@ SELECT query_id, rank, vec_id, score FROM (
   SELECT query_id, vec_id, score,
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
   FROM scores) WHERE rank <= 10""",
+        "op13_hard_negatives": """
+WITH parts AS (
+  SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
+rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list(floor(256 * x::DOUBLE) ORDER BY d) AS v
+  FROM parts GROUP BY ALL HAVING count(x) = count(*) AND bool_and(isfinite(x))),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows_ a JOIN rows_ b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER
+    AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
         "op7_sharding": f"SELECT doc_id, slot, ({owners})[slot + 1]::INTEGER AS shard "
         f"FROM (SELECT doc_id, {slot} AS slot FROM documents)",
     }
