@@ -12,6 +12,7 @@ from corpusloom.llm import (
     ann,
     hardneg,
     langid,
+    lexical,
     lines,
     lm,
     maxscore,
@@ -73,6 +74,11 @@ def mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents"))
 
 
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def mine_negatives(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore": exact_top_k,
     "op9_recurrent_scores": model_scores,
     "op10_mixing": mix,
+    "op11_lexical_search": lexical_search,
     "op13_hard_negatives": mine_negatives,
 }
 
@@ -98,6 +105,10 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
+def _lowered(column: str) -> str:
+    return f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def all_sql() -> dict[str, str]:
     size = sharding.TABLE_SIZE
     owners = sharding.lookup_table(SHARDS, size)
@@ -125,6 +136,29 @@ SELECT query_id, rank, vec_id, score FROM (
   SELECT query_id, vec_id, score,
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
   FROM scores) WHERE rank <= 10""",
+        "op11_lexical_search": f"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all({_lowered('text')}, '{lexical.TERM_PATTERN}')) AS term
+  FROM documents),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted, totals GROUP BY term, docs),
+lengths AS (
+  SELECT doc_id, 100 - 25 + ((25 * n * docs) // words) AS m FROM sizes, totals),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all({_lowered('text')}, '{lexical.TERM_PATTERN}')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (doc_id)
+  GROUP BY ALL)
+SELECT item_id,
+  row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+  doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20""",
         "op13_hard_negatives": """
 WITH parts AS (
   SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d
