@@ -20,6 +20,8 @@ from corpusloom.llm import (
     near,
     packing,
     sharding,
+    sigtree,
+    textops,
     tokens,
 )
 
@@ -79,6 +81,10 @@ def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return sigtree.jaccard_join(_table(spark, folder, "documents"), words=4, percent=85)
+
+
 def mine_negatives(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_recurrent_scores": model_scores,
     "op10_mixing": mix,
     "op11_lexical_search": lexical_search,
+    "op12_jaccard_join": jaccard,
     "op13_hard_negatives": mine_negatives,
 }
 
@@ -159,6 +166,27 @@ SELECT item_id,
   row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
   doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 20""",
+        "op12_jaccard_join": f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all({_lowered('text')}, '{textops.WORD_PATTERN}') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [w]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i : i + 3]) END) AS s
+  FROM texts WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
+  WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM texts
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT t.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b)::BIGINT AS component_id
+FROM texts t JOIN reached ON t.doc_id = a LEFT JOIN sizes s ON t.doc_id = s.doc_id
+GROUP BY t.doc_id""",
         "op13_hard_negatives": """
 WITH parts AS (
   SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d
