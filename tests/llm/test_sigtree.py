@@ -50,7 +50,8 @@ def test_equals_brute_force(spark, seed, words, percent):
 
 def test_large_trees_are_dealt_in_parts(spark, monkeypatch):
     """A root with many unlike leaves, chunks and parts of a few leaves, deep trees."""
-    for name, value in (("CHUNK", 5), ("PART", 7), ("FANOUT", 2), ("COUNTS", 4), ("WORDS", 8)):
+    for name, value in (("CHUNK", 5), ("PART", 7), ("FANOUT", 2), ("CALL_BYTES", 3000), ("WORDS", 8),
+                        ("FRONTIER", 50)):
         monkeypatch.setattr(sigtree, name, value)
     rng = random.Random(4)
     passage = prose(rng, 25)
@@ -77,6 +78,49 @@ def test_empty_and_unlinked_tables(spark):
     assert made == {1: (1, 1), 2: (1, 2), 3: (0, 3)}
 
 
+def test_similar_sets_share_a_root():
+    rng = np.random.default_rng(8)
+    for percent in (60, 85, 95):
+        for n in [*range(1, 60), 150, 400]:
+            for _ in range(6):
+                base = np.unique(rng.integers(0, 1 << 52, n))
+                other = base.copy()
+                for _ in range(rng.integers(0, 2 + n * (100 - percent) // 100)):
+                    if rng.random() < 0.5 and len(other) > 1:
+                        other = np.delete(other, rng.integers(len(other)))
+                    else:
+                        other = np.append(other, rng.integers(0, 1 << 52))
+                other = np.unique(other)
+                common = len(np.intersect1d(base, other))
+                if 100 * common < percent * (len(base) + len(other) - common):
+                    continue
+                if common == len(base) == len(other):
+                    continue
+                values = np.concatenate([base, other]).astype(np.uint64)
+                root, row = sigtree.parts(
+                    values, np.array([0, len(base), len(values)]), percent)
+                assert set(root[row == 0].tolist()) & set(root[row == 1].tolist())
+
+
+def test_sets_with_many_empty_parts_share_a_root(monkeypatch):
+    """With parts for far larger sets, nearly all are empty; least hashes take their place."""
+    monkeypatch.setattr(sigtree, "RANGE", 50.0)
+    rng = np.random.default_rng(9)
+    met = 0
+    for _ in range(200):
+        base = np.unique(rng.integers(0, 1 << 52, 12))
+        other = np.unique(np.append(base, rng.integers(0, 1 << 52)))
+        values = np.concatenate([base, other]).astype(np.uint64)
+        root, row = sigtree.parts(values, np.array([0, 12, 25]), 85)
+        met += bool(set(root[row == 0].tolist()) & set(root[row == 1].tolist()))
+    assert met == 200
+
+
+def pairs_of(left, right, percent):
+    found = list(left.traverse(right, percent))
+    return [np.concatenate([p[i] for p in found]) for i in (0, 1)]
+
+
 def test_bounds_never_drop_a_link():
     """Every pair of sets that overlaps enough survives at every level of the trees."""
     rng = np.random.default_rng(3)
@@ -89,14 +133,15 @@ def test_bounds_never_drop_a_link():
             copy[change] = rng.integers(0, 1 << 52, change.sum())
             sets.append(np.unique(copy))
     sizes = np.array([len(s) for s in sets])
-    data, edges = sigtree.bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+    data, edges = sigtree.bitmaps(
+        np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]), 4)
     at = np.arange(len(sets))
     bits = sigtree.folded(data, edges, at, 64)
     wide = sigtree.folded(data, edges, at[sizes > 100], 256)
     for which, words in ((at, bits), (at[sizes > 100], wide)):
         tree = np.zeros(len(which), np.int64)
         forest = sigtree.Forest(tree, sizes[which], words, which, sigtree.Forest.depth_of(tree))
-        a, b = forest.traverse(forest, 80)
+        a, b = pairs_of(forest, forest, 80)
         found = set(zip(which[a].tolist(), which[b].tolist(), strict=True))
         for i in which.tolist():
             for j in which.tolist():
@@ -111,7 +156,7 @@ def test_nodes_of_one_component_are_not_opened():
     tree = np.zeros(30, np.int64)
     labels = np.repeat([5, 6], 15)
     forest = sigtree.Forest(tree, np.full(30, 64), bits, labels, sigtree.Forest.depth_of(tree))
-    a, b = forest.traverse(forest, 85)
+    a, b = pairs_of(forest, forest, 85)
     assert len(a) == 2 * 15 * 15 and (labels[a] != labels[b]).all()
 
 
