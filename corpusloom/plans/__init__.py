@@ -12,6 +12,7 @@ def _load():
         ingest_queries,
         registry,
         retrieval_queries,
+        search_queries,
         text_queries,
     )
 
