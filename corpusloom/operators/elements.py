@@ -395,10 +395,13 @@ def text_elements(sections: DataFrame) -> DataFrame:
     )
 
 
-def union_elements(*parts: DataFrame) -> DataFrame:
-    """Text, then tables, then figures; ``type_order`` keeps that order per document."""
+def union_elements(*parts: DataFrame, first: int = 0) -> DataFrame:
+    """Text, then tables, then figures; ``type_order`` keeps that order per document.
+
+    It counts from ``first``: 1 for tables and figures without the text.
+    """
     out = None
-    for order, part in enumerate(parts):
+    for order, part in enumerate(parts, first):
         tagged = part.withColumn("type_order", F.lit(order))
         out = tagged if out is None else out.unionByName(tagged)
     return out

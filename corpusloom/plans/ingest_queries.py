@@ -44,9 +44,9 @@ WHERE element_type <> 'text'
 def atomic(spark, d):
     """Tables and figures of the documents."""
     return elements.union_elements(
-        elements.text_elements(elements.sectionize(views.doc_lines(spark, d))).limit(0),
         elements.table_elements(views.raw_tables(spark, d)),
         elements.figure_elements(views.page_images(spark, d)),
+        first=1,
     )
 
 
@@ -92,6 +92,46 @@ def store_batch_twice(spark, d):
         F.count_distinct("source_file").alias("n_files"))
 
 
+cte("after_edit", sx.sections("""(
+  SELECT * REPLACE (12.0 AS font_size) FROM plain_lines
+  WHERE CAST(substr(source_file, 5) AS BIGINT) % 4 <> 1
+    AND (CAST(substr(source_file, 5) AS BIGINT) % 4 <> 0 OR line_no < 2))"""), ("plain_lines",))
+
+
+@query("store_batch_changed", """
+SELECT source_file, chunk_index, content, status, total_chunks FROM (
+  SELECT 'doc_' || doc_id AS source_file FROM documents)
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY line_no) - 1 AS chunk_index
+           FROM after_edit) USING (source_file)
+JOIN (SELECT 'doc_' || doc_id AS source_file, CASE WHEN n IS NULL THEN 'failed' ELSE 'completed' END
+        AS status, coalesce(n, 0) AS total_chunks
+      FROM documents LEFT JOIN (SELECT source_file, count(*) AS n FROM after_edit GROUP BY source_file)
+        ON source_file = 'doc_' || doc_id) USING (source_file)
+""", ("after_edit",))
+def store_batch_changed(spark, d):
+    """The store after files came again: shortened, without any text, or edited and put right.
+
+    Every file of the catalog with its chunks; a failed one has none left.
+    """
+    chunks, catalog = new_table_path(spark, "store"), new_table_path(spark, "catalog")
+    docs = views.documents(spark, d)
+    turn = F.col("doc_id") % 4
+    shorter = F.concat_ws("\n", F.slice(F.split("text", "\n"), 1, 2))
+    edits = (
+        docs,
+        docs.where(turn < 3).withColumn(
+            "text", F.when(turn == 0, shorter).when(turn == 1, "")
+            .otherwise(F.concat(F.col("text"), F.lit("\nan edit")))),
+        docs.where(turn == 2),  # as they were at first
+    )
+    for batch in edits:
+        ingest.store_batch(batch, chunks, catalog, size=WHOLE)
+    listed = ingest.read_store(spark, catalog).select(
+        F.col("filename").alias("source_file"), "status", "total_chunks")
+    stored = stream.stored_chunks(spark, chunks).select("source_file", "chunk_index", "content")
+    return listed.join(stored, "source_file", "left")
+
+
 @query("delete_documents", """
 SELECT d.id, f.source_file IS NOT NULL AS found, coalesce(n, 0) AS removed_chunks,
   (SELECT count(*) FROM ingested WHERE source_file NOT IN (SELECT 'doc_' || (doc_id * 3) FROM labels))
