@@ -29,6 +29,7 @@ MOST_LANGUAGES = 256
 HELD_LANGUAGES = 32  # count tables that a task holds before it hands them on
 SMOOTHING = 0.5
 ROUNDS = 10
+PART = 0.1  # share of a text from which on a language counts as one of its few
 UNKNOWN = "und"
 
 
@@ -246,9 +247,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
 
 def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text",
                     lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text one language holds at least ``least``.
+    """The rows of ``docs``, all columns, whose text is in one language or a few.
 
-    Texts that are ``und`` go. A null language is filled with the predicted one.
+    The languages that hold a share of ``PART`` or more must hold ``least`` together, so
+    mixtures stay and texts that no few languages explain go, as do those that are ``und``.
+    A null language is filled with the predicted one.
     """
     names = [f"_k{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
@@ -257,7 +260,9 @@ def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str =
     others = [n for n in names if n != text]
     found = _predict(
         rows.filter(has_letter).withColumnRenamed(text, "_text"), [*others, "_text"], model)
-    found = found.filter((F.col("_pred") != UNKNOWN) & (F.col("_score") >= least))
+    held = F.aggregate(
+        F.filter("_shares", lambda x: x >= PART), F.lit(0.0), lambda total, x: total + x)
+    found = found.filter((F.col("_pred") != UNKNOWN) & (held >= least))
     found = found.withColumn(lang, F.coalesce(lang, "_pred"))
     return found.select(
         *(F.col("_text" if n == text else n).alias(c)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -75,3 +76,16 @@ def test_rejected_documents_go_and_columns_stay(spark, model):
     kept = langid.keep_identified(docs, model, 0.5)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.lang) for r in kept.collect()) == [(1, "en"), (4, "fr"), (4, "fr")]
+
+
+def test_mixtures_of_few_languages_are_kept(spark):
+    rng = random.Random(3)
+    languages = {f"l{i}": [f"{chr(97 + i)}{rng.randrange(10**6)}" for _ in range(60)]
+                 for i in range(4)}
+    learned = [doc(i, " ".join(rng.choices(languages[f"l{i % 4}"], k=80)), lang=f"l{i % 4}")
+               for i in range(80)]
+    mixed = sum((rng.choices(languages[f"l{i}"], k=n) for i, n in ((0, 40), (1, 30), (2, 30))), [])
+    asked = [doc(100, " ".join(mixed)), doc(101, None), doc(102, "12 34")]
+    model = langid.Model.fit(table(spark, learned).select("lang", "text"))
+    kept = langid.keep_identified(table(spark, asked), model, 0.5).collect()
+    assert [r.doc_id for r in kept] == [100]

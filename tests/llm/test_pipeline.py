@@ -134,3 +134,20 @@ def test_a_stage_holds_when_the_splits_change_between_scans(spark, tmp_path, nam
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sorted(r.text for r in got) == want
+
+
+@pytest.mark.parametrize("name", ["line_dedup", "near_dedup", "mix_sources"])
+def test_columns_with_the_stages_own_names(spark, tmp_path, name):
+    """Columns named like helpers are data like any other."""
+    rng = random.Random(11)
+    rows = [doc(i, " ".join(prose(rng, 30, 3000))) for i in range(40)]
+    docs = table(spark, rows).selectExpr(
+        "*", "7 AS _place", "'t' AS _key", "'r' AS _row", "1 AS _stored_row", "2 AS _PLACE_")
+    docs.write.parquet(str(tmp_path / "d"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "d"))):
+        got = dict(corpus_pipeline.STAGES)[name](spark, given, "")
+        assert got.columns == docs.columns
+        kept = got.collect()
+        assert {(r["_place"], r["_key"], r["_row"], r["_stored_row"]) for r in kept} == {
+            (7, "t", "r", 1)}
+        assert 36 <= len(kept) <= 44
