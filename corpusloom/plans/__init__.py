@@ -14,6 +14,7 @@ def _load():
         retrieval_queries,
         search_queries,
         text_queries,
+        usage_queries,
     )
 
     return registry

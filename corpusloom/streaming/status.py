@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators import catalog as cat
 from corpusloom.session import materialize, new_table_path, remove_path
@@ -82,6 +86,12 @@ def compact(spark: SparkSession, table: str, before: int, key: str | None) -> No
         remove_path(spark, f"{table}/batch={number}")
 
 
+def has_batches(spark: SparkSession, table: str) -> bool:
+    """Whether the table has been written yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
+
+
 def current(spark: SparkSession, table: str, key: str | None) -> DataFrame:
     """The maintained rows as of the newest batch."""
     rows = spark.read.parquet(table)
@@ -91,6 +101,70 @@ def current(spark: SparkSession, table: str, key: str | None) -> DataFrame:
     return rows.join(F.broadcast(newest), "batch").drop("batch")
 
 
+# ----------------------------------------------------------- totals with retraction
+
+TOTALS = "status string, n_documents long, n_pages long, n_chunks long"
+
+
+def total_changes(events: DataFrame) -> DataFrame:
+    """What every update changes in the totals: minus the document's old row, plus its new.
+
+    ``events``: a stream of id, status, total_pages, total_chunks and version. State is the
+    current row of each document; an update that is older than it changes nothing. Of the
+    updates of a document in one micro-batch the newest counts.
+    """
+    plain = events.select(
+        "id", "status", F.coalesce("total_pages", F.lit(0)).cast("long").alias("total_pages"),
+        F.coalesce("total_chunks", F.lit(0)).cast("long").alias("total_chunks"),
+        F.col("version").cast("long").alias("version"))
+
+    def row(values: tuple, sign: int) -> tuple:
+        done = values[0] == "completed"
+        return (values[0], sign, sign * values[1] if done else 0, sign * values[2] if done else 0)
+
+    def change(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState):
+        newest = max((p.loc[p["version"].idxmax()] for p in parts), key=lambda r: r["version"])
+        new = (newest["status"], int(newest["total_pages"]), int(newest["total_chunks"]))
+        old = state.get if state.exists else None
+        if old is not None and old[3] >= int(newest["version"]):
+            return
+        state.update((*new, int(newest["version"])))
+        rows = [row(new, 1)] if old is None else [row(tuple(old[:3]), -1), row(new, 1)]
+        yield pd.DataFrame(rows, columns=["status", "n_documents", "n_pages", "n_chunks"])
+
+    kinds = "status string, total_pages long, total_chunks long, version long"
+    return plain.groupBy("id").applyInPandasWithState(
+        change, TOTALS, kinds, "update", GroupStateTimeout.NoTimeout)
+
+
+def maintain_totals(events: DataFrame, table: str, checkpoint: str):
+    """Keep corpus totals per status right after every micro-batch; returns the query.
+
+    A micro-batch writes its few sums of changes under its number, so a repeated batch
+    replaces itself and ``totals`` adds them up.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy("status").agg(
+            *[F.sum(c).alias(c) for c in ("n_documents", "n_pages", "n_chunks")])
+        sums.coalesce(1).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return (
+        total_changes(events).writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def totals(spark: SparkSession, table: str, after: int | None = None) -> DataFrame:
+    """The totals now, or as they were after micro-batch number ``after``."""
+    rows = spark.read.schema(f"{TOTALS}, batch int").parquet(table)
+    if after is not None:
+        rows = rows.where(F.col("batch") <= after)
+    return rows.groupBy("status").agg(
+        *[F.sum(c).alias(c) for c in ("n_documents", "n_pages", "n_chunks")]
+    ).where(F.col("n_documents") > 0)
+
+
 def run_to_end(spark: SparkSession, stream: DataFrame, name: str, key: str | None) -> DataFrame:
     """Process everything that is available once and return the maintained table."""
     table, checkpoint = new_table_path(spark, name), new_table_path(spark, f"{name}-state")
