@@ -204,3 +204,21 @@ def chunk_quality(chunks: DataFrame) -> DataFrame:
         F.avg(F.col("content").rlike("[.!?]$").cast("double")).alias("boundary_share"),
         F.avg(complete.cast("double")).alias("complete_share"),
     )
+
+
+@F.udtf(returnType="piece_no int, content string", useArrow=True)
+class SplitChunks:
+    """``split_text`` as a table function: a row per piece of a text, numbered from 0.
+
+    NULL and blank texts have no rows; sizes and overlaps of 0 or NULL mean the defaults.
+    """
+
+    def eval(self, text: str, size: int, overlap: int):
+        for number, piece in enumerate(
+                split_text(text or "", size or CHUNK_SIZE, overlap or CHUNK_OVERLAP)):
+            yield number, piece
+
+
+def register_split_chunks(spark, name: str = "split_chunks") -> None:
+    """Make the splitter callable from SQL: ``FROM docs, LATERAL split_chunks(text, 512, 50)``."""
+    spark.udtf.register(name, SplitChunks)

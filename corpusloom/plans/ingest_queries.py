@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
-from corpusloom.operators import elements, embedding, evaluation, retrieval, tasks
+from corpusloom.operators import chunking, elements, embedding, evaluation, retrieval, tasks
 from corpusloom.plans import answer, ingest
 from corpusloom.plans import retrieval_queries as rq
 from corpusloom.plans import sqltext as sx
@@ -23,6 +23,15 @@ def chunk_text(spark, d):
     )
 
 
+@query("split_chunks")
+def split_chunks(spark, d):
+    """The splitter from SQL, over whole documents: a lateral join with a table function."""
+    chunking.register_split_chunks(spark)
+    return spark.sql(
+        """SELECT source_file, piece_no, content
+        FROM {docs}, LATERAL split_chunks(text, 512, 50)""", docs=views.documents(spark, d))
+
+
 WHOLE = 1 << 30  # no section is longer: a chunk per section, which SQL can state too
 
 cte("plain_sections", sx.sections("(SELECT * REPLACE (12.0 AS font_size) FROM plain_lines)"),

@@ -144,3 +144,19 @@ def test_chunk_index_does_not_depend_on_blocks(spark, block_pages):
         mine = sorted((r for r in got if r["source_file"] == source),
                       key=lambda r: (r["type_order"], r["page_number"], r["element_no"]))
         assert [r["chunk_index"] for r in mine] == list(range(len(mine)))
+
+
+def test_table_function_equals_the_operator(spark):
+    rows = [(1, "One two three. " * 90), (2, "short"), (3, None), (4, " \n "), (5, "x" * 1500),
+            (6, "a\n\nb c\n" * 200)]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    chunking.register_split_chunks(spark)
+    got = spark.sql("SELECT id, piece_no, content FROM {docs}, LATERAL split_chunks(text, 200, 20)",
+                    docs=docs).collect()
+    elements_ = docs.selectExpr("id", "text AS content", "'text' AS element_type")
+    want = chunking.chunk_text(elements_, 200, 20).select("id", "piece_no", "content").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 20
+    default = spark.sql("SELECT id, piece_no, content FROM {docs}, LATERAL split_chunks(text, NULL, 0)",
+                        docs=docs).collect()
+    want = chunking.chunk_text(elements_).select("id", "piece_no", "content").collect()
+    assert sorted(map(tuple, default)) == sorted(map(tuple, want))
