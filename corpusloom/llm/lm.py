@@ -45,6 +45,7 @@ WINDOW, WINDOWS = 32, 4  # steps of truncated back-propagation; windows per trai
 STRETCHES = 4096  # so many stretches have EPOCHS passes; more have fewer, but at least one
 EPOCHS = 4
 BATCH = 256
+CACHED = 2048  # rows of logits that stay in the processor's caches
 ROUNDS = 8  # times that the lanes' weights are averaged in a pass
 LANE = 4096  # least stretches of a lane where there are so many
 LANES = 64  # lanes of a round from which on lanes grow, up to four times LANE
@@ -186,7 +187,7 @@ class Network:
             "token_b": np.log(by_class / of_class[:, None]).astype(np.float32),
         }
 
-    def step(self, tokens: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def step(self, tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Next states after reading ``tokens`` (in place order)."""
         x = self.p["inputs"][tokens]
         s = h @ self.p["state"]
@@ -194,77 +195,108 @@ class Network:
         gates = _sigmoid(x[:, : 2 * n] + s[:, : 2 * n])
         z, r = gates[:, :n], gates[:, n:]
         new = np.tanh(x[:, 2 * n :] + r * s[:, 2 * n :])
-        out = new + z * (h - new)
-        if keep is not None:
-            keep.append((tokens, h, z, r, s[:, 2 * n :], new))
-        return out
+        return new + z * (h - new)
 
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """Natural log-probability of each target; with ``grads``, the gradient of their
         negative sum is added there and that to the states returned as well."""
         p = self.p
         cls, inner = targets // PER_CLASS, targets % PER_CLASS
-        at = np.arange(len(targets))
-        logits = states @ p["class_w"] + p["class_b"]
-        np.clip(logits, -60, 60, out=logits)
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        out = np.log(logits[at, cls]) - np.log(total)
-        if grads is not None:
-            logits /= total[:, None]
-            logits[at, cls] -= 1
-            grads["class_w"] += states.T @ logits
-            grads["class_b"] += logits.sum(axis=0)
-            back = logits @ p["class_w"].T
+        out = np.empty(len(targets), states.dtype)
+        back = np.empty_like(states) if grads is not None else None
+        ones = np.ones(max(CLASSES, PER_CLASS), states.dtype)
+        for low in range(0, len(targets), CACHED):
+            part = slice(low, low + CACHED)
+            own, at = states[part], np.arange(len(targets[part]))
+            logits = own @ p["class_w"] + p["class_b"]
+            np.minimum(logits, 60, out=logits)
+            picked = logits[at, cls[part]]
+            np.exp(logits, out=logits)
+            total = logits @ ones[:CLASSES]
+            out[part] = picked - np.log(total)
+            if grads is not None:
+                logits *= (1 / total)[:, None]
+                logits[at, cls[part]] -= 1
+                grads["class_w"] += own.T @ logits
+                grads["class_b"] += logits.sum(axis=0)
+                back[part] = logits @ p["class_w"].T
         order = np.argsort(cls.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        states, inner = states[order], inner[order]
+        by_class = np.empty(len(targets), states.dtype)
+        more = np.empty_like(states) if grads is not None else None
         for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
-                continue
-            own = states[rows]
-            e = own @ p["token_w"][c] + p["token_b"][c]
-            np.clip(e, -60, 60, out=e)
-            np.exp(e, out=e)
-            here, total = np.arange(len(rows)), e.sum(axis=1)
-            out[rows] += np.log(e[here, inner[rows]]) - np.log(total)
-            if grads is not None:
-                e /= total[:, None]
-                e[here, inner[rows]] -= 1
-                grads["token_w"][c] += own.T @ e
-                grads["token_b"][c] += e.sum(axis=0)
-                back[rows] += e @ p["token_w"][c].T
-        return out if grads is None else (out, back)
+            for low in range(edges[c], edges[c + 1], CACHED):
+                part = slice(low, min(low + CACHED, edges[c + 1]))
+                own = states[part]
+                e = own @ p["token_w"][c] + p["token_b"][c]
+                np.minimum(e, 60, out=e)
+                here = np.arange(len(own))
+                picked = e[here, inner[part]]
+                np.exp(e, out=e)
+                total = e @ ones[:PER_CLASS]
+                by_class[part] = picked - np.log(total)
+                if grads is not None:
+                    e *= (1 / total)[:, None]
+                    e[here, inner[part]] -= 1
+                    grads["token_w"][c] += own.T @ e
+                    grads["token_b"][c] += e.sum(axis=0)
+                    more[part] = e @ p["token_w"][c].T
+        out[order] += by_class
+        if grads is None:
+            return out
+        back[order] += more
+        return out, back
 
     def window_gradients(self, inputs, targets, live, h):
         """(gradients of the mean loss, last state, mean log-likelihood) of one window."""
-        keep, states = [], []
-        for t in range(inputs.shape[1]):
-            h = self.step(inputs[:, t], h, keep)
-            states.append(h)
+        n, (rows, steps) = HIDDEN, inputs.shape
+        state, turned = self.p["state"], np.ascontiguousarray(self.p["state"].T)
+        x = self.p["inputs"][inputs.T]  # step by step
+        before = np.empty((steps, rows, n), state.dtype)
+        after, new, rest = np.empty_like(before), np.empty_like(before), np.empty_like(before)
+        gates = np.empty((steps, rows, 2 * n), state.dtype)
+        for t in range(steps):
+            before[t] = h
+            s = h @ state
+            g = np.add(x[t, :, : 2 * n], s[:, : 2 * n], out=gates[t])
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            rest[t] = s[:, 2 * n :]
+            c = np.multiply(g[:, n:], rest[t], out=new[t])
+            c += x[t, :, 2 * n :]
+            np.tanh(c, out=c)
+            h = np.subtract(h, c, out=after[t])
+            h *= g[:, :n]
+            h += c
         grads = {name: np.zeros_like(value) for name, value in self.p.items()}
-        states = np.stack(states, axis=1)
-        out, back = self.log_likelihood(states[live], targets[live], grads)
-        d_states = np.zeros_like(states)
-        d_states[live] = back
-        d = np.zeros_like(h)
-        d_inputs = []
-        for t in reversed(range(inputs.shape[1])):
-            tokens, before, z, r, s_new, new = keep[t]
-            d = d + d_states[:, t]
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (before - new) * z * (1 - z)
-            d_r = d_new * s_new * r * (1 - r)
-            d_x = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_s = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            d_inputs.append(d_x)
-            grads["state"] += before.T @ d_s
-            d = d * z + d_s @ self.p["state"].T
-        read = inputs.T[::-1].ravel()
-        order = np.argsort(read, kind="stable")
+        out, back = self.log_likelihood(after[live.T], targets.T[live.T], grads)
+        d_after = np.zeros_like(after)
+        d_after[live.T] = back
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        to_new = (1 - z) * (1 - new * new)
+        to_z = (before - new) * z * (1 - z)
+        to_r = rest * r * (1 - r)
+        d_x = np.empty((steps, rows, 3 * n), state.dtype)
+        d_s = np.empty_like(d_x)
+        d = np.zeros((rows, n), state.dtype)
+        for t in range(steps - 1, -1, -1):
+            d += d_after[t]
+            own = np.multiply(d, to_new[t], out=d_x[t, :, 2 * n :])
+            np.multiply(d, to_z[t], out=d_x[t, :, :n])
+            np.multiply(own, to_r[t], out=d_x[t, :, n : 2 * n])
+            d_s[t, :, : 2 * n] = d_x[t, :, : 2 * n]
+            np.multiply(own, r[t], out=d_s[t, :, 2 * n :])
+            d *= z[t]
+            d += d_s[t] @ turned
+        grads["state"] += before.reshape(-1, n).T @ d_s.reshape(-1, 3 * n)
+        read = inputs.T.ravel()
+        order = np.argsort(read.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.diff(read[order], prepend=-1))
         grads["inputs"][read[order][first]] = np.add.reduceat(
-            np.concatenate(d_inputs)[order], first, axis=0)
+            d_x.reshape(-1, 3 * n)[order], first, axis=0)
         count = max(1, int(live.sum()))
         for value in grads.values():
             value /= count
@@ -302,13 +334,23 @@ class Network:
                     done += 1
                     at = span[0] + (span[1] - span[0]) * done / (steps + 1)
                     pace = rate * max(0.05, 1 - at)
-                    for name, g in grads.items():
+                    rise = np.float32(pace / (1 - 0.9 ** (before + done)))
+                    scale = np.float32(1 / math.sqrt(1 - 0.999 ** (before + done)))
+                    for name, g in grads.items():  # in place, each array a few times
                         np.clip(g, -1, 1, out=g)
-                        first[name] += 0.1 * (g - first[name])
-                        second[name] += 0.001 * (g * g - second[name])
-                        m = first[name] / (1 - 0.9 ** (before + done))
-                        v = second[name] / (1 - 0.999 ** (before + done))
-                        self.p[name] -= pace * m / (np.sqrt(v) + 1e-8)
+                        m, v = first[name], second[name]
+                        m *= np.float32(0.9)
+                        v *= np.float32(0.999)
+                        m += np.float32(0.1) * g
+                        np.square(g, out=g)
+                        g *= np.float32(0.001)
+                        v += g
+                        np.sqrt(v, out=g)
+                        g *= scale
+                        g += np.float32(1e-8)
+                        np.divide(m, g, out=g)
+                        g *= rise
+                        self.p[name] -= g
         return [first, second, before + done]
 
     def score(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -336,10 +378,8 @@ class Network:
                 last = target
             states, targets = np.concatenate(states), np.concatenate(targets)
             owners = np.concatenate(owners)
-            for at in range(0, len(targets), 16384):
-                part = slice(at, at + 16384)
-                found = self.log_likelihood(states[part], targets[part])
-                result[: owners[part].max() + 1] += np.bincount(owners[part], found)
+            found = self.log_likelihood(states, targets)
+            result[: owners.max() + 1] += np.bincount(owners, found)
         out = np.empty(len(order))
         out[order] = result / math.log(10)
         return out
