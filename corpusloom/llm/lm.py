@@ -40,6 +40,7 @@ HEAD = 1 << 18
 CLASSES, PER_CLASS, HIDDEN = 64, 64, 16
 VOCABULARY = CLASSES * PER_CLASS
 GROUPS = 255
+BEGIN_BITS = 20  # of a word's hash, by which its place in the head is looked up
 END = 0  # the end mark, which also stands before a text's first word
 WINDOW, WINDOWS = 32, 4  # steps of truncated back-propagation; windows per training stretch
 STRETCHES = 4096  # so many stretches have EPOCHS passes; more have fewer, but at least one
@@ -150,11 +151,21 @@ class Lexicon:
         place[rank] = (deal % CLASSES) * PER_CLASS + deal // CLASSES
         self.place = place
         self.weight = weight
+        self.starts = None
 
     def look_up(self, words: np.ndarray, groups: np.ndarray):
         """(token of each word, its place in the head or -1)."""
         if len(self.head):
-            at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
+            last = len(self.head) - 1
+            if self.starts is None:  # the first word with each beginning, made once per task
+                begin = np.arange(1 << BEGIN_BITS, dtype=U64) << U64(64 - BEGIN_BITS)
+                self.starts = np.minimum(np.searchsorted(self.head, begin), last)
+            at = self.starts[words >> U64(64 - BEGIN_BITS)]
+            low = np.flatnonzero(self.head[at] < words)
+            while len(low):
+                low = low[at[low] < last]
+                at[low] += 1
+                low = low[self.head[at[low]] < words[low]]
             at = np.where(self.head[at] == words, at, -1)
             token = np.where(at >= 0, self.head_id[at], -1)
         else:
