@@ -7,8 +7,9 @@
    decide, so the seats below are given at once and the rest is ranked.
 3. A source's blocks are apportioned to its shards (hash buckets of documents, as many as
    its row count asks for) in the same way, by the shard's words, which gives integer quotas
-   per source and shard.
-4. In a shard, documents stand in a seeded order and the quota is taken from that stream:
+   per source and shard. The words by which a source's blocks miss its target, about a block
+   at most, are settled among its shards in their order, within what a shard can give.
+4. In a shard, documents stand in a seeded order and the words are taken from that stream:
    whole passes first, then the leading blocks of it.
 
 Only (id, source, size) rows are shuffled, sums are combined before the shuffle, and
@@ -31,7 +32,6 @@ from corpusloom.session import materialize
 MOST_REPEATS = 3
 BLOCK_TOKENS = 1024
 SHARD_ROWS = 4096
-LEAST_BLOCKS = 1 << 16
 
 
 def source_targets(sources: DataFrame, weight: Column | None = None,
@@ -101,6 +101,26 @@ def apportion(groups: DataFrame, votes: Column, seats: Column, within: list[str]
     )
 
 
+def _settled(shares: DataFrame, limit: Column, block_tokens: int) -> DataFrame:
+    """``shares`` with ``take``: the words of each shard, which sum up to the source's target.
+
+    A shard gives its blocks, ``limit`` at most. What the target has more is taken from the
+    shards in their order as far as their limits allow; what it has less is left out likewise.
+    """
+    every = Window.partitionBy("place")
+    before = every.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    given = F.least(limit, F.col("quota") * block_tokens).cast("long")
+    rows = shares.withColumn("_given", given).withColumn("_room", limit.cast("long") - given)
+    gap = F.round("target").cast("long") - F.sum("_given").over(every)
+
+    def part(amount: Column, room: str) -> Column:
+        earlier = F.coalesce(F.sum(room).over(before), F.lit(0))
+        return F.least(F.col(room), F.greatest(F.lit(0), amount - earlier))
+
+    take = F.col("_given") + part(gap, "_room") - part(-gap, "_given")
+    return rows.withColumn("take", take).drop("_given", "_room")
+
+
 def mix_sources(docs: DataFrame, most_repeats: int = MOST_REPEATS, seed: int = 0,
                 block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS,
                 id_col: str = "doc_id", text_col: str = "text",
@@ -113,14 +133,14 @@ def mix_sources(docs: DataFrame, most_repeats: int = MOST_REPEATS, seed: int = 0
     document, repeats counted, at most ``most_repeats`` times its size. A null source is a
     source of its own; null ids are kept; repeated rows are documents of their own, and
     which of equal rows is taken does not matter; an empty table gives an empty result.
-    ``block_tokens`` is lowered on small inputs so that there are enough blocks to share.
+    A source's taken words are its target, rounded, at any size of the input; ``quota`` counts
+    the whole blocks among them.
     """
     sizes = materialize(word_counts(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                     F.col(row_col).alias("row") if row_col else F.lit(None).cast("long").alias("row"),
                     F.col(text_col).alias("text")), ["doc_id", "source", "row"]), "mix-sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    block = max(1, min(block_tokens, total // LEAST_BLOCKS))
     counts = sizes.groupBy(F.col("source").alias("_source")).agg(
         F.ceil(F.count(F.lit(1)) / shard_rows).alias("_shards"))
     # a hash of id and size: rows that repeat one id are spread if their texts differ
@@ -132,7 +152,7 @@ def mix_sources(docs: DataFrame, most_repeats: int = MOST_REPEATS, seed: int = 0
     by_source = source_targets(
         groups.groupBy("source").agg(F.sum("shard_size").alias("source_size")),
         most_repeats=most_repeats)
-    blocks = F.lit(total // block).cast("long")
+    blocks = F.lit(total // block_tokens).cast("long")
     quotas = materialize(
         apportion(by_source.withColumn("all", F.lit(0)), F.col("target"), blocks, ["all"],
                   "place").drop("all").withColumnRenamed("quota", "source_quota"),
@@ -141,9 +161,8 @@ def mix_sources(docs: DataFrame, most_repeats: int = MOST_REPEATS, seed: int = 0
         quotas.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
     ).drop("_source")
     shares = apportion(shard_rows_, F.col("shard_size"), F.col("source_quota"), ["place"], "shard")
-    limit = F.col("shard_size") * most_repeats
     shares = materialize(
-        shares.withColumn("take", F.least(limit, F.col("quota") * block)), "mix-shares"
+        _settled(shares, F.col("shard_size") * most_repeats, block_tokens), "mix-shares"
     ).select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size",
              "source_size", "target", "quota", "take")
     joined = sizes.join(
