@@ -314,8 +314,10 @@ def history_window(spark, d):
 @query("trace_digest", """
 SELECT run_id, string_agg('Step ' || step_number || ': ' || thought || chr(10) || 'Action: ' || action || '('
     || action_input_json || ')' || chr(10) || 'Observation: ' || left(left(observation, 2000), 500) || '...'
-    || chr(10) || chr(10), '' ORDER BY step_number) AS trace, count(*) AS n_steps
-FROM steps GROUP BY run_id
+    || chr(10) || chr(10), '' ORDER BY step_number) FILTER (no <= 10) AS trace, count(*) AS n_steps,
+  greatest(count(*) - 10, 0) AS n_left_out
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step_number) AS no FROM steps)
+GROUP BY run_id
 """, ("steps",))
 def trace_digest(spark, d):
     return traces.trace_digest(views.agent_steps(spark, d))

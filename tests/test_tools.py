@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import tools
+from corpusloom.operators import tools, traces
 
 CHUNKS = [
     ("c0", "p1", 1, "S", 0, "text", "first text", [1.0, 0.0]),
@@ -70,3 +70,20 @@ def test_paper_list(spark):
     got = ask(spark, ("get_paper_list", {}), papers=papers)
     assert got[0] == ("Available research papers:\n- new.pdf  (1 pages, 2 chunks)\n"
                       "- old.pdf  (3 pages, 9 chunks)")
+
+
+def test_digest_states_what_it_leaves_out(spark):
+    rows = [("long", i, f"t{i}", "search_text", "{}", "o" * 600) for i in range(14, 0, -1)]
+    rows += [("short", 2, "b", "finish", "{}", "done"), ("short", 1, "a", "search_text", "{}", "seen"),
+             (None, 1, "n", "finish", "{}", "x")]
+    steps = spark.createDataFrame(
+        rows, "run_id string, step_number int, thought string, action string,"
+        " action_input_json string, observation string")
+    got = {r["run_id"]: r for r in traces.trace_digest(steps).collect()}
+    assert {k: (r["n_steps"], r["n_left_out"]) for k, r in got.items()} == {
+        "long": (14, 4), "short": (2, 0), None: (1, 0)}
+    assert got["short"]["trace"] == (
+        "Step 1: a\nAction: search_text({})\nObservation: seen...\n\n"
+        "Step 2: b\nAction: finish({})\nObservation: done...\n\n")
+    assert "Step 10: t10" in got["long"]["trace"] and "Step 11" not in got["long"]["trace"]
+    assert "o" * 500 + "..." in got["long"]["trace"] and "o" * 501 not in got["long"]["trace"]
