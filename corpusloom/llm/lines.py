@@ -1,8 +1,8 @@
 """Fuzzy line de-duplication over a corpus.
 
 A line is compared without the blanks at its ends and with A-Z in lower case; lines without
-anything else are left alone. Its set are its shingles of ``SHINGLE`` bytes (a shorter line
-is one shingle). MinHash signatures of these sets, cut in ``BANDS`` bands of ``ROWS``, bring
+anything else are left alone. Its set are its shingles of ``SHINGLE`` characters (a shorter
+line is one shingle). MinHash signatures of these sets, cut in ``BANDS`` bands of ``ROWS``, bring
 candidates together; candidates are compared on whole lines, and links join lines into
 components (``linking``). Of each component the first line, by id and line number, stays.
 
@@ -34,8 +34,9 @@ from corpusloom.llm.linking import (
 from corpusloom.llm.textops import U64, Scanner, longs, mix, ship, text_slices
 from corpusloom.session import materialize
 
-SHINGLE = 8
-BANDS, ROWS = 12, 5
+SHINGLE = 4
+BANDS, ROWS = 24, 5
+FACTORS = np.random.default_rng(555).integers(1, 1 << 63, SHINGLE, dtype=U64) | U64(1)
 PERCENT = 80
 NEWLINE = 10
 
@@ -56,19 +57,40 @@ def line_spans(scanner: Scanner, data, offsets):
     return text[full], line[full], words[first[full]], stops[past[full] - 1]
 
 
+def characters(scanner: Scanner, data):
+    """(a number for each character, from 1 on; the count of characters that begin up to each
+    byte, with a leading 0)."""
+    lower = scanner.lower[data]
+    if not len(data) or data.max() < 0x80:
+        return lower.astype(U64) + U64(1), np.arange(len(data) + 1)
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    # the bytes of a character, which are one to four
+    four = np.ndarray(
+        (len(data),), "<u4", np.concatenate([lower, np.zeros(4, np.uint8)]), strides=(1,))
+    size = np.diff(np.append(at, len(data)))
+    code = four[at].astype(U64) & ((U64(1) << (U64(8) * size.astype(U64))) - U64(1))
+    return code + U64(1), np.concatenate([[0], np.cumsum(lead)])
+
+
 def line_sets(scanner: Scanner, data, starts, ends):
     """(hashes of the shingles, offsets) of byte ranges that are in order and apart."""
-    padded = np.concatenate([scanner.lower[data], np.zeros(SHINGLE, np.uint8)])
-    sizes = ends - starts
+    code, before = characters(scanner, data)
+    first, past = before[starts], before[ends]
+    sizes = past - first
     counts = np.maximum(sizes - SHINGLE + 1, 1)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    every = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    step = np.zeros(len(data) + 2, np.int8)  # +1 where a line's shingles begin, -1 after them
-    np.add.at(step, starts, 1)
-    np.subtract.at(step, starts + counts, 1)
-    values = every[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
-    short = np.flatnonzero(sizes < SHINGLE)
-    values[bounds[short]] &= (U64(1) << (U64(8) * sizes[short].astype(U64))) - U64(1)
+    step = np.zeros(len(code) + 2, np.int8)  # +1 where a line's shingles begin, -1 after them
+    step[first] += 1
+    step[first + counts] -= 1
+    inside = np.cumsum(step[: len(code)], dtype=np.int8).view(bool)
+    every = code * FACTORS[0]
+    for j in range(1, min(SHINGLE, len(code))):
+        every[:-j] += code[j:] * FACTORS[j]
+    values = every[inside]
+    for i in np.flatnonzero(sizes < SHINGLE):
+        part = code[first[i] : past[i]]
+        values[bounds[i]] = (part * FACTORS[: len(part)]).sum(dtype=U64)
     return mix(values, 31), bounds
 
 

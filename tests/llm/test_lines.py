@@ -6,11 +6,10 @@ from tests.llm.helpers import doc, groups, table
 
 
 def line_set(text):
-    raw = text.strip("\t\n\x0b\x0c\r ").encode()
-    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
-    if not raw:
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text.strip("\t\n\x0b\x0c\r "))
+    if not text:
         return frozenset()
-    return frozenset(raw[i : i + 8] for i in range(max(1, len(raw) - 7)))
+    return frozenset(text[i : i + 4] for i in range(max(1, len(text) - 3)))
 
 
 def expected(rows):
@@ -91,3 +90,23 @@ def test_texts_that_share_an_id_lose_only_their_own_lines(spark):
     left = collections.Counter(line for r in got for line in r.text.split("\n") if line)
     assert left == collections.Counter({line for _, text, *_ in rows for line in text.split("\n")})
     assert "a dup line" in next(r.text for r in got if r.doc_id == 1)
+
+
+def test_planted_edits_in_lines_of_30_to_100_characters(spark):
+    rng = random.Random(21)
+    rows, linked = [], set()
+    for i in range(240):
+        size, edits = rng.randrange(30, 101), rng.choice([1, 2])
+        letters = [chr(rng.choice([97 + rng.randrange(26), 0x4E00 + rng.randrange(3000)]))
+                   for _ in range(size)]
+        copy = list(letters)
+        for place in rng.sample(range(size), edits):
+            copy[place] = "#"
+        rows += [doc(2 * i, "".join(letters)), doc(2 * i + 1, "".join(copy))]
+        a, b = line_set(rows[-2][1]), line_set(rows[-1][1])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            linked.add(2 * i + 1)
+        if size >= 39 and edits == 1 or size >= 76:  # whatever the places of the edits
+            assert 2 * i + 1 in linked
+    got = lines.dedup_lines(table(spark, rows)).collect()
+    assert {r.doc_id for r in got if r.n_dropped} == linked and len(linked) > 120
