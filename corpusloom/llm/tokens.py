@@ -5,9 +5,10 @@ Two deterministic machines are compiled from the tokenizer's file:
 * the *splitter*: the file's split pattern as an automaton with eight states over eight
   symbols (a character's class, with what the pattern looks ahead at folded into it). A
   transition says whether its character begins a piece;
-* the *merger*: for each piece, the number of tokens that the merge ranks leave of it.
-  It annotates the splitter's "piece ends" transitions. Its entries are compiled when a
-  piece is first met, by applying the merges to all new pieces at once, and kept per task.
+* the *merger*: a transducer over bytes whose transitions carry the change of the number
+  of tokens, so the sum on the way through a piece is its count (see ``Merger``). It is
+  linear in a piece's length. Transitions are built when first taken and kept per task, and
+  so are the counts of whole pieces.
 
 A text is cut in chunks of characters. A chunk's effect is a map from each entry state to
 its exit state; maps of all chunks compose by a parallel prefix scan (doubling), which
@@ -35,6 +36,11 @@ from corpusloom.llm.textops import FULL, U64, mix, ship, sums, text_slices
 CHUNK = 64
 #: Pieces whose counts a task keeps; beyond it the table starts anew (a cache, no limit).
 KEPT_PIECES = 1 << 21
+#: Transitions that a task keeps; beyond it they are built anew (a cache, no limit).
+KEPT_ARCS = 1 << 18
+NEVER = 1 << 40
+#: State of the merger before a piece: no bytes, no token, no tokens fewer.
+START = (b"", (-1,), (0,))
 
 # Symbols and states of the splitter.
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, BLANK_RUN, BLANK_LAST, SPACE_LAST, EDGE = range(9)
@@ -127,16 +133,67 @@ def boundaries(symbol: np.ndarray, goes: np.ndarray, begins: np.ndarray) -> np.n
     return out.T.ravel()[:n]
 
 
+def stay_apart(ranks: dict, left: tuple, right: tuple, but: tuple = ()) -> bool:
+    """Whether merging never joins two neighbours, both of which come about by themselves.
+
+    ``left`` lists the symbols that stand at the right edge of the left neighbour, one after
+    the other, each with the rank of the merge that ends it; ``right`` those at the left edge
+    of the right one. A merge over the border happens if its rank comes before both ends; of
+    equal ranks the leftmost place goes first. ``but``: a pair that does not count.
+    """
+    i = j = 0
+    while True:
+        (a, end_a), (b, end_b) = left[i], right[j]
+        rank = ranks.get((a, b))
+        if rank is not None and rank[0] < end_a and rank[0] <= end_b and (a, b) != but:
+            return False
+        if end_a <= end_b:
+            if end_a == NEVER:
+                return True
+            i += 1
+        else:
+            j += 1
+
+
+def compile_merges(ranks: dict[tuple[int, int], tuple[int, int]], byte_ids: list[int]) -> dict:
+    """The vocabulary as the machine reads it.
+
+    ``tokens``: number of each entry that its own bytes give; ``starts``: all beginnings of
+    these; ``left_edge``, ``right_edge``: the symbols at an entry's edges while it comes about.
+    """
+    text = {number: bytes((byte,)) for byte, number in enumerate(byte_ids)}
+    left_edge = {number: ((number, NEVER),) for number in byte_ids}
+    right_edge = dict(left_edge)
+    for (a, b), (rank, made) in ranks.items():  # in the order of ranks
+        if made in text or a not in text or b not in text:
+            continue
+        if stay_apart(ranks, right_edge[a], left_edge[b], (a, b)):
+            text[made] = text[a] + text[b]
+            left_edge[made] = (*left_edge[a][:-1], (a, rank), (made, NEVER))
+            right_edge[made] = (*right_edge[b][:-1], (b, rank), (made, NEVER))
+    starts = {entry[:n] for entry in text.values() for n in range(1, len(entry) + 1)}
+    return {"tokens": {entry: number for number, entry in text.items()}, "starts": starts,
+            "left_edge": left_edge, "right_edge": right_edge, "ranks": ranks}
+
+
 class Merger:
-    """Token counts of pieces: compiled on first sight, then looked up by hash."""
-
-    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]], byte_ids: np.ndarray):
-        self.byte_ids = byte_ids
-        keys = np.array([(a << 20) | b for a, b in ranks], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.rank = np.array([r for r, _ in ranks.values()], np.int64)[order]
-        self.made = np.array([m for _, m in ranks.values()], np.int64)[order]
+    """Token counts of pieces by a counting transducer, kept by the hash of the piece.
+
+    The tokens of a text's beginning are known by its last token alone: the one entry that
+    ends there and stays apart from the last token of what is before it. A state holds what
+    later tokens can depend on: the longest run of last bytes that begins an entry, the last
+    token after each of these bytes, and how many tokens fewer the text had there. It is
+    bounded by the longest entry, so the machine is finite and deterministic; its transitions
+    carry the change of the count. They are built when first taken, and a word of any length
+    is one walk through them.
+    """
+
+    def __init__(self, spec: dict):
+        self.tokens, self.starts, self.ranks = spec["tokens"], spec["starts"], spec["ranks"]
+        self.left_edge, self.right_edge = spec["left_edge"], spec["right_edge"]
+        self.arcs: dict[int, tuple[int, int]] = {}
+        self.apart: dict[int, bool] = {}
+        self._restart()
         self.known = np.empty(0, U64)
         self.count = np.empty(0, np.int32)
 
@@ -156,41 +213,65 @@ class Merger:
             self.count = np.insert(self.count, place, out[new])
         return out
 
-    def _pairs(self, ids, owner):
-        """Index into the merge table of each symbol with its right neighbour, or -1."""
-        key = (ids[:-1] << 20) | ids[1:]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (owner[:-1] == owner[1:]), at, -1)
-
-    def compile(self, pieces: list[bytes]) -> np.ndarray:
-        """Apply the merges to all pieces together; in each round every piece takes its
-        lowest-ranked pair, at all its places from the left."""
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        result = sizes.copy()
-        ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        owner = np.repeat(np.arange(len(pieces)), sizes)
-        never = np.int64(1) << 40
-        while len(ids) > 1:
-            pair = self._pairs(ids, owner)
-            rank = np.where(pair >= 0, self.rank[pair], never)
-            best = np.full(len(pieces), never)
-            np.minimum.at(best, owner[:-1], rank)
-            hit = (rank < never) & (rank == best[owner[:-1]])
-            if not hit.any():
+    def compile(self, pieces: list[bytes]) -> list[int]:
+        """The counts that the transitions emit on the way through each piece."""
+        if len(self.arcs) > KEPT_ARCS:
+            self._restart()
+        arcs, out = self.arcs, []
+        for piece in pieces:
+            state = total = 0
+            for byte in piece:
+                arc = arcs.get(state << 8 | byte)
+                if arc is None:
+                    if len(arcs) > KEPT_ARCS:
+                        state = self._restart(self.states[state])
+                    arc = self._arc(state, byte)
+                state, emitted = arc
+                total += emitted
+            out.append(total)
+        return out
+
+    def _restart(self, state: tuple = START) -> int:
+        """Forget all states but the first and ``state``; the number of the latter."""
+        self.states, self.numbers = [START], {START: 0}
+        self.arcs.clear()
+        self.apart.clear()
+        return self._number(state)
+
+    def _number(self, state: tuple) -> int:
+        number = self.numbers.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        return number
+
+    def _arc(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition of a state by a byte, built when it is first taken."""
+        window, last, behind = self.states[state]
+        longer = window + bytes((byte,))
+        reach = longer
+        while reach not in self.starts:
+            reach = reach[1:]
+        # the one vocabulary entry that can follow what stands before it
+        at = len(longer) - len(reach)
+        while True:
+            token = self.tokens.get(longer[at:])
+            if token is not None and (last[at] < 0 or self._stay_apart(last[at], token)):
                 break
-            at = np.flatnonzero(hit)
-            # of a run of overlapping places (aaa) take every other one from the left
-            fresh = np.concatenate([[True], np.diff(at) > 1])
-            start = np.maximum.accumulate(np.where(fresh, at, 0))
-            at = at[(at - start) % 2 == 0]
-            ids[at] = self.made[pair[at]]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            np.subtract.at(result, owner[at], 1)
-            live = best < never  # finished pieces leave
-            keep &= live[owner]
-            ids, owner = ids[keep], owner[keep]
-        return result
+            at += 1
+        emitted = behind[at] + 1
+        cut = len(longer) - len(reach)
+        arc = self._number((reach, (*last[cut:], token),
+                            (*(n - emitted for n in behind[cut:]), 0))), emitted
+        self.arcs[state << 8 | byte] = arc
+        return arc
+
+    def _stay_apart(self, left: int, right: int) -> bool:
+        key = left << 20 | right
+        known = self.apart.get(key)
+        if known is None:
+            known = self.apart[key] = stay_apart(
+                self.ranks, self.right_edge[left], self.left_edge[right])
+        return known
 
 
 class Counter:
@@ -200,7 +281,7 @@ class Counter:
         self.goes, self.begins = splitter()
         self.table = classes()
         self.special = [np.array(list(map(ord, s)), np.uint32) for s in spec["special"]]
-        self.merger = Merger(spec["ranks"], np.array(spec["byte_ids"], np.int64))
+        self.merger = Merger(spec["merger"])
         rng = np.random.default_rng(11)
         self.codes = rng.integers(1, 1 << 63, 1 << 16, dtype=U64) | U64(1)
         base = 0x2545F4914F6CDD1D | 3
@@ -289,8 +370,7 @@ def read_spec(path: str) -> dict:
         a, b = pair.split(" ") if isinstance(pair, str) else pair
         ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
     return {
-        "ranks": ranks,
-        "byte_ids": [vocab[stand_in[b]] for b in range(256)],
+        "merger": compile_merges(ranks, [vocab[stand_in[b]] for b in range(256)]),
         "special": [t["content"] for t in spec["added_tokens"]],
     }
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pyarrow as pa
@@ -54,6 +55,36 @@ def test_forgotten_pieces_are_compiled_again(counter, library, monkeypatch):
         assert counted(counter, [text]) == expected(library, [text])
 
 
+def test_unbroken_words_are_one_walk(counter, library):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choices(letters, k=100_000)), "".join(rng.choices("etaoin", k=50_000)),
+             "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(20_000)),
+             "漢字かな" * 20_000, "=" * 70_001, "ab" * 33_333, "aab" * 5_001]
+    started = time.process_time()
+    got = counted(counter, texts)
+    assert time.process_time() - started < 30  # merging rank by rank took 23 s for the first
+    assert got == expected(library, texts)
+
+
+def test_forgotten_transitions_are_built_again(counter, library, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_ARCS", 50)
+    rng = random.Random(7)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randrange(1, 60))) for _ in range(300)]
+    assert counted(counter, words) == expected(library, words)
+    assert len(counter.merger.arcs) <= 51
+
+
+def test_each_entry_that_its_bytes_give_is_one_token(counter, library):
+    for entry in list(counter.merger.tokens)[::17]:
+        try:
+            text = entry.decode()
+        except UnicodeDecodeError:
+            continue
+        assert counter.merger.compile([entry]) == [1]
+        assert len(library.encode(text, add_special_tokens=False).ids) >= 1
+
+
 def test_rows(spark, library):
     long = "word éé " * 40_000
     rows = [doc(1, "Hello world"), doc(1, "Hello world"), doc(2, None), doc(None, ""),
