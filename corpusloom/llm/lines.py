@@ -35,7 +35,7 @@ from corpusloom.llm.textops import U64, Scanner, longs, mix, ship, text_slices
 from corpusloom.session import materialize
 
 SHINGLE = 5
-BANDS, ROWS = 18, 4
+BANDS, ROWS = 12, 5
 FACTORS = np.random.default_rng(555).integers(1, 1 << 63, SHINGLE, dtype=U64) | U64(1)
 PERCENT = 80
 NEWLINE = 10
