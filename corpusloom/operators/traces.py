@@ -79,11 +79,10 @@ def history_window(messages: DataFrame) -> DataFrame:
 
 
 def trace_digest(steps: DataFrame) -> DataFrame:
-    """The first ``STEP_CAP`` steps of a run as one text: (run_id, trace, n_steps, n_left_out).
+    """All steps of a run as one text: (run_id, trace, n_steps).
 
-    Observations are stored up to 2000 characters and shown up to 500. A run stops at the
-    cap; should one have more steps, they are counted and the text is of the first ones.
-    Each task sends at most ``STEP_CAP`` steps of a run to the shuffle.
+    Observations are stored up to 2000 characters and shown up to 500. The agent stops at
+    ``STEP_CAP``; a run that has more steps is shown with all of them.
     """
     stored = F.left("observation", F.lit(OBSERVATION_CUT))
     line = F.concat(
@@ -91,22 +90,16 @@ def trace_digest(steps: DataFrame) -> DataFrame:
         F.lit("\nAction: "), "action", F.lit("("), "action_input_json",
         F.lit(")\nObservation: "), F.left(stored, F.lit(DIGEST_CUT)), F.lit("...\n\n"),
     )
-    lines = steps.select("run_id", "step_number", line.alias("line"))
-    order = Window.partitionBy("run_id").orderBy("step_number", "line")
-    first = lines.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= STEP_CAP)
-    traces = first.groupBy("run_id").agg(
+    return steps.groupBy("run_id").agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("step_number", "line"))), lambda r: r["line"]
+                F.array_sort(F.collect_list(F.struct("step_number", line.alias("line")))),
+                lambda r: r["line"],
             ),
             "",
         ).alias("trace"),
+        F.count("*").alias("n_steps"),
     )
-    counts = steps.groupBy("run_id").agg(F.count("*").alias("n_steps"))
-    left_out = F.greatest(F.col("n_steps") - STEP_CAP, F.lit(0))
-    same = F.col("run_id").eqNullSafe(F.col("_run"))
-    return traces.join(counts.withColumnRenamed("run_id", "_run"), same).drop("_run").withColumn(
-        "n_left_out", left_out.cast("long"))
 
 
 def validate_actions(steps: DataFrame) -> DataFrame:

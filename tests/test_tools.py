@@ -72,7 +72,7 @@ def test_paper_list(spark):
                       "- old.pdf  (3 pages, 9 chunks)")
 
 
-def test_digest_states_what_it_leaves_out(spark):
+def test_digest_has_all_steps(spark):
     rows = [("long", i, f"t{i}", "search_text", "{}", "o" * 600) for i in range(14, 0, -1)]
     rows += [("short", 2, "b", "finish", "{}", "done"), ("short", 1, "a", "search_text", "{}", "seen"),
              (None, 1, "n", "finish", "{}", "x")]
@@ -80,10 +80,10 @@ def test_digest_states_what_it_leaves_out(spark):
         rows, "run_id string, step_number int, thought string, action string,"
         " action_input_json string, observation string")
     got = {r["run_id"]: r for r in traces.trace_digest(steps).collect()}
-    assert {k: (r["n_steps"], r["n_left_out"]) for k, r in got.items()} == {
-        "long": (14, 4), "short": (2, 0), None: (1, 0)}
+    assert {k: r["n_steps"] for k, r in got.items()} == {"long": 14, "short": 2, None: 1}
     assert got["short"]["trace"] == (
         "Step 1: a\nAction: search_text({})\nObservation: seen...\n\n"
         "Step 2: b\nAction: finish({})\nObservation: done...\n\n")
-    assert "Step 10: t10" in got["long"]["trace"] and "Step 11" not in got["long"]["trace"]
+    shown = [line for line in got["long"]["trace"].split("\n") if line.startswith("Step ")]
+    assert shown == [f"Step {i}: t{i}" for i in range(1, 15)]
     assert "o" * 500 + "..." in got["long"]["trace"] and "o" * 501 not in got["long"]["trace"]
