@@ -227,7 +227,9 @@ def change_summary(best: DataFrame, versions: DataFrame, target: float = TARGET_
     ``versions`` has metrics and ``changes ARRAY<STRING>`` per (text_id, pass).
     """
     # Wording.
-    picked = best.join(versions, "text_id").where(F.col("pass") <= F.col("passes_used"))
+    # Both sides grow alike, so neither may be broadcast, whatever its estimate.
+    picked = best.hint("merge").join(versions, "text_id").where(
+        F.col("pass") <= F.col("passes_used"))
     cols = ["burstiness", "ttr", "human_markers"]
     grouped = picked.groupBy("text_id").agg(
         F.first("original_score").alias("before"),
@@ -335,7 +337,7 @@ def pass_report(versions: DataFrame, threshold: float = TARGET_SCORE) -> DataFra
         "text_id", F.col("burstiness").alias("_b0"), F.col("ttr").alias("_t0")
     )
     return (
-        versions.join(original, "text_id")
+        versions.join(original.hint("merge"), "text_id")  # grows with the versions: no broadcast
         .groupBy("pass")
         .agg(
             F.count("*").alias("n_texts"),

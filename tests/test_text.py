@@ -184,3 +184,13 @@ def test_parse_rewrite_response(spark):
     stock = ["Rewrite generated"]
     assert got == [("new {x}", ["a", "b"]), ("orig", []), ("plain text", stock),
                    ("{bad json}", stock), ("n", [])]
+
+
+def test_versions_are_never_broadcast(spark):
+    versions = spark.range(5).selectExpr(
+        "id AS text_id", "explode(array(0, 1)) AS pass", "50.0D - id AS score",
+        "0.5D AS burstiness", "0.5D AS ttr", "1 AS human_markers", "array('a') AS changes")
+    summary = tm.change_summary(tm.best_of_passes(versions), versions)
+    assert summary.count() == 5
+    for df in (summary, tm.pass_report(versions)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
