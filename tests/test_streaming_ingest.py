@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
@@ -139,3 +140,18 @@ def test_schemas_match_the_tables(spark):
     for name, schema in (("documents", schemas.DOCUMENTS), ("events", schemas.EVENTS)):
         assert [(f.name, f.dataType) for f in readers.read_table(spark, SF, name).schema] == [
             (f.name, f.dataType) for f in schema]
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_table_stream_reads_a_file_or_a_folder(spark, tmp_path, parts):
+    rows = spark.createDataFrame([(i, f"Methods\ntext {i}") for i in range(6)], "doc_id long, text string")
+    if parts:
+        rows.repartition(parts).write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        rows.toPandas().to_parquet(tmp_path / "documents.parquet")
+    docs = stream.table_stream(spark, str(tmp_path), "documents", rows.schema).selectExpr(
+        "concat('doc_', doc_id) AS source_file", "text")
+    store, catalog = str(tmp_path / "store"), str(tmp_path / "catalog")
+    stream.stream_ingest(docs, store, catalog, str(tmp_path / "state")).awaitTermination()
+    got = stream.stored_chunks(spark, store).select("source_file", "content").collect()
+    assert sorted(map(tuple, got)) == [(f"doc_{i}", f"text {i}") for i in range(6)]
