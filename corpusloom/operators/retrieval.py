@@ -36,7 +36,8 @@ SCORE_FLOOR = 0.3
 TYPED_TOP_K = 5
 
 QUESTION_BLOCK = 4096  # questions shipped at once: some MB of vectors
-SCORE_CELLS = 16_000_000  # scores held at once in one task
+SCORE_CELLS = 1_000_000  # scores held at once in one task, in several copies
+GRID_BLOCK = 64  # questions multiplied at once by knn_grid
 PUSHED_VALUES = 1000  # filter values handed to the scan; more are filtered in the tasks
 RANK_PARTS = 16
 MOST_CELLS = 4096
@@ -74,7 +75,8 @@ class _Questions:
     every question meets every chunk.
     """
 
-    def __init__(self, table: pa.Table, k: int, cells: np.ndarray | None = None):
+    def __init__(self, table: pa.Table, k: int, cells: np.ndarray | None = None,
+                 step: int | None = None):
         valid = pa.compute.is_valid(table.column("vector"))
         table = table.filter(valid)
         self.cells = None if cells is None else cells[valid.to_numpy()]
@@ -88,6 +90,7 @@ class _Questions:
                 code = np.where(wanted == "", -1, np.searchsorted(values, wanted))
                 self.filters[column] = (pa.array(values.tolist(), pa.string()), code)
         self.k = k
+        self.step = step or max(1, len(self.ids))
         self.best = (
             np.empty(0, dtype=np.int64),
             np.empty(0, dtype=np.float64),
@@ -111,9 +114,11 @@ class _Questions:
     def _offer_rows(self, chunks: pa.Table, asked: np.ndarray) -> None:
         if not len(asked):
             return
-        rows = max(1, SCORE_CELLS // len(asked))
-        for at in range(0, chunks.num_rows, rows):
-            self._offer_part(chunks.slice(at, rows), asked)
+        for first in range(0, len(asked), self.step):
+            some = asked[first : first + self.step]
+            rows = max(1, SCORE_CELLS // len(some))
+            for at in range(0, chunks.num_rows, rows):
+                self._offer_part(chunks.slice(at, rows), some)
 
     def _offer_part(self, chunks: pa.Table, asked: np.ndarray) -> None:
         matrix = _matrix(chunks.column("embedding").combine_chunks())
@@ -211,17 +216,18 @@ def _chunk_columns(chunks: DataFrame) -> DataFrame:
 
 
 def knn_exact(queries: DataFrame, chunks: DataFrame, k: int | None = None,
-              block_rows: int = QUESTION_BLOCK) -> DataFrame:
+              block_rows: int = QUESTION_BLOCK, step: int | None = None) -> DataFrame:
     """The k best chunks per question: ``(query_id, chunk_id, score, rank)``.
 
     ``queries`` has ``query_id, vector`` and optionally ``filter_source``,
     ``filter_type`` (empty or NULL means no filter) and ``k`` per question. ``chunks``
     has ``chunk_id, source_file, content_type, embedding``; NULL embeddings are skipped.
-    Scores are rounded to six decimals and ties go to the smaller chunk id.
+    Scores are rounded to six decimals and ties go to the smaller chunk id. A task multiplies
+    ``step`` questions of a block at once, or the whole block.
     """
     questions = materialize(_as_questions(queries, k or DEFAULT_TOP_K), "asked")
     parts = [
-        _scan(table, _chunk_columns(_narrow(chunks, table)))
+        _scan(table, _chunk_columns(_narrow(chunks, table)), step=step)
         for table in _blocks(questions, block_rows)
     ]
     return _merged(parts, questions, k or DEFAULT_TOP_K)
@@ -234,14 +240,15 @@ def _merged(parts: list[DataFrame], questions: DataFrame, k: int) -> DataFrame:
     return _rank(reduce(DataFrame.unionAll, parts), questions, int(top or k))
 
 
-def _scan(table: pa.Table, chunks: DataFrame, cells: np.ndarray | None = None) -> DataFrame:
+def _scan(table: pa.Table, chunks: DataFrame, cells: np.ndarray | None = None,
+          step: int | None = None) -> DataFrame:
     """Every task's best rows for a block of questions; the chunk table is read in place."""
     top = max(table.column("k").to_pylist())
     shipped = chunks.sparkSession.sparkContext.broadcast((table, cells))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, cells = shipped.value
-        questions = _Questions(table, top, cells)
+        questions = _Questions(table, top, cells, step)
         for batch in batches:
             questions.offer(pa.Table.from_batches([batch]))
         yield from questions.hits().to_batches()
@@ -259,8 +266,11 @@ def _narrow(chunks: DataFrame, table: pa.Table) -> DataFrame:
 
 
 def knn_grid(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
-    """``knn_exact`` in many small question blocks."""
-    return knn_exact(queries, chunks, k, block_rows=64)
+    """``knn_exact`` in many small question blocks, which the tasks cut from those shipped.
+
+    The chunk table is read once per shipped block, not once per small one.
+    """
+    return knn_exact(queries, chunks, k, step=GRID_BLOCK)
 
 
 # ---------------------------------------------------------------------- approximate

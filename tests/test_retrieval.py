@@ -1,6 +1,9 @@
 """Nearest-neighbour search against a brute-force answer."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +76,34 @@ def test_question_blocks_match_brute_force(spark):
     assert not moved
 
 
+def test_small_blocks_share_a_scan(spark):
+    chunks, questions, c, q = frames(spark)
+    assert rows(retrieval.knn_exact(q, c, step=4)) == brute(chunks, questions)
+    many = q.crossJoin(spark.range(20)).withColumn("query_id", F.concat("query_id", "id")).drop("id")
+    plan = retrieval.knn_grid(many, c)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # 340 questions: once per 64 it was
+
+
+def test_scores_of_a_full_block_are_bounded():
+    rng = np.random.default_rng(3)
+    n = retrieval.QUESTION_BLOCK
+
+    def table(ids, name, count):
+        vectors = pa.array(rng.normal(size=(count, 4)).tolist(), pa.list_(pa.float64()))
+        return pa.table({ids: [str(i) for i in range(count)], name: vectors})
+
+    asked = table("query_id", "vector", n)
+    for name in ("filter_source", "filter_type"):
+        asked = asked.append_column(name, pa.nulls(n, pa.string()))
+    questions = retrieval._Questions(asked, 10)
+    chunks = table("chunk_id", "embedding", 8000)
+    tracemalloc.start()
+    questions.offer(chunks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and questions.hits().num_rows == 10 * n
+
+
 def test_no_questions_and_no_chunks(spark):
     _, _, c, q = frames(spark)
     assert retrieval.knn_exact(q.limit(0), c).count() == 0
