@@ -192,3 +192,15 @@ def test_char_error_rate(spark):
     df = spark.createDataFrame([("kitten", "sitting"), ("", "")], "a string, b string")
     got = [r[0] for r in df.select(ev.char_error_rate(F.col("a"), F.col("b"))).collect()]
     assert got == [3 / 7, None]
+
+
+def test_ties_are_settled_after_the_shuffle(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, "old"), ("a", 2, "y"), ("a", 2, "x"), ("b", None, "n"), (None, 3, "q"), (None, 3, "p")],
+        "id string, version long, text string")
+    last = cat.last_version(rows, "version")
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange", 1)
+    assert "json" in above.lower() and "json" not in below.lower()
+    assert sorted(map(tuple, last.collect()), key=str) == [
+        ("a", 2, "x"), ("b", None, "n"), (None, 3, "p")]
