@@ -40,6 +40,7 @@ SCORE_CELLS = 1_000_000  # scores held at once in one task, in several copies
 GRID_BLOCK = 64  # questions multiplied at once by knn_grid
 PUSHED_VALUES = 1000  # filter values handed to the scan; more are filtered in the tasks
 RANK_PARTS = 16
+TERM_HITS = 500  # passages whose terms a task counts
 MOST_CELLS = 4096
 
 _HIT_SCHEMA = "query_id string, chunk_id string, score double"
@@ -469,11 +470,17 @@ def source_coverage(hits: DataFrame) -> DataFrame:
 
 
 def trend_terms(hits: DataFrame, top: int = 20, min_letters: int = 4) -> DataFrame:
-    """Terms of the hit passages by the number of source files that use them."""
+    """Terms of the hit passages by the number of source files that use them.
+
+    A task's hits are dealt to one of as many tasks as there are ``TERM_HITS`` hits, so the
+    terms that a task counts stay few and don't move. ``hits`` is used twice: store it first.
+    """
+    parts = max(1, math.ceil(hits.count() / TERM_HITS))
     terms = hits.select(
-        "task_id",
-        "source_file",
-        F.explode(F.array_distinct(text.letters_only_words(F.col("content")))).alias("term"),
+        "task_id", "source_file",
+        F.array_distinct(text.letters_only_words(F.col("content"))).alias("_terms"),
+    ).repartition(parts, "task_id").select(
+        "task_id", "source_file", F.explode("_terms").alias("term")
     ).where(F.length("term") >= min_letters)
     counted = (
         terms.groupBy("task_id", "term", "source_file")

@@ -199,3 +199,16 @@ def test_chunk_columns_are_pruned(spark, tmp_path):
     assert "EqualTo(content_type,table)" in plan
     scans = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert scans and all("content:string" not in line for line in scans)
+
+
+def test_trend_terms_count_in_as_many_tasks_as_hits_need(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TERM_HITS", 3)
+    hits = [(f"t{i % 4}", f"f{i % 3}", f"alpha word{i % 2} alpha abc") for i in range(24)]
+    rows = spark.createDataFrame(
+        [*hits, ("t0", "f9", None)], "task_id string, source_file string, content string")
+    found = retrieval.trend_terms(rows, top=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # hits, no terms
+    assert "hashpartitioning(task_id#" in plan and ", 9)" in plan
+    assert {tuple(r) for r in found.collect()} == {
+        (f"t{t}", "alpha", 3, 6, 1) for t in range(4)}
