@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import elements
+from corpusloom.sources import views
 
 
 def test_spans_to_lines(spark):
@@ -136,3 +137,18 @@ def test_html_lines(spark):
     got = [(r["text"], r["font_size"]) for r in elements.html_lines(df).orderBy("line_no").collect()]
     assert got == [("T", 12.0), ("Big & bold", 24.0), ("one two", 12.0), ("three", 12.0), ("four", 12.0),
                    ("Sub", 18.0), ("tail", 12.0)]
+
+
+def test_order_lines_move_as_columns_not_as_cells(spark, tmp_path):
+    lines = [(1, 2, 20, 5, "N"), (1, 1, 10, 5, "R"), (1, 1, 10, 5, "N"), (1, 1, 9, 7, None)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (2,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    tables = views.raw_tables(spark, str(tmp_path))
+    raw = {r["table_idx"]: r["raw"] for r in tables.collect()}
+    assert raw == {1: [["line", "part", "flag"], ["1", "9", None], ["1", "10", None], ["1", "10", "R"],
+                       ["2", "20", None]], 2: []}
+    plan = tables._jdf.queryExecution().executedPlan().toString()
+    collected = [line for line in plan.splitlines() if "partial_collect_list(" in line]
+    assert collected and not any("array(" in line for line in collected)
