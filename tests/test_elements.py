@@ -139,6 +139,18 @@ def test_html_lines(spark):
                    ("Sub", 18.0), ("tail", 12.0)]
 
 
+def test_spans_are_grouped_as_runs_in_any_order(spark):
+    rng = random.Random(4)
+    rows = [(f"d{d}" if d else None, 1, b, 0, n, i, f" w{i}", None if i % 3 else 9.0 + i)
+            for d in range(3) for b in range(2) for n in range(4) for i in range(20)]
+    names = "source_file string, page_number int, block_no int, block_type int, line_no int, span_no int, text string, size double"
+    want = {(r[0], 1, r[2], r[4], " ".join(f"w{i}" for i in range(20)), 27.0) for r in rows}
+    for turned in (rows, rng.sample(rows, len(rows))):
+        lines = elements.spans_to_lines(spark.createDataFrame(turned, names).coalesce(2))
+        assert {tuple(r) for r in lines.collect()} == want and lines.count() == len(want)
+    assert "MapInArrow" in lines._jdf.queryExecution().executedPlan().toString()
+
+
 def test_order_lines_move_as_columns_not_as_cells(spark, tmp_path):
     lines = [(1, 2, 20, 5, "N"), (1, 1, 10, 5, "R"), (1, 1, 10, 5, "N"), (1, 1, 9, 7, None)]
     spark.createDataFrame(
