@@ -3,7 +3,7 @@
 A line is compared without the blanks at its ends and with A-Z in lower case; lines without
 anything else are left alone. Its set are its shingles of ``SHINGLE`` characters (a shorter
 line is one shingle). MinHash signatures of these sets, cut in ``BANDS`` bands of ``ROWS``, bring
-candidates together; candidates are compared on whole lines, and links join lines into
+candidates together; those whose signatures are far apart go, the others are compared on whole lines, and links join lines into
 components (``linking``). Of each component the first line, by id and line number, stays.
 
 Equal lines are one node (a 64-bit hash), whatever their number. What is shuffled: band
@@ -22,16 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.linking import (
-    BUCKET_SCHEMA,
+    SKETCH_SCHEMA,
     band_keys,
-    bucket_batch,
     fast_sketch,
     link,
-    memberships,
+    near_memberships,
     passes,
+    sketch_batch,
+    sketch_bits,
     wanted_filter,
 )
-from corpusloom.llm.textops import U64, Scanner, longs, mix, ship, text_slices
+from corpusloom.llm.textops import SLICE, U64, Scanner, longs, mix, ship, text_slices
 from corpusloom.session import materialize
 
 SHINGLE = 5
@@ -39,6 +40,7 @@ BANDS, ROWS = 12, 5
 FACTORS = np.random.default_rng(555).integers(1, 1 << 63, SHINGLE, dtype=U64) | U64(1)
 PERCENT = 80
 NEWLINE = 10
+HANDED = 1 << 16  # rows that a task hands to Spark at once
 
 
 def line_spans(scanner: Scanner, data, offsets):
@@ -58,25 +60,28 @@ def line_spans(scanner: Scanner, data, offsets):
 
 
 def characters(scanner: Scanner, data):
-    """(a number for each character, from 1 on; the count of characters that begin up to each
-    byte, with a leading 0)."""
+    """(a number for each character, from 1 on; the byte at which each begins, or None if all
+    are of one byte)."""
     lower = scanner.lower[data]
     if not len(data) or data.max() < 0x80:
-        return lower.astype(U64) + U64(1), np.arange(len(data) + 1)
+        return lower.astype(U64) + U64(1), None
     lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
-    # the bytes of a character, which are one to four
+    at, code = np.flatnonzero(lead), lower[lead].astype(U64)
+    # the bytes of a character, which are two to four here
+    wide = np.flatnonzero(code >= U64(0xC0))
     four = np.ndarray(
         (len(data),), "<u4", np.concatenate([lower, np.zeros(4, np.uint8)]), strides=(1,))
-    size = np.diff(np.append(at, len(data)))
-    code = four[at].astype(U64) & ((U64(1) << (U64(8) * size.astype(U64))) - U64(1))
-    return code + U64(1), np.concatenate([[0], np.cumsum(lead)])
+    size = np.append(at, len(data))[wide + 1] - at[wide]
+    code[wide] = four[at[wide]].astype(U64) & ((U64(1) << (U64(8) * size.astype(U64))) - U64(1))
+    code += U64(1)
+    return code, at
 
 
 def line_sets(scanner: Scanner, data, starts, ends):
     """(hashes of the shingles, offsets) of byte ranges that are in order and apart."""
-    code, before = characters(scanner, data)
-    first, past = before[starts], before[ends]
+    code, at = characters(scanner, data)
+    first, past = (starts, ends) if at is None else (
+        np.searchsorted(at, starts), np.searchsorted(at, ends))
     sizes = past - first
     counts = np.maximum(sizes - SHINGLE + 1, 1)
     bounds = np.concatenate([[0], np.cumsum(counts)])
@@ -84,9 +89,9 @@ def line_sets(scanner: Scanner, data, starts, ends):
     step[first] += 1
     step[first + counts] -= 1
     inside = np.cumsum(step[: len(code)], dtype=np.int8).view(bool)
-    every = code * FACTORS[0]
+    every, term = code * FACTORS[0], np.empty_like(code)
     for j in range(1, min(SHINGLE, len(code))):
-        every[:-j] += code[j:] * FACTORS[j]
+        every[:-j] += np.multiply(code[j:], FACTORS[j], out=term[j:])
     values = every[inside]
     for i in np.flatnonzero(sizes < SHINGLE):
         part = code[first[i] : past[i]]
@@ -103,17 +108,21 @@ def _bucket_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         for batch in batches:
-            nodes, keys = [np.empty(0, U64)], [np.empty((0, BANDS), U64)]
-            for _, _, data, offsets in text_slices(batch.column("text")):
+            nodes, keys, bits = [np.empty(0, U64)], [np.empty((0, BANDS), U64)], [np.empty(0, U64)]
+            for _, _, data, offsets in text_slices(batch.column("text"), SLICE >> 1):
                 _, _, starts, ends = line_spans(scanner, data, offsets)
                 node = scanner.hashes(data, starts, ends)
                 first = np.sort(np.unique(node, return_index=True)[1])
                 values, bounds = line_sets(scanner, data, starts[first], ends[first])
                 nodes.append(node[first])
-                keys.append(band_keys(fast_sketch(values, bounds, BANDS * ROWS), BANDS, ROWS))
-            yield bucket_batch(np.concatenate(nodes), np.concatenate(keys))
+                sketch = fast_sketch(values, bounds, BANDS * ROWS)
+                keys.append(band_keys(sketch, BANDS, ROWS))
+                bits.append(sketch_bits(sketch))
+            rows = sketch_batch(*(np.concatenate(part) for part in (nodes, keys, bits)))
+            for low in range(0, rows.num_rows, HANDED):
+                yield rows.slice(low, HANDED)
 
-    return docs.select("text").mapInArrow(run, BUCKET_SCHEMA)
+    return docs.select("text").mapInArrow(run, SKETCH_SCHEMA)
 
 
 def line_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -149,7 +158,7 @@ def line_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """row, lines: for each of ``docs`` (doc_id, row, text) the numbers of the lines that go."""
-    members = materialize(memberships(_bucket_rows(docs)), "line-buckets")
+    members = materialize(near_memberships(_bucket_rows(docs)), "line-buckets")
     nodes = materialize(
         members.select("node").unionAll(members.select(F.col("hub").alias("node"))).distinct(),
         "line-nodes")

@@ -5,6 +5,10 @@ Nodes that share a band key are a bucket. In a batch of a task a bucket is combi
 smallest node, the hub, so a bucket that holds a third of all rows reaches the shuffle as
 one row per batch; after it the same is done over the batches.
 
+A bucket can be thinned before anything is stored: rows that carry the bits of their sketch
+(``sketch_bits``) are compared by these, each with all others of its bucket, and those that
+are far from all leave (``near_memberships``).
+
 Verification. Each member is compared with its hub, exactly, on whole contents; links form
 components. Where a bucket still spans several components, the members outside its main
 component are compared with all members of other components. That happens inside tasks, on
@@ -35,6 +39,10 @@ PART_SETS, PART_BYTES = 2048, 4 << 20
 MATCHES = 1 << 22  # common elements that a task lists at once
 FILTER_BITS = 24  # size of the filter of wanted nodes: 2 MB, whatever the data
 BUCKET_SCHEMA = "deal long, band long, node long, hub long"
+SKETCH_SCHEMA = "deal long, band long, node long, bits long, hub long"
+LEADS = 62  # the bit of a node that others of its batch are combined to
+NEAR_BITS = 18  # of 60 sketch bits, as many may differ: at a similarity of 0.8 more do once in 10^6
+THINNED = 1 << 13  # larger buckets are kept whole
 
 
 # ------------------------------------------------------------------ signatures
@@ -49,10 +57,11 @@ def fast_sketch(values: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray
     one round, and two sets agree in a coordinate with the probability of their similarity,
     concentrated like that of independent samples. An empty set keeps the highest value.
     """
-    sets = len(bounds) - 1
+    sets, counts = len(bounds) - 1, np.diff(bounds)
     out = np.full(sets * size, FULL, U64)
-    base = np.repeat(np.arange(sets) * size, np.diff(bounds))  # first bin of each element's set
+    base = np.repeat(np.arange(sets) * size, counts)  # first bin of each element's set
     factors = np.random.default_rng(777).integers(1, 1 << 63, 2 * size, dtype=U64) | U64(1)
+    free = np.ones(sets * size, bool)
     for i in range(2 * size):
         if not len(values):
             break
@@ -68,13 +77,17 @@ def fast_sketch(values: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray
             place += base
         else:
             place = base + (i - size)
+        if i:  # what falls into bins that an earlier round filled is higher than theirs
+            low = np.flatnonzero(free[place])
+            x, place = x[low], place[low]
         x &= U64(0xFFFFFFFF)
         x |= U64(i << 32)
         np.minimum.at(out, place, x)
-        open_ = (out.reshape(sets, size) == FULL).any(axis=1)
-        if not open_.all():
-            keep = open_[base // size]
-            values, base = values[keep], base[keep]
+        np.equal(out, FULL, out=free)
+        open_ = free.reshape(sets, size).any(axis=1)
+        keep = np.repeat(open_, counts)
+        counts = np.where(open_, counts, 0)
+        values, base = values[keep], base[keep]
     return out.reshape(sets, size)
 
 
@@ -119,6 +132,108 @@ def memberships(rows: DataFrame) -> DataFrame:
     )
 
 
+def sketch_bits(sketch: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate (at most ``LEADS``) as one number per set."""
+    bits = np.zeros(len(sketch), U64)
+    for j in range(sketch.shape[1]):
+        bits |= ((sketch[:, j] * U64(0x9E3779B97F4A7C15)) >> U64(63)) << U64(j)
+    return bits
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b) & U64((1 << LEADS) - 1)) > NEAR_BITS
+
+
+def sketch_batch(nodes: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``SKETCH_SCHEMA``: like ``bucket_batch``, but only nodes whose bits are near
+    those of the batch's smallest node are combined to it, and that one is marked."""
+    nodes, first = np.unique(nodes.view(np.int64), return_index=True)
+    band = keys[first].ravel()
+    node = np.repeat(nodes, keys.shape[1])
+    bits = np.repeat(bits[first], keys.shape[1])
+    order = np.argsort(band, kind="stable")  # nodes stay sorted within a band
+    band, node, bits = band[order], node[order], bits[order]
+    head = np.diff(band, prepend=~band[:1]) != 0
+    at = np.maximum.accumulate(np.where(head, np.arange(len(band)), 0))
+    alone = head | _far(bits, bits[at])
+    hub = node[at]
+    bits[at[~alone]] |= U64(1 << LEADS)
+    deal = np.where(alone, band, mix(node.view(U64), 9))
+    return pa.RecordBatch.from_arrays(
+        [longs(deal), longs(band), pa.array(node), longs(bits), pa.array(hub, mask=alone)],
+        names=["deal", "band", "node", "bits", "hub"])
+
+
+def _thin(band: np.ndarray, node: np.ndarray, bits: np.ndarray):
+    """(band, hub, node) of whole buckets in order, without nodes that are far from all
+    others of their bucket. A bucket with a marked node, or beyond ``THINNED``, stays whole."""
+    if not len(band):
+        return band, node, node
+    start = np.flatnonzero(np.diff(band, prepend=~band[:1]) | np.diff(node, prepend=~node[:1]))
+    band, node, bits = band[start], node[start], np.bitwise_or.reduceat(bits, start)
+    head = np.diff(band, prepend=~band[:1]) != 0
+    bucket = np.cumsum(head) - 1
+    sizes = np.bincount(bucket)
+    whole = np.bitwise_or.reduceat(bits, np.flatnonzero(head)) >> U64(LEADS) != 0
+    whole |= sizes > THINNED
+    kept = whole[bucket]
+    place = np.arange(len(band)) - np.flatnonzero(head)[bucket]
+    left = np.where(kept, 0, sizes[bucket] - 1 - place)  # later nodes of the bucket to meet
+    at, step = np.flatnonzero(left), 1
+    while len(at):
+        near = at[~_far(bits[at], bits[at + step])]
+        kept[near] = kept[near + step] = True
+        step += 1
+        at = at[left[at] >= step]
+    band, node = band[kept], node[kept]
+    head = np.diff(band, prepend=~band[:1]) != 0
+    hub = node[np.maximum.accumulate(np.where(head, np.arange(len(band)), 0))]
+    return band[~head], hub[~head], node[~head]
+
+
+def near_memberships(rows: DataFrame) -> DataFrame:
+    """``memberships`` of rows as of ``sketch_batch``, thinned.
+
+    Two nodes that share a band are both members of it, or their bits are far apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = np.empty(0, np.int64)
+        rest, open_ = (empty, empty, empty.view(U64)), None
+
+        def made(band, hub, node):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(band), pa.array(hub), pa.array(node)], names=["band", "hub", "node"])
+
+        for batch in batches:
+            combined = batch.filter(pc.is_valid(batch.column("hub")))
+            if combined.num_rows:
+                yield combined.select(["band", "hub", "node"])
+            heads = batch.filter(pc.is_null(batch.column("hub")))
+            band, node, bits = (heads.column(c).to_numpy() for c in ("band", "node", "bits"))
+            if open_ is not None:  # the bucket that is kept whole goes on
+                same = band == open_[0]
+                others = same & (node != open_[1])
+                yield made(band[others], np.full(others.sum(), open_[1]), node[others])
+                band, node, bits = band[~same], node[~same], bits[~same]
+            rest = tuple(np.concatenate(both) for both in zip(
+                rest, (band, node, bits.view(U64)), strict=True))
+            if not len(rest[0]):
+                continue
+            last = int(np.searchsorted(rest[0], rest[0][-1], "left"))
+            yield made(*_thin(*(column[:last] for column in rest)))
+            rest = tuple(column[last:] for column in rest)
+            if len(rest[0]) > 4 * THINNED:
+                open_ = rest[0][0], rest[1][0]
+                others = rest[1] != open_[1]
+                yield made(rest[0][others], np.full(others.sum(), open_[1]), rest[1][others])
+                rest = (empty, empty, empty.view(U64))
+        yield made(*_thin(*rest))
+
+    return rows.repartition("deal").sortWithinPartitions("band", "node").mapInArrow(
+        run, "band long, hub long, node long")
+
+
 # ------------------------------------------------------------------ verification
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,47 @@ def test_filter_has_no_misses(spark):
     bits = linking.wanted_filter(df)
     assert linking.passes(bits, values).all()
     assert linking.passes(bits, np.arange(1, 20_000, dtype=np.int64) * 7919).mean() < 0.01
+
+
+@pytest.mark.parametrize("limit", [None, 5])
+def test_thinned_buckets_keep_all_near_pairs(spark, monkeypatch, limit):
+    """Of nodes that share a band those far from all others go before anything is stored."""
+    if limit:
+        monkeypatch.setattr(linking, "THINNED", limit)
+    rng = np.random.default_rng(4)
+    nodes = np.arange(1, 301, dtype=np.uint64)
+    bits = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
+    bits[50:60] = bits[:10] ^ np.uint64(0b111)  # near pairs
+    bits[299] = bits[298]
+    keys = np.stack([nodes // np.uint64(4), nodes // np.uint64(100) + np.uint64(1000)], axis=1)
+    batches = [linking.sketch_batch(nodes[i::3], keys[i::3], bits[i::3]) for i in range(3)]
+    batches.append(batches[0])  # the same lines again
+    rows = spark.createDataFrame(pa.Table.from_batches(batches)).select(
+        *(c.split()[0] for c in linking.SKETCH_SCHEMA.split(", ")))
+    got = {}
+    for r in linking.near_memberships(rows).collect():
+        assert r.hub != r.node
+        got.setdefault(r.band, set()).update((r.hub, r.node))
+    near = 0
+    for band in np.unique(keys):
+        own = np.flatnonzero((keys == band).any(axis=1))
+        for i in own:
+            for j in own[own > i]:
+                if int(bits[i] ^ bits[j]).bit_count() <= linking.NEAR_BITS:
+                    near += 1
+                    assert {nodes[i], nodes[j]} <= got[band]
+    assert near >= 11
+    if not limit:  # most buckets of four have no near pair and leave no row
+        assert sum(band < 1000 for band in got) < 20
+
+
+def test_similar_sets_have_near_bits():
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(500):
+        base = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+        sets += [base[:80], np.concatenate([base[:71], base[81:]])]  # 71 of 89 in common
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    bits = linking.sketch_bits(linking.fast_sketch(np.concatenate(sets), bounds, 60))
+    assert not linking._far(bits[::2], bits[1::2]).any()
+    assert linking._far(bits[:-1:2], np.roll(bits, -2)[:-1:2]).mean() > 0.9
