@@ -136,7 +136,7 @@ def line_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, table = Scanner(), wanted()
         for batch in batches:
-            for low, _, data, offsets in text_slices(batch.column("text")):
+            for low, _, data, offsets in text_slices(batch.column("text"), SLICE >> 1):
                 text, number, starts, ends = line_spans(scanner, data, offsets)
                 node = scanner.hashes(data, starts, ends)
                 at = np.flatnonzero(passes(table, node))

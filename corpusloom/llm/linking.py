@@ -167,8 +167,12 @@ def sketch_batch(nodes: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> pa.Re
 def _thin(band: np.ndarray, node: np.ndarray, bits: np.ndarray):
     """(band, hub, node) of whole buckets in order, without nodes that are far from all
     others of their bucket. A bucket with a marked node, or beyond ``THINNED``, stays whole."""
-    if not len(band):
-        return band, node, node
+    same = band[1:] == band[:-1]
+    shared = np.flatnonzero(np.append(same, False) | np.append(False, same)[: len(band)])
+    if not len(shared):
+        return band[:0], node[:0], node[:0]
+    shared = shared[np.lexsort((node[shared], band[shared]))]
+    band, node, bits = band[shared], node[shared], bits[shared]
     start = np.flatnonzero(np.diff(band, prepend=~band[:1]) | np.diff(node, prepend=~node[:1]))
     band, node, bits = band[start], node[start], np.bitwise_or.reduceat(bits, start)
     head = np.diff(band, prepend=~band[:1]) != 0
@@ -230,7 +234,7 @@ def near_memberships(rows: DataFrame) -> DataFrame:
                 rest = (empty, empty, empty.view(U64))
         yield made(*_thin(*rest))
 
-    return rows.repartition("deal").sortWithinPartitions("band", "node").mapInArrow(
+    return rows.repartition("deal").sortWithinPartitions("band").mapInArrow(
         run, "band long, hub long, node long")
 
 
@@ -455,8 +459,12 @@ def link(members: DataFrame, texts: DataFrame, to_sets: Callable, percent: int)
     tested = materialize(members.select(*_pairs("hub", "node")).distinct(), "tested")
     linked = materialize(verify(tested, texts, to_sets, percent), "linked")
     labels = materialize(components(linked), "labels")
-    # buckets of two are settled by now
-    large = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # buckets of two are settled by now; of those that are equal row by row one is enough
+    row = F.xxhash64("hub", "node")
+    large = members.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(row, 24)).alias("upper"),
+        F.sum(row.bitwiseAND(F.lit((1 << 40) - 1))).alias("lower"),
+    ).filter("n > 1").groupBy("n", "upper", "lower").agg(F.min("band").alias("band"))
     all_ = members.select("band", "node").unionAll(
         members.select("band", F.col("hub").alias("node"))).distinct()
     named = all_.join(large.select("band"), "band").join(labels, "node", "left").select(
