@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.langid import in_fold
-from corpusloom.llm.textops import U64, Scanner, longs, mix, ship, sums, text_slices
+from corpusloom.llm.textops import SLICE, U64, Scanner, longs, mix, ship, sums, text_slices
 from corpusloom.session import materialize, new_table_path
 
 HEAD = 1 << 18
@@ -63,6 +63,14 @@ def word_groups(scanner: Scanner, data, starts, ends) -> np.ndarray:
     return (((key * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(GROUPS)).astype(np.int32)
 
 
+def runs(values: np.ndarray):
+    """(distinct values, an order that sorts, where in it each value begins)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
+    return ordered[first], order, first
+
+
 def word_totals(texts: DataFrame) -> DataFrame:
     """word (64-bit hash), grp, n: summed over all of ``texts`` (text)."""
 
@@ -71,23 +79,24 @@ def word_totals(texts: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def merged():
-            words = np.concatenate([h[0] for h in held])
-            unique, first, inverse = np.unique(words, return_index=True, return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([h[2] for h in held])).astype(np.int64)
-            return unique, np.concatenate([h[1] for h in held])[first], n
+            words, groups, n = (np.concatenate(part) for part in zip(*held, strict=True))
+            unique, order, first = runs(words)
+            return unique, groups[order[first]], np.add.reduceat(n[order], first)
 
         def record(words, groups, n):
             return pa.RecordBatch.from_arrays(
                 [longs(words), pa.array(groups), pa.array(n)], names=["word", "grp", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text")):
+            for _, _, data, offsets in text_slices(batch.column("text"), SLICE >> 1):
                 starts, ends, _ = scanner.spans(data, offsets)
                 if not len(starts):
                     continue
                 words = scanner.hashes(data, starts, ends)
-                unique, first, n = np.unique(words, return_index=True, return_counts=True)
-                held.append((unique, word_groups(scanner, data, starts, ends)[first], n))
+                unique, order, first = runs(words)
+                one = order[first]
+                held.append((unique, word_groups(scanner, data, starts[one], ends[one]),
+                             np.diff(first, append=len(words))))
                 size += len(unique)
                 if size > 2 * HELD_WORDS:
                     held = [merged()]
@@ -151,7 +160,13 @@ class Lexicon:
         place[rank] = (deal % CLASSES) * PER_CLASS + deal // CLASSES
         self.place = place
         self.weight = weight
-        self.starts = None
+        self.starts = self.head_log = None
+
+    def head_logs(self) -> np.ndarray:
+        """log10 of each head word's smoothed count, made once per task."""
+        if self.head_log is None:
+            self.head_log = np.log10(self.head_n + SMOOTHING)
+        return self.head_log
 
     def look_up(self, words: np.ndarray, groups: np.ndarray):
         """(token of each word, its place in the head or -1)."""
@@ -174,10 +189,6 @@ class Lexicon:
         return np.where(token >= 0, token, groups + 1).astype(np.int32), at
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
     """Gated recurrent unit with a class-factored softmax; float32 throughout."""
 
@@ -200,13 +211,25 @@ class Network:
 
     def step(self, tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Next states after reading ``tokens`` (in place order)."""
-        x = self.p["inputs"][tokens]
-        s = h @ self.p["state"]
         n = HIDDEN
-        gates = _sigmoid(x[:, : 2 * n] + s[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * s[:, 2 * n :])
-        return new + z * (h - new)
+        x = np.take(self.p["inputs"], tokens, axis=0)
+        s = h @ self.p["state"]
+        gates = x[:, : 2 * n] + s[:, : 2 * n]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        new = gates[:, n:] * s[:, 2 * n :]
+        new += x[:, 2 * n :]
+        np.tanh(new, out=new)
+        h = h - new
+        h *= gates[:, :n]
+        h += new
+        return h
+
+    def _bounded(self, weights: str, bias: str) -> bool:
+        """Whether no state, whose numbers are within 1, leads to a logit beyond 60."""
+        return float((np.abs(self.p[weights]).sum(axis=-2) + self.p[bias]).max()) < 59
 
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """Natural log-probability of each target; with ``grads``, the gradient of their
@@ -216,11 +239,15 @@ class Network:
         out = np.empty(len(targets), states.dtype)
         back = np.empty_like(states) if grads is not None else None
         ones = np.ones(max(CLASSES, PER_CLASS), states.dtype)
+        cut_classes = not self._bounded("class_w", "class_b")
+        cut_tokens = not self._bounded("token_w", "token_b")
         for low in range(0, len(targets), CACHED):
             part = slice(low, low + CACHED)
             own, at = states[part], np.arange(len(targets[part]))
-            logits = own @ p["class_w"] + p["class_b"]
-            np.minimum(logits, 60, out=logits)
+            logits = own @ p["class_w"]
+            logits += p["class_b"]
+            if cut_classes:
+                np.minimum(logits, 60, out=logits)
             picked = logits[at, cls[part]]
             np.exp(logits, out=logits)
             total = logits @ ones[:CLASSES]
@@ -234,26 +261,28 @@ class Network:
         order = np.argsort(cls.astype(np.uint8), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
         states, inner = states[order], inner[order]
-        by_class = np.empty(len(targets), states.dtype)
+        picked, totals = np.empty(len(targets), states.dtype), np.empty(len(targets), states.dtype)
         more = np.empty_like(states) if grads is not None else None
+        line = np.arange(CACHED)
         for c in range(CLASSES):
+            weights, bias = p["token_w"][c], p["token_b"][c]
             for low in range(edges[c], edges[c + 1], CACHED):
                 part = slice(low, min(low + CACHED, edges[c + 1]))
-                own = states[part]
-                e = own @ p["token_w"][c] + p["token_b"][c]
-                np.minimum(e, 60, out=e)
-                here = np.arange(len(own))
-                picked = e[here, inner[part]]
+                own, place = states[part], (line[: part.stop - low], inner[part])
+                e = own @ weights
+                e += bias
+                if cut_tokens:
+                    np.minimum(e, 60, out=e)
+                picked[part] = e[place]
                 np.exp(e, out=e)
-                total = e @ ones[:PER_CLASS]
-                by_class[part] = picked - np.log(total)
+                total = np.matmul(e, ones[:PER_CLASS], out=totals[part])
                 if grads is not None:
                     e *= (1 / total)[:, None]
-                    e[here, inner[part]] -= 1
+                    e[place] -= 1
                     grads["token_w"][c] += own.T @ e
                     grads["token_b"][c] += e.sum(axis=0)
-                    more[part] = e @ p["token_w"][c].T
-        out[order] += by_class
+                    np.matmul(e, weights.T, out=more[part])
+        out[order] += picked - np.log(totals)
         if grads is None:
             return out
         back[order] += more
@@ -263,7 +292,7 @@ class Network:
         """(gradients of the mean loss, last state, mean log-likelihood) of one window."""
         n, (rows, steps) = HIDDEN, inputs.shape
         state, turned = self.p["state"], np.ascontiguousarray(self.p["state"].T)
-        x = self.p["inputs"][inputs.T]  # step by step
+        x = np.take(self.p["inputs"], inputs.T, axis=0)  # step by step
         before = np.empty((steps, rows, n), state.dtype)
         after, new, rest = np.empty_like(before), np.empty_like(before), np.empty_like(before)
         gates = np.empty((steps, rows, 2 * n), state.dtype)
@@ -416,7 +445,7 @@ def _stretches(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
             copy[order] = np.arange(len(uid)) - np.maximum.accumulate(
                 np.where(head, np.arange(len(uid)), 0))
             uid = uid ^ mix(copy, 3)
-            for low, _, data, offsets in text_slices(batch.column("text")):
+            for low, _, data, offsets in text_slices(batch.column("text"), SLICE >> 1):
                 starts, ends, bounds = scanner.spans(data, offsets)
                 words = scanner.hashes(data, starts, ends)
                 token, _ = lexicon.look_up(words, word_groups(scanner, data, starts, ends))
@@ -554,14 +583,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lexicon, network = shipped()
         for batch in batches:
             tokens, lengths, known, base, inner, rare = [], [], [], [], [], []
-            for _, _, data, offsets in text_slices(batch.column("text")):
+            for _, _, data, offsets in text_slices(batch.column("text"), SLICE >> 1):
                 starts, ends, bounds = scanner.spans(data, offsets)
                 words = scanner.hashes(data, starts, ends)
                 groups = word_groups(scanner, data, starts, ends)
                 token, at = lexicon.look_up(words, groups)
                 held = at >= 0
                 logs = np.zeros(len(words))
-                logs[held] = np.log10(lexicon.head_n[at[held]] + SMOOTHING)
+                logs[held] = lexicon.head_logs()[at[held]]
                 outside = token <= GROUPS  # words that their group stands for
                 group = np.clip(token - 1, 0, GROUPS - 1)
                 share = np.where(outside, logs - lexicon.group_log[group], 0.0)

@@ -137,3 +137,31 @@ def test_every_training_token_is_trained_on_in_lanes(spark):
     values, bounds = np.concatenate([t[1:] for t in every]), np.cumsum(
         [0, *(len(t) - 1 for t in every)])
     assert network.score(values, bounds).sum() > plain.score(values, bounds).sum()
+
+
+def test_runs_are_the_distinct_values_and_their_places():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 40, 300).astype(np.uint64)
+    distinct, order, first = lm.runs(values)
+    assert (distinct == np.unique(values)).all()
+    assert (values[order[first]] == distinct).all()
+    counts = np.diff(first, append=len(values))
+    assert (counts == np.unique(values, return_counts=True)[1]).all()
+
+
+def test_logits_are_cut_only_where_weights_allow_more(monkeypatch):
+    """The pass over the logits is left out where it can't change them."""
+    lexicon = type("L", (), {"place": np.arange(lm.VOCABULARY),
+                             "weight": np.ones(lm.VOCABULARY)})
+    network = lm.Network(lexicon)
+    rng = np.random.default_rng(5)
+    states = np.tanh(rng.standard_normal((500, lm.HIDDEN))).astype(np.float32)
+    targets = rng.integers(0, lm.VOCABULARY, 500)
+    assert network._bounded("class_w", "class_b") and network._bounded("token_w", "token_b")
+    free = network.log_likelihood(states, targets)
+    monkeypatch.setattr(lm.Network, "_bounded", lambda *_: False)
+    assert (network.log_likelihood(states, targets) == free).all()
+    monkeypatch.undo()
+    network.p["class_w"] *= 1e4
+    assert not network._bounded("class_w", "class_b")
+    assert np.isfinite(network.log_likelihood(states, targets)).all()
