@@ -154,6 +154,26 @@ def test_delete_documents(spark, tmp_path):
     assert {r["source_file"] for r in chunks} == set(listed) == set("bcdf")
 
 
+def test_atomic_chunks_move_once(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "one"), ("a", "two"), ("b", "three")],
+                                 "source_file string, text string")
+    folder = str(tmp_path / "elements")
+    elements_of(spark, [("a", "figure", "fig", 2), ("a", "table", "| x |", 1), ("c", "equation", "x", 3),
+                        ("b", "table", "| y |", 1)]).write.parquet(folder)
+    chunks = ingest.atomic_chunks(spark.read.parquet(folder), ingest.chunk_documents(docs))
+    assert sorted((r["source_file"], r["chunk_index"], r["content"]) for r in chunks.collect()) == [
+        ("a", 2, "| x |"), ("a", 3, "fig"), ("b", 1, "| y |"), ("c", 0, "x")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # the texts' counts meet the row per block, not the contents
+        plan = chunks.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(wide) > 1 and plan.count("SortMergeJoin") == 2
+    tail = plan[plan.index("SortMergeJoin"):]
+    assert tail.index("Window") < tail.index("Exchange")  # numbered where they are joined
+
+
 def test_failed_ingest_stays_listed_as_processing(spark, tmp_path):
     docs = spark.createDataFrame([("a", "alpha")], "source_file string, text string")
     with pytest.raises(Exception):  # noqa: B017
