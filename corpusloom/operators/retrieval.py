@@ -37,6 +37,9 @@ TYPED_TOP_K = 5
 
 QUESTION_BLOCK = 4096  # questions shipped at once: some MB of vectors
 SCORE_CELLS = 1_000_000  # scores held at once in one task, in several copies
+BATCH_VALUES = 4_000_000  # values of chunk vectors held at once in one task, in several copies
+FIRST_ROWS = 32  # rows that first meet questions which have no k hits yet
+WAITING_HITS = 10_000  # hits that wait to be ranked in a task
 GRID_BLOCK = 64  # questions multiplied at once by knn_grid
 PUSHED_VALUES = 1000  # filter values handed to the scan; more are filtered in the tasks
 RANK_PARTS = 16
@@ -69,85 +72,183 @@ def _texts(table: pa.Table, name: str) -> np.ndarray:
     return np.array(table.column(name).fill_null("").to_pylist(), dtype=str)
 
 
+class _Batch:
+    """Chunk rows as one task holds them, in the order of their ids: of equal scores the
+    earlier row is the better one."""
+
+    def __init__(self, chunks: pa.Table, filters: dict):
+        chunks = chunks.take(pa.compute.sort_indices(chunks.column("chunk_id").fill_null("None")))
+        self.ids = chunks.column("chunk_id")
+        self.matrix = _matrix(chunks.column("embedding").combine_chunks())
+        self.small = self.matrix.astype(np.float32)
+        self.have = {
+            column: pa.compute.index_in(chunks.column(column).combine_chunks(), value_set=values)
+            .fill_null(-2).to_numpy(zero_copy_only=False)
+            for column, (values, _) in filters.items()}
+        self.cell = chunks.column("cell").to_numpy() if "cell" in chunks.column_names else None
+        self._texts: np.ndarray | None = None
+
+    def texts(self) -> np.ndarray:
+        if self._texts is None:
+            self._texts = np.array(self.ids.to_pylist(), dtype=str)
+        return self._texts
+
+
+def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value and where it stands, in order."""
+    order = np.argsort(values, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(values[order])) + 1).tolist(), len(order)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        if high > low:
+            yield int(values[order[low]]), order[low:high]
+
+
 class _Questions:
     """The question side of one task: ids, unit vectors, optional filters and cells.
 
     ``cells`` (questions x cells, bool) marks the cells that a question probes; without it
-    every question meets every chunk.
+    every question meets every chunk. Questions of equal vector and filters, as the queries
+    of several tasks are, are scored once, and those of a source meet its chunks only.
+
+    Products are taken in single precision first: what stays below a question's k-th score
+    by more than their error is no hit, and only the others are scored.
     """
 
     def __init__(self, table: pa.Table, k: int, cells: np.ndarray | None = None,
                  step: int | None = None):
         valid = pa.compute.is_valid(table.column("vector"))
         table = table.filter(valid)
-        self.cells = None if cells is None else cells[valid.to_numpy()]
         self.ids = _texts(table, "query_id")
-        self.vectors = _matrix(table.column("vector").combine_chunks())
+        vectors = _matrix(table.column("vector").combine_chunks())
+        cells = None if cells is None else cells[valid.to_numpy()]
         self.filters = {}
+        parts = [] if cells is None else [np.packbits(cells, axis=1)]
         for column, name in (("source_file", "filter_source"), ("content_type", "filter_type")):
             wanted = _texts(table, name)
             values = np.unique(wanted[wanted != ""])
             if len(values):  # each question's filter as a number, -1 for none
                 code = np.where(wanted == "", -1, np.searchsorted(values, wanted))
                 self.filters[column] = (pa.array(values.tolist(), pa.string()), code)
+                parts.append(code.astype(np.int64)[:, None].view(np.uint8))
+        first = self.asks = np.arange(len(self.ids))
+        if vectors.size:
+            parts.append(np.ascontiguousarray(vectors).view(np.uint8))
+            rows = np.ascontiguousarray(np.concatenate(parts, axis=1))
+            _, first, self.asks = np.unique(
+                rows.view(np.dtype((np.void, rows.shape[1]))).ravel(), return_index=True,
+                return_inverse=True)
+        self.vectors = vectors[first]
+        self.small = self.vectors.astype(np.float32)
+        self.cells = None if cells is None else cells[first]
+        self.filters = {c: (values, code[first]) for c, (values, code) in self.filters.items()}
         self.k = k
-        self.step = step or max(1, len(self.ids))
+        self.step = step or max(1, len(first))
         self.best = (
             np.empty(0, dtype=np.int64),
             np.empty(0, dtype=np.float64),
             np.empty(0, dtype="U1"),
         )
-        self.cut = np.full(len(self.ids), -np.inf)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.n_waiting = 0
+        self.cut = np.full(len(first), -np.inf)
+        self.last = np.full(len(first), "", dtype="U1")  # id of the k-th hit
+        self.met = np.zeros(len(first), np.int64)  # chunks met so far
+        self.slack = 2e-6 + (vectors.shape[1] + 8) * 2.0 ** -23  # of single precision products
 
     def offer(self, chunks: pa.Table) -> None:
         chunks = chunks.filter(pa.compute.is_valid(chunks.column("embedding")))
-        if chunks.num_rows == 0 or len(self.ids) == 0:
-            return
-        if self.cells is None:
-            self._offer_rows(chunks, np.arange(len(self.ids)))
+        if chunks.num_rows == 0 or len(self.vectors) == 0:
             return
-        chunks = chunks.sort_by("cell")
-        cell = chunks.column("cell").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            self._offer_rows(chunks.slice(low, high - low), np.flatnonzero(self.cells[:, cell[low]]))
-
-    def _offer_rows(self, chunks: pa.Table, asked: np.ndarray) -> None:
-        if not len(asked):
+        rows = max(1, BATCH_VALUES // max(1, self.vectors.shape[1]))
+        for at in range(0, chunks.num_rows, rows):
+            batch = _Batch(chunks.slice(at, rows), self.filters)
+            if batch.matrix.shape[1] != self.vectors.shape[1]:
+                raise ValueError("question and chunk vectors differ in dimension")
+            if batch.cell is None:
+                self._route(batch, np.arange(len(batch.matrix)), np.arange(len(self.vectors)))
+                continue
+            for cell, of_cell in _groups(batch.cell):
+                self._route(batch, of_cell, np.flatnonzero(self.cells[:, cell]))
+
+    def _route(self, batch: _Batch, rows: np.ndarray, asked: np.ndarray) -> None:
+        """Chunks meet the questions without a source and those of their own source."""
+        if "source_file" not in self.filters:
+            self._offer_rows(batch, rows, asked)
             return
+        code = self.filters["source_file"][1][asked]
+        self._offer_rows(batch, rows, asked[code < 0])
+        of_source = {value: asked[at] for value, at in _groups(code) if value >= 0}
+        for value, at in _groups(batch.have["source_file"][rows]):
+            if value in of_source:
+                self._offer_rows(batch, rows[at], of_source[value])
+
+    def _offer_rows(self, batch: _Batch, rows: np.ndarray, asked: np.ndarray) -> None:
         for first in range(0, len(asked), self.step):
             some = asked[first : first + self.step]
-            rows = max(1, SCORE_CELLS // len(some))
-            for at in range(0, chunks.num_rows, rows):
-                self._offer_part(chunks.slice(at, rows), some)
-
-    def _offer_part(self, chunks: pa.Table, asked: np.ndarray) -> None:
-        matrix = _matrix(chunks.column("embedding").combine_chunks())
-        if matrix.shape[1] != self.vectors.shape[1]:
-            raise ValueError("question and chunk vectors differ in dimension")
-        scores = np.round((1.0 + matrix @ self.vectors[asked].T) / 2.0, 6)
-        scores[np.isnan(scores)] = -np.inf
-        for column, (values, code) in self.filters.items():
-            have = pa.compute.index_in(chunks.column(column).combine_chunks(), value_set=values)
-            have = have.fill_null(-2).to_numpy(zero_copy_only=False)
-            wanted = code[asked]
-            scores[(wanted >= 0)[None, :] & (have[:, None] != wanted[None, :])] = -np.inf
-        cut = self.cut[asked]
-        if len(scores) > self.k:
-            kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
-            cut = np.maximum(cut, kth)
-        row, question = np.nonzero((scores >= cut[None, :]) & (scores > -np.inf))
+            most = max(1, SCORE_CELLS // len(some))
+            at = 0
+            while at < len(rows):  # few at first and as many as before then, to know what to beat
+                size = min(most, max(self.k, FIRST_ROWS, int(self.met[some].min())))
+                part = rows[at : at + size]
+                self._offer_part(batch, part, some)
+                if size < most or self.n_waiting > max(WAITING_HITS, len(self.best[0]) // 2):
+                    self._settle()
+                self.met[some] += len(part)
+                at += len(part)
+
+    def _offer_part(self, batch: _Batch, rows: np.ndarray, asked: np.ndarray) -> None:
+        low = 2 * self.cut[asked] - 1 - self.slack
+        exact = None
+        if np.isneginf(low).any():
+            exact = batch.matrix[rows] @ self.vectors[asked].T
+            near = exact >= low
+        else:
+            near = batch.small[rows] @ self.small[asked].T >= low.astype(np.float32)
+        if "content_type" in self.filters:
+            code = self.filters["content_type"][1][asked]
+            near &= (code < 0)[None, :] | (
+                batch.have["content_type"][rows][:, None] == code[None, :])
+        cell = np.flatnonzero(near)
+        if len(cell) == 0:
+            return
+        row, at = np.divmod(cell, len(asked))
+        if exact is None and len(row) * self.vectors.shape[1] > SCORE_CELLS:
+            exact = batch.matrix[rows] @ self.vectors[asked].T
+        row, question = rows[row], asked[at]
+        if exact is None:
+            value = np.einsum("ij,ij->i", batch.matrix[row], self.vectors[question])
+        else:
+            value = exact.ravel()[cell]
+        score = np.round((1.0 + value) / 2.0, 6)
+        keep = score > self.cut[question]
+        ties = np.flatnonzero(score == self.cut[question])
+        if len(ties):  # a tie counts if its id is smaller than that of the k-th hit
+            tied, which = np.unique(question[ties], return_inverse=True)
+            before = np.searchsorted(batch.texts(), self.last[tied], side="left")
+            keep[ties] = row[ties] < before[which]
+        row, question, score = row[keep], question[keep], score[keep]
+        order = np.lexsort((row, -score, question))
+        row, question, score = row[order], question[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(question, question, side="left") < self.k
+        row, question, score = row[best], question[best], score[best]
         if len(row) == 0:
             return
-        ids = chunks.column("chunk_id").take(pa.array(row))
-        self._keep(
-            np.concatenate([self.best[0], asked[question]]),
-            np.concatenate([self.best[1], scores[row, question]]),
-            np.concatenate([self.best[2], np.array(ids.to_pylist(), dtype=str)]),
-        )
+        ids = np.array(batch.ids.take(pa.array(row)).to_pylist(), dtype=str)
+        self.waiting.append((question, score, ids))
+        self.n_waiting += len(row)
 
-    def _keep(self, question, score, chunk_id) -> None:
-        order = np.lexsort((chunk_id, -score, question))
+    def _settle(self) -> None:
+        """The k best of the hits held and those that wait."""
+        if not self.waiting:
+            return
+        parts = [self.best, *self.waiting]
+        question, score, chunk_id = (np.concatenate(c) for c in zip(*parts, strict=True))
+        self.waiting, self.n_waiting = [], 0
+        order = np.lexsort((-score, question))
+        same = (np.diff(question[order]) == 0) & (np.diff(score[order]) == 0)
+        tied = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+        of_tied = order[tied]  # only these are told apart by their ids
+        order[tied] = of_tied[np.lexsort((chunk_id[of_tied], -score[of_tied], question[of_tied]))]
         question, score, chunk_id = question[order], score[order], chunk_id[order]
         first = np.searchsorted(question, question, side="left")
         place = np.arange(len(question)) - first
@@ -155,14 +256,22 @@ class _Questions:
         self.best = (question[keep], score[keep], chunk_id[keep])
         full = place == self.k - 1
         self.cut[question[full]] = score[full]
+        self.last = self.last.astype(np.promote_types(self.last.dtype, chunk_id.dtype))
+        self.last[question[full]] = chunk_id[full]
 
     def hits(self) -> pa.Table:
-        question, score, chunk_id = self.best
+        self._settle()
+        asked, score, chunk_id = self.best
+        order = np.argsort(self.asks, kind="stable")  # all questions that ask the same
+        low, high = (np.searchsorted(self.asks[order], asked, side=s) for s in ("left", "right"))
+        hit = np.repeat(np.arange(len(asked)), high - low)
+        at = np.arange(len(hit)) - np.repeat(np.cumsum(high - low) - high, high - low)
+        question = order[at]
         return pa.table(
             [
                 pa.array(self.ids[question].tolist(), pa.string()),
-                pa.array(chunk_id.tolist(), pa.string()),
-                pa.array(score, pa.float64()),
+                pa.array(chunk_id[hit].tolist(), pa.string()),
+                pa.array(score[hit], pa.float64()),
             ],
             schema=_ARROW_HITS,
         )

@@ -212,3 +212,67 @@ def test_trend_terms_count_in_as_many_tasks_as_hits_need(spark, monkeypatch):
     assert "hashpartitioning(task_id#" in plan and ", 9)" in plan
     assert {tuple(r) for r in found.collect()} == {
         (f"t{t}", "alpha", 3, 6, 1) for t in range(4)}
+
+
+def asked_table(vectors, sources, kinds, k=5):
+    return pa.table({
+        "query_id": [f"q{i:04d}" for i in range(len(vectors))],
+        "vector": pa.array(vectors.tolist(), pa.list_(pa.float64())),
+        "filter_source": pa.array(sources, pa.string()), "filter_type": pa.array(kinds, pa.string())})
+
+
+def count_products(monkeypatch):
+    made = []
+    plain = retrieval._Questions._offer_part
+    monkeypatch.setattr(retrieval._Questions, "_offer_part", lambda self, batch, rows, asked: (
+        made.append(len(rows) * len(asked)), plain(self, batch, rows, asked))[1])
+    return made
+
+
+def test_the_same_question_is_scored_once_and_sources_apart(monkeypatch):
+    rng = np.random.default_rng(6)
+    made = count_products(monkeypatch)
+    n = 400
+    chunks = pa.table({
+        "chunk_id": [f"c{i}" for i in range(n)], "source_file": [f"s{i % 20}" for i in range(n)],
+        "content_type": ["text"] * n,
+        "embedding": pa.array(rng.normal(size=(n, 6)).tolist(), pa.list_(pa.float32()))})
+    vector = rng.normal(size=6)
+    # thirty times one question of all chunks, twenty times it again of a source each
+    asked = asked_table(np.tile(vector, (50, 1)), [None] * 30 + [f"s{i}" for i in range(20)], [None] * 50)
+    questions = retrieval._Questions(asked, 5)
+    questions.offer(chunks)
+    assert sum(made) == n + n  # 50 x 400 it was
+    hits = questions.hits().to_pylist()
+    assert len(hits) == 50 * 5
+    by_id = {f"q{i:04d}": {h["chunk_id"] for h in hits if h["query_id"] == f"q{i:04d}"} for i in range(50)}
+    assert all(by_id[f"q{i:04d}"] == by_id["q0000"] for i in range(30))
+    assert all(int(c[1:]) % 20 == i for i in range(20) for c in by_id[f"q{30 + i:04d}"])
+
+
+@pytest.mark.parametrize("cells, batch, first", [(1_000_000, 4_000_000, 32), (300, 500, 1), (90, 64, 2)])
+def test_crowds_of_equal_scores(monkeypatch, cells, batch, first):
+    for name, value in (("SCORE_CELLS", cells), ("BATCH_VALUES", batch), ("FIRST_ROWS", first),
+                        ("WAITING_HITS", 20)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(7)
+    few = np.eye(4)[:, [0, 1, 2, 3, 0]]
+    vectors = few[rng.integers(0, 4, 600)]  # scores of 0.5 and 1 alone
+    vectors[5] = 0
+    chunks = [(f"c{i}", f"s{i % 3}", ["text", "table"][i % 2], None if i == 9 else v.tolist())
+              for i, v in enumerate(vectors)]
+    asked = rng.normal(size=(12, 5)).round() + few[0]
+    asked[3] = 0
+    sources, kinds = [None, "s1", "", "gone"] * 3, [None, None, "table"] * 4
+    questions = retrieval._Questions(asked_table(asked, sources, kinds), 7)
+    order = rng.permutation(600)
+    for at in range(0, 600, 150):
+        some = [chunks[i] for i in order[at : at + 150]]
+        questions.offer(pa.table({
+            name: pa.array([c[j] for c in some], kind) for j, (name, kind) in enumerate([
+                ("chunk_id", pa.string()), ("source_file", pa.string()), ("content_type", pa.string()),
+                ("embedding", pa.list_(pa.float32()))])}))
+    with np.errstate(invalid="ignore"):
+        want = {row[:3] for row in brute(chunks, [
+            (f"q{i:04d}", v, sources[i], kinds[i], 7, None) for i, v in enumerate(asked) if v.any()])}
+    assert {(h["query_id"], h["chunk_id"], round(h["score"], 6)) for h in questions.hits().to_pylist()} == want
